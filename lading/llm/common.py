@@ -16,6 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Everything that separates the words of the positional operators (ASCII apart from letters and digits).
 WORD_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same for text whose capitals aren't folded yet.
+CASED_GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 _SETTING = "spark.checkpoint.dir"
 _own_folder: dict[str, str] = {}
@@ -52,6 +54,16 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def q(name: str):
+    """The column of exactly this name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """``df``'s columns apart from those that an operator's own columns replace."""
+    return [c for c in df.columns if c.lower() not in {t.lower() for t in taken}]
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

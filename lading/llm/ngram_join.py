@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import discard, materialise, mix, parts, row_shingles
+from lading.llm.common import materialise, mix, parts, q, row_shingles
 from lading.llm.similarity import BLOBS, RECORD, linked_components, packed
 
 #: Cells of each of the two rows of the frequency sketch (4 bytes each).
@@ -96,7 +96,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     pairs, a pair is verified once on whole sets, and groups of similar texts are
     resolved without expanding them into all pairs (see ``similarity``)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(q(id_col).cast("long").alias("id"), q(text_col).cast("string").alias("text"))
     profile = materialise(rows.mapInArrow(partial(_profile, n=n), "id long, n long, d1 long, d2 long, slot int, blob binary"), "profile")
     sketch = np.zeros(len(_SEEDS) * CELLS, np.uint32)
     for x in profile.filter("slot is not null").select("slot", "blob").groupBy("slot").applyInArrow(_summed, "slot int, blob binary").collect():  # fixed size

@@ -104,9 +104,13 @@ def crossing(t, d, n, p, c, admit: Admit) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def _star_step(admit: Admit):
+def _star_step(admit: Admit, record: np.dtype):
     def step(table: pa.Table) -> pa.Table:
-        r = np.frombuffer(b"".join(table.column("blob").to_pylist()), RECORD)
+        got = np.frombuffer(b"".join(table.column("blob").to_pylist()), record)
+        r = np.zeros(len(got), RECORD)
+        r["g"] = got["d"].view(np.uint64).astype(np.uint32) if "g" not in record.names else 0
+        for f in record.names:
+            r[f] = got[f]
         pairs, rest = stars(r, admit)
         zero = np.zeros(len(pairs), np.int64)
         cols = [np.append(zero, rest["t"].astype(np.int64)), np.append(pairs[:, 0], rest["d"]), np.append(pairs[:, 1], rest["n"].astype(np.int64)), np.append(zero, rest["p"].astype(np.int64))]
@@ -130,19 +134,15 @@ def verify(pairs: DataFrame, texts: DataFrame, features: Callable[[str], np.ndar
     spark = pairs.sparkSession
     need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     few = need.count() <= FEW_IDS
-    some = materialise(texts.join(F.broadcast(need) if few else need, "id", "left_semi"), "texts")
+    some = materialise(texts.join(F.broadcast(need) if few else need, "id", "left_semi").distinct(), "texts")
 
     def step(batches):
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
+            known: dict[tuple[int, str], np.ndarray] = {}
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
-            for x, y, s, t in zip(a, b, batch.column(2), batch.column(3)):
-                if x not in known:
-                    known[x] = features(s.as_py() or "")
-                if y not in known:
-                    known[y] = features(t.as_py() or "")
-                u, v = known[x], known[y]
+            for x, y, s, t in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                u, v = (known[k] if k in known else known.setdefault(k, features(k[1] or "")) for k in ((x, s), (y, t)))
                 keep.append(linked(len(u), len(v), len(np.intersect1d(u, v, assume_unique=True))))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -158,11 +158,12 @@ def verify(pairs: DataFrame, texts: DataFrame, features: Callable[[str], np.ndar
     return out
 
 
-def linked_components(blobs: DataFrame, texts: DataFrame, features, linked, admit: Admit, links: DataFrame | None = None) -> DataFrame:
+def linked_components(blobs: DataFrame, texts: DataFrame, features, linked, admit: Admit, links: DataFrame | None = None, record: np.dtype = RECORD) -> DataFrame:
     """Components (``node``, ``component``) of the items in ``blobs`` under
-    ``linked``; ``links`` (a, b) are known already, such as those of copies."""
+    ``linked``; ``links`` (a, b) are known already, such as those of copies.
+    ``record`` may lack the digest, size and position, which then tell nothing."""
     spark = blobs.sparkSession
-    first = materialise(blobs.groupBy("bucket").applyInArrow(_star_step(admit), "kind long, t long, x long, y long, p long"), "stars")
+    first = materialise(blobs.groupBy("bucket").applyInArrow(_star_step(admit, record), "kind long, t long, x long, y long, p long"), "stars")
     pairs = materialise(first.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     sure = verify(pairs, texts, features, linked)
     known = sure if links is None else sure.unionByName(links)
