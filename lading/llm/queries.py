@@ -3,17 +3,120 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lading.llm.ann import nearest
+from lading.llm.decontaminate import decontaminate
+from lading.llm.language_id import classify, held_out
+from lading.llm.language_id import train as train_language
+from lading.llm.license_scan import BASE, REACH, TEMPLATES, license_scan
+from lading.llm.line_dedup import line_dedup
 from lading.llm.ngram_join import ngram_join
+from lading.llm.packing import best_fit
+from lading.llm.secret_scan import digests, findings
+from lading.llm.secret_scan import train as train_secrets
+from lading.llm.toxicity import score_toxicity, train_on_labels
+from lading.llm.url_filter import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_on_labels(docs, _table(spark, sf_dir, "labels"))
+    return score_toxicity(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(_table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return digests(findings(docs, train_secrets(docs)))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    kernel = train_language(docs.filter(~F.col("held_out")))
+    return classify(docs.drop("lang"), kernel).drop("text")
+
+
+#: First labels of hosts whose pages the list of the URL filter names.
+LISTED_LABELS = "^(www\\.)?(ads|track|ads-track|cheap-pills|casino|win-prize)[.-]"
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: the canonical URLs of pages on hosts named like advertising and spam."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(F.regexp_extract("url", "://([^/?#]*)", 1).rlike(LISTED_LABELS)).select("url")
+    return url_filter(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
-QUERIES = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_nearest_neighbours, op3_benchmark_decontamination, op4_license_scan, op5_best_fit_packing, op6_secret_scan, op7_language_id, op8_url_filter, op9_ngram_jaccard_join, op10_line_dedup)}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _licence_sql() -> str:
+    phrases = sorted({*BASE, *(p for ps in TEMPLATES.values() for p in ps)})
+    words = ", ".join(f"('{p}', {len(p.split())}, {k}, '{w}')" for p in phrases for k, w in enumerate(p.split()))
+    base = ", ".join(f"('{p}', '{label}')" for p, label in BASE.items())
+    single = ", ".join(f"('{ps[0]}', '{label}')" for label, ps in TEMPLATES.items() if len(ps) == 1)
+    double = ", ".join(f"('{ps[0]}', '{ps[1]}', '{label}')" for label, ps in TEMPLATES.items() if len(ps) == 2)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+pw(phrase, len, k, term) AS (VALUES {words}),
+t AS (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM d),
+hit AS (SELECT * FROM t WHERE term IN (SELECT term FROM pw)),
+df AS (SELECT term, count(DISTINCT (d.doc_id, d.w)) AS df FROM hit JOIN d USING (r) GROUP BY term),
+ranked AS (SELECT pw.*, row_number() OVER (PARTITION BY phrase ORDER BY coalesce(df, 0), k) = 1 AS rarest FROM pw LEFT JOIN df USING (term)),
+votes AS (SELECT r, phrase, pos - k AS start, len, count(DISTINCT k) AS found, bool_or(rarest) AS rarest FROM hit JOIN ranked USING (term) WHERE pos >= k GROUP BY ALL),
+places AS (SELECT * FROM votes WHERE rarest),
+whole AS (SELECT r, phrase, start FROM places WHERE found = len),
+b AS (SELECT r, label, start FROM whole JOIN (VALUES {base}) v(phrase, label) USING (phrase)),
+m AS (SELECT r, label FROM b UNION SELECT r, label FROM whole JOIN (VALUES {single}) v(phrase, label) USING (phrase)
+      UNION SELECT x.r, label FROM whole x JOIN (VALUES {double}) v(one, two, label) ON x.phrase = one JOIN whole y ON y.r = x.r AND y.phrase = two AND y.start > x.start AND y.start <= x.start + {REACH})
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM b GROUP BY r) USING (r)
+LEFT JOIN (SELECT r, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM m GROUP BY r) USING (r)
+LEFT JOIN (SELECT r, max(found / len) AS score FROM places GROUP BY r) USING (r)"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, n, list_slice(w, o + 1, o + n) AS g FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(len(w) - least(len(w), 10) + 1)) AS o FROM i WHERE len(w) > 0)),
+g AS (SELECT r, n, o, list_slice(w, o + 1, o + n) AS g FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS o FROM d JOIN (SELECT DISTINCT n FROM win) ON len(w) >= n)),
+hit AS (SELECT r, o, n, item_id FROM g JOIN win USING (g, n)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(o, o + n)) AS p FROM hit) GROUP BY r),
+ids AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN ids USING (r)""",
+    "op4_license_scan": _licence_sql(),
+}
