@@ -80,11 +80,11 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, slop: int) -> DataFram
     return a.join(b, near).filter((F.abs(F.col("a.pos1") - F.col("b.pos2")) <= slop) & (F.col("a.pos1") != F.col("b.pos2"))).select("a.id", "a.th", "a.item", "pos1", "pos2").distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", text_hash: str | None = None) -> DataFrame:
     """A row for each row of ``docs``: id, ``n_words``, ``n_hit`` (words inside an
     occurrence of a window), ``n_items`` (items with occurring windows),
     ``items_sha256`` (of their ids, sorted as strings, joined by commas) and
-    ``contaminated`` (any word hit).
+    ``contaminated`` (any word hit); and, if ``text_hash`` names it, the text's hash.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z folded. A window is
     ``width`` consecutive words of an item; a shorter item is one window; an item without
@@ -119,4 +119,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *([F.col("a.th").alias(text_hash)] if text_hash else []),
     )
