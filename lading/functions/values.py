@@ -26,12 +26,12 @@ def crc32_digest(crc: Column) -> Column:
 def strict_mode(mode: Column, kind: Column) -> Column:
     """Directories 755; files without set-id, sticky and execute bits and at most 644."""
     plain = F.least(mode.bitwiseAND(0o666), F.lit(0o644))
-    return F.when(kind == "directory", 0o755).when(kind == "file", F.coalesce(plain, F.lit(0o644))).otherwise(mode)
+    return F.when(kind == "directory", 0o755).when(kind.isin("file", "hardlink"), F.coalesce(plain, F.lit(0o644))).otherwise(mode)
 
 
 def standard_mode(mode: Column, kind: Column) -> Column:
     """Without set-id and sticky bits."""
-    return F.when(kind == "directory", F.coalesce(mode.bitwiseAND(0o777), F.lit(0o755))).when(kind == "file", F.coalesce(mode.bitwiseAND(0o777), F.lit(0o644))).otherwise(mode)
+    return F.when(kind == "directory", F.coalesce(mode.bitwiseAND(0o777), F.lit(0o755))).when(kind.isin("file", "hardlink"), F.coalesce(mode.bitwiseAND(0o777), F.lit(0o644))).otherwise(mode)
 
 
 def format_mode(mode: Column) -> Column:

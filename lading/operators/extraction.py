@@ -244,9 +244,9 @@ def _write(archive: str, data: bytes, todo: list[dict], dest: str, overwrite: st
                     else:
                         shutil.copyfile(source, path + ".part") if m["type"] == "hardlink" else shutil.move(source, path + ".part")
                         os.replace(path + ".part", path)
-                    if m["final_mode"] is not None:
+                    if m["final_mode"] is not None and not there:
                         os.chmod(path, m["final_mode"])
-                    if m["mtime"] is not None:
+                    if m["mtime"] is not None and not there:
                         os.utime(path, (m["mtime"], m["mtime"]))
                 places[m["member_id"]] = path
                 yield result(m, "extracted", path)
