@@ -8,7 +8,8 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
-from lading.errors import Corrupt, Encrypted, MissingComponent, Truncated
+from lading.errors import Corrupt, Encrypted, MissingComponent, Truncated, UnsupportedFeature
+from lading.sources import aes
 from lading.sources.base import Archive, crc_bytes, dos_time, exactly, filetime, member, text_of, tidy, utc, window
 
 OLD, NEW = b"Rar!\x1a\7\0", b"Rar!\x1a\7\1\0"
@@ -85,27 +86,57 @@ def _entries(src, archive: Archive) -> Iterator[dict]:
         yield held
 
 
-def _new(src, at: int, end: int, archive: Archive) -> Iterator[dict]:
-    while at < end:
-        src.seek(at)
+def _key(f: _Fields, passwords: tuple[bytes, ...], with_iv: bool) -> tuple[bytes, bytes, bytes]:
+    """Key, checksum key and initial vector of an encryption record, by the first password whose check value fits."""
+    f.vint()
+    flags, rounds = f.vint(), f.take(1)[0]
+    salt, iv = f.take(16), f.take(16) if with_iv else b""
+    check = f.take(12)[:8] if flags & 1 else None
+    for password in passwords:
+        key, mac, own = aes.rar5_keys(password, salt, rounds)
+        if check is None or own == check:
+            return key, mac, iv
+    raise Encrypted("no password fits" if passwords else "a password is needed")
+
+
+def _header(src, at: int, key: bytes | None) -> tuple[bytes, bytes, int]:
+    """Checksummed size, body and end of the header at ``at``."""
+    src.seek(at)
+    if key is None:
         head = src.read(4 + 10)
         if len(head) < 7:
             raise Truncated("a RAR header ends early")
         f = _Fields(head[4:])
         size = f.vint()
-        first = at + 4 + f.at
-        src.seek(first)
-        body = exactly(src, size, "a RAR header")
-        if zlib.crc32(head[4 : 4 + f.at] + body) != struct.unpack("<I", head[:4])[0]:
-            raise Corrupt("a RAR header's checksum")
+        src.seek(at + 4 + f.at)
+        body, end = exactly(src, size, "a RAR header"), at + 4 + f.at + size
+    else:
+        iv, first = exactly(src, 16, "a RAR header"), exactly(src, 16, "a RAR header")
+        head = b"".join(aes.chained_decrypt(key, iv, iter([first])))
+        f = _Fields(head[4:])
+        size = f.vint()
+        whole = (4 + f.at + size + 15) // 16 * 16
+        more = exactly(src, whole - 16, "a RAR header")
+        head += b"".join(aes.chained_decrypt(key, first, iter([more])))
+        body, end = head[4 + f.at : 4 + f.at + size], at + 16 + whole
+    if zlib.crc32(head[4 : 4 + f.at] + body) != struct.unpack("<I", head[:4])[0]:
+        raise Encrypted("the RAR headers don't decrypt") if key else Corrupt("a RAR header's checksum")
+    return head[4 : 4 + f.at], body, end
+
+
+def _new(src, at: int, end: int, archive: Archive) -> Iterator[dict]:
+    key = None
+    while at < end:
+        _, body, data_at = _header(src, at, key)
         f = _Fields(body)
         kind, flags = f.vint(), f.vint()
         extra = f.vint() if flags & 1 else 0
         packed = f.vint() if flags & 2 else 0
-        data_at, at = first + size, first + size + packed
+        at = data_at + packed
         if kind == 4:
             archive.is_encrypted = True
-            raise Encrypted("the RAR headers are encrypted")
+            key, _, _ = _key(f, archive.passwords, with_iv=False)
+            continue
         if kind == 5:
             yield {"end": at}
             return
@@ -131,9 +162,10 @@ def _new(src, at: int, end: int, archive: Archive) -> Iterator[dict]:
             what = f.vint()
             if what == 1:
                 e["encrypted"] = archive.is_encrypted = True
+                e["extra"]["rar.encryption"] = body[f.at : stop].hex()
                 f.vint()
                 if f.vint() & 2:
-                    e["hashes"], e["extra"]["rar.tweaked"] = {}, "true"
+                    e["hashes"], e["extra"]["rar.tweaked"] = {}, hashes.get("crc32", b"").hex()
             elif what == 2 and f.vint() == 0 and "rar.tweaked" not in e["extra"]:
                 e["hashes"] = e["hashes"] | {"blake2sp": f.take(32)}
             elif what == 3:
@@ -252,12 +284,22 @@ def listing(src, archive: Archive) -> Iterator[dict]:
 def content(src, archive: Archive, wanted: Iterable[dict]) -> Iterator[tuple[dict, Iterator[bytes]]]:
     for row in wanted:
         def chunks(row=row):
-            if row["is_encrypted"]:
-                raise MissingComponent("RAR decryption needs the package cryptography", row["name"])
             if row["compression"][0]["algo"] != "stored":
                 raise MissingComponent("compressed RAR data needs the program unrar", row["name"])
-            for piece in row["extra"]["rar.extents"].split(","):
-                yield from window(src, *map(int, piece.split(":")))
+            data = (b for piece in row["extra"]["rar.extents"].split(",") for b in window(src, *map(int, piece.split(":"))))
+            if not row["is_encrypted"]:
+                yield from data
+                return
+            if "rar.encryption" not in row["extra"]:
+                raise UnsupportedFeature("the encryption of archives before RAR 5", row["name"])
+            key, mac, iv = _key(_Fields(bytes.fromhex(row["extra"]["rar.encryption"])), archive.passwords, with_iv=True)
+            left, crc = row["size"] or 0, 0
+            for part in aes.chained_decrypt(key, iv, data):
+                part, left = part[:left], left - min(left, len(part))
+                crc = zlib.crc32(part, crc)
+                yield part
+            if (want := row["extra"].get("rar.tweaked")) and crc_bytes(aes.rar5_mixed_crc(crc, mac)).hex() != want:
+                raise Corrupt("the mixed checksum differs", row["name"])
 
         yield row, chunks()
 

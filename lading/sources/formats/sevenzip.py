@@ -9,8 +9,8 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-from lading.errors import Corrupt, Encrypted, MissingComponent, UnsupportedFeature
-from lading.sources import codecs
+from lading.errors import Corrupt, Encrypted, Truncated, UnsupportedFeature
+from lading.sources import aes, codecs
 from lading.sources.base import Archive, crc_bytes, exactly, filetime, member, tidy, window
 from lading.sources.formats.single import inferred_name
 
@@ -179,8 +179,6 @@ def _stage(method: str, properties: bytes, size: int, data: Iterator[bytes]) ->
         return codecs.STREAMS[{"brotli": "br", "lz4": "lz4"}[method]](file)
     if method in codecs.OPTIONAL:
         return codecs.optional(method)(file)
-    if method == "aes":
-        raise MissingComponent("7z AES needs the package cryptography")
     raise UnsupportedFeature(f"7z method {method}")
 
 
@@ -198,10 +196,27 @@ def _filtered(own: dict, file, size: int) -> Iterator[bytes]:
             yield out
 
 
-def unpacked(src, f: Folder) -> Iterator[bytes]:
+def _tried(src, f: Folder, passwords: tuple[bytes, ...]) -> bytes | None:
+    """The password under which an encrypted folder decodes to its checksum (or, without
+    one, at all); None for folders that aren't encrypted."""
+    if not any(c[0] == "aes" for c in f.coders):
+        return None
+    for password in passwords:
+        crc = size = 0
+        try:
+            for data in unpacked(src, f, password):
+                crc, size = zlib.crc32(data, crc), size + len(data)
+                if size >= f.size:
+                    break
+        except (Corrupt, Truncated):
+            continue
+        if f.crc is None or crc == f.crc:
+            return password
+    raise Encrypted("no password fits" if passwords else "a password is needed")
+
+
+def unpacked(src, f: Folder, password: bytes | None = None) -> Iterator[bytes]:
     """A folder's decoded bytes: its coders form one chain from the packed stream."""
-    if any(c[0] == "aes" for c in f.coders):
-        raise MissingComponent("7z AES needs the package cryptography")
     if any(c[2] != 1 or c[3] != 1 for c in f.coders) or len(f.packed) != 1:
         raise UnsupportedFeature("7z coders with several streams (BCJ2)")
     order, at = [], f.packed[0]
@@ -215,18 +230,27 @@ def unpacked(src, f: Folder) -> Iterator[bytes]:
         at = after[at]
     data = window(src, f.start, f.pack_sizes[0])
     for k in order:
-        data = _stage(f.coders[k][0], f.coders[k][1], f.sizes[k], data)
+        if f.coders[k][0] == "aes":
+            data = _cut(aes.chained_decrypt(*aes.sevenzip_key(f.coders[k][1], password or b""), data), f.sizes[k])
+        else:
+            data = _stage(f.coders[k][0], f.coders[k][1], f.sizes[k], data)
     return data
 
 
-def _whole(src, f: Folder) -> bytes:
-    data = b"".join(unpacked(src, f))
+def _cut(data: Iterator[bytes], size: int) -> Iterator[bytes]:
+    for part in data:
+        yield part[:size]
+        size -= min(size, len(part))
+
+
+def _whole(src, f: Folder, passwords: tuple[bytes, ...] = ()) -> bytes:
+    data = b"".join(unpacked(src, f, _tried(src, f, passwords)))
     if len(data) < f.size or (f.crc is not None and zlib.crc32(data) != f.crc):
         raise Corrupt("the packed 7z header")
     return data
 
 
-def _parsed(src) -> tuple[list[Folder], list[int], list[int | None], list[dict], str | None]:
+def _parsed(src, passwords: tuple[bytes, ...] = ()) -> tuple[list[Folder], list[int], list[int | None], list[dict], str | None]:
     src.seek(0)
     head = exactly(src, 32, "the 7z signature header")
     if head[:6] != MAGIC:
@@ -245,9 +269,7 @@ def _parsed(src) -> tuple[list[Folder], list[int], list[int | None], list[dict],
     r = _Reader(data)
     while (kind := r.number()) == ENCODED:
         folders, _, _ = _streams(r)
-        if any(c[0] == "aes" for c in folders[0].coders):
-            raise Encrypted("the 7z header is encrypted")
-        r = _Reader(_whole(src, folders[0]))
+        r = _Reader(_whole(src, folders[0], passwords))
     if kind != HEADER:
         raise Corrupt("no 7z header")
     folders, sizes, crcs, files, note = [], [], [], [], None
@@ -301,7 +323,7 @@ def _names(data: bytes) -> Iterator[bytes]:
 
 
 def listing(src, archive: Archive) -> Iterator[dict]:
-    folders, sizes, crcs, files, archive.comment = _parsed(src)
+    folders, sizes, crcs, files, archive.comment = _parsed(src, archive.passwords)
     inner = [(k, i) for k, f in enumerate(folders) for i in range(f.files)]
     archive.is_solid = any(f.files > 1 for f in folders)
     archive.solid_blocks = len(folders)
@@ -337,7 +359,7 @@ def listing(src, archive: Archive) -> Iterator[dict]:
 
 def content(src, archive: Archive, wanted: Iterable[dict]) -> Iterator[tuple[dict, Iterator[bytes]]]:
     """Each folder that holds wanted members is decoded once, up to the last of them."""
-    folders, sizes, *_ = _parsed(src)
+    folders, sizes, *_ = _parsed(src, archive.passwords)
     by_block: dict[int, list[dict]] = {}
     for row in wanted:
         by_block.setdefault(row["block"], []).append(row)
@@ -350,7 +372,7 @@ def content(src, archive: Archive, wanted: Iterable[dict]) -> Iterator[tuple[dic
         for row in sorted(rows, key=lambda r: r["block_position"]):
             def chunks(row=row):
                 nonlocal file, at
-                file = file or codecs.DecodedFile(unpacked(src, folders[block]))
+                file = file or codecs.DecodedFile(unpacked(src, folders[block], _tried(src, folders[block], archive.passwords)))
                 while at < row["block_position"]:
                     skip = sizes[base + at]
                     while skip:

@@ -7,8 +7,8 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
-from lading.errors import Corrupt, Encrypted, MissingComponent, Truncated, UnsupportedFeature
-from lading.sources import codecs
+from lading.errors import Corrupt, Encrypted, Truncated, UnsupportedFeature
+from lading.sources import aes, codecs
 from lading.sources.base import Archive, crc_bytes, dos_time, exactly, filetime, member, text_of, tidy, utc, window
 
 # Compression methods and creating systems by their numbers.
@@ -179,10 +179,18 @@ def _opened(chunks: Iterable[bytes], row: dict) -> Iterator[bytes]:
 
 def _plain(src, start: int, size: int, row: dict, archive: Archive) -> Iterator[bytes]:
     """Data without its encryption. Each password is tried against the check byte and then against the checksum."""
-    if "zip.aes" in row["extra"]:
-        raise MissingComponent("WinZip AES needs the package cryptography", row["name"])
     if not archive.passwords:
         raise Encrypted("a password is needed", row["name"])
+    if "zip.aes" in row["extra"]:
+        strength = bytes.fromhex(row["extra"]["zip.aes"])[4]
+        if strength not in (1, 2, 3):
+            raise Corrupt("WinZip AES strength", row["name"])
+        for password in archive.passwords:
+            try:
+                return aes.winzip(window(src, start, size), size, strength, password)
+            except Encrypted:
+                continue
+        raise Encrypted("no password fits", row["name"])
     flags, dos, crc = (int(row["extra"][k]) for k in ("zip.flags", "zip.dos", "zip.crc"))
     want = (dos >> 8 if flags & 8 else crc >> 24) & 255
     for password in archive.passwords:

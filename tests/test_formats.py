@@ -21,7 +21,6 @@ from lading.functions.digests import Blake2sp, adler32_combine, blake2sp, crc32_
 from lading.sources import codecs
 from lading.sources.archive import archive_row, list_members, read_content
 from lading.sources.detect import identify
-from lading.sources.formats.zip import ZipCrypto
 
 BSDTAR = shutil.which("bsdtar")
 TREE = {"a.txt": b"alpha\n" * 400, "dir/b.bin": bytes(range(256)) * 64, "dir/deep/c": b"", "é.txt": "ünï".encode(), "x86": bytes(random.Random(1).randrange(256) for _ in range(30000))}
@@ -86,9 +85,10 @@ def test_archives_of_another_program(tree, tmp_path, kind, options):
 
 
 @pytest.mark.skipif(not BSDTAR, reason="no bsdtar")
-def test_zipcrypto(tree, tmp_path):
+@pytest.mark.parametrize("cipher", ["zipcrypt", "aes128", "aes256"])
+def test_encrypted_zip(tree, tmp_path, cipher):
     path = tmp_path / "c.zip"
-    made = subprocess.run([BSDTAR, "-c", "--format=zip", "--options", "zip:encryption=zipcrypt", "--passphrase", "s3cret", "-f", path, "-C", tree, "a.txt", "x86"], capture_output=True)
+    made = subprocess.run([BSDTAR, "-c", "--format=zip", "--options", f"zip:encryption={cipher}", "--passphrase", "s3cret", "-f", path, "-C", tree, "a.txt", "x86"], capture_output=True)
     if made.returncode:
         pytest.skip(made.stderr.decode())
     data = path.read_bytes()
@@ -270,6 +270,41 @@ def test_rar5_stored_members_links_and_volumes():
     assert stub["d/a.txt"] == b"alpha"
 
 
+def _chained(key, iv, data):
+    import numpy as np
+
+    from lading.sources.aes import Aes
+
+    cipher, out = Aes(key), b""
+    data += bytes(-len(data) % 16)
+    for i in range(0, len(data), 16):
+        iv = cipher.encrypt(np.frombuffer(bytes(a ^ b for a, b in zip(data[i : i + 16], iv)), np.uint8).reshape(1, 16)).tobytes()
+        out += iv
+    return out
+
+
+@pytest.mark.parametrize("headers", [False, True])
+def test_rar5_encryption(headers):
+    from lading.sources.aes import rar5_keys, rar5_mixed_crc
+
+    salt, iv, text = b"0123456789abcdef", b"fedcba9876543210", b"secret contents " * 3 + b"end"
+    key, mac, check = rar5_keys(b"pw", salt, 3)
+    packed = _chained(key, iv, text)
+    record = _vint(1) + _vint(0) + _vint(3) + bytes([3]) + salt + iv + check + hashlib.sha256(check).digest()[:4]
+    extra = _vint(len(record)) + record
+    mixed = rar5_mixed_crc(zlib.crc32(text), mac)
+    body = _vint(2) + _vint(3) + _vint(len(extra)) + _vint(len(packed)) + _vint(4) + _vint(len(text)) + _vint(0o100644) + struct.pack("<I", mixed) + _vint(0) + _vint(1) + _vint(3) + b"s.x" + extra
+    blocks = [(_block(_vint(1) + _vint(0) + _vint(0)), b""), (_block(body), packed), (_block(_vint(5) + _vint(0) + _vint(0)), b"")]
+    data = b"Rar!\x1a\7\1\0"
+    if headers:
+        data += _block(_vint(4) + _vint(0) + _vint(0) + _vint(1) + bytes([3]) + salt + check + hashlib.sha256(check).digest()[:4])
+        blocks = [(iv + _chained(key, iv, h), d) for h, d in blocks]
+    data += b"".join(h + d for h, d in blocks)
+    got, faults = contents("x.rar", data, passwords=["no", "pw"])
+    assert got == {"s.x": text} and not faults
+    assert contents("x.rar", data)[1] == ["encryption"] and contents("x.rar", data, passwords=["no"])[1] == ["encryption"]
+
+
 def test_rar4_stored_member():
     def block(kind, flags, body, data=b""):
         rest = struct.pack("<BHH", kind, flags, 7 + len(body)) + body
@@ -306,5 +341,48 @@ def test_digest_algebra():
     assert blake2sp(b"").hex() == "dd0e891776933f43c7d032b08a917e25741f8aa9a12c12e1cac8801500f2ca4f"
 
 
-def test_zipcrypto_is_its_own_inverse_of_the_standard_library():
-    assert ZipCrypto(b"k").decrypt(b"") == b""
+def test_aes_on_the_published_vectors():
+    import numpy as np
+
+    from lading.sources.aes import Aes, chained_decrypt
+
+    plain = np.frombuffer(bytes.fromhex("00112233445566778899aabbccddeeff"), np.uint8).reshape(1, 16)
+    for n, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (24, "dda97ca4864cdfe06eaf70a0ec0d7191"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        cipher = Aes(bytes(range(n)))
+        packed = cipher.encrypt(plain)
+        assert packed.tobytes().hex() == want and (cipher.decrypt(packed) == plain).all()
+    key, iv, data = bytes(range(32)), bytes(range(16)), bytes(range(96))
+    cipher, before, out = Aes(key), iv, b""
+    for i in range(0, 96, 16):
+        before = cipher.encrypt(np.frombuffer(bytes(a ^ b for a, b in zip(data[i : i + 16], before)), np.uint8).reshape(1, 16)).tobytes()
+        out += before
+    assert b"".join(chained_decrypt(key, iv, iter([out[:40], out[40:]]))) == data
+
+
+def test_key_derivations():
+    from lading.sources.aes import rar5_keys, sevenzip_key
+
+    h = hashlib.sha256()
+    for k in range(8):
+        h.update("pä".encode("utf-16-le") + k.to_bytes(8, "little"))
+    assert sevenzip_key(bytes([3]), "pä".encode()) == (h.digest(), bytes(16))
+    key, mac, check = rar5_keys(b"pw", b"s" * 16, 4)
+    assert key == hashlib.pbkdf2_hmac("sha256", b"pw", b"s" * 16, 16) and mac == hashlib.pbkdf2_hmac("sha256", b"pw", b"s" * 16, 32)
+    last = hashlib.pbkdf2_hmac("sha256", b"pw", b"s" * 16, 48)
+    assert check == bytes(last[i] ^ last[8 + i] ^ last[16 + i] ^ last[24 + i] for i in range(8))
+
+
+def test_split_decoding_of_xz_and_lzip(spark):
+    from lading.sources.splits import split_decode, xz_blocks
+
+    parts = [bytes([65 + k]) * (1000 * k + 1) for k in range(5)]
+    xz = b"".join(lzma.compress(p, check=lzma.CHECK_SHA256 if k == 2 else lzma.CHECK_CRC64) + bytes(4 * k) for k, p in enumerate(parts))
+    lz = b"".join(map(_lzip, parts))
+    assert [full for _, _, full, _ in xz_blocks(io.BytesIO(xz))] == [len(p) for p in parts]
+    files = spark.createDataFrame([("a.xz", xz), ("b.lz", lz), ("c.xz", xz[:-5])], "path string, content binary")
+    rows = split_decode(files).orderBy("path", "split").collect()
+    for path in ("a.xz", "b.lz"):
+        assert b"".join(bytes(r.data) for r in rows if r.path == path) == b"".join(parts)
+    assert [r.error is not None for r in rows if r.path == "c.xz"] == [True]
+    few = split_decode(files.filter("path = 'a.xz'"), wanted=(1, 1002)).collect()
+    assert sorted(r.split for r in few) == [1]
