@@ -119,4 +119,16 @@ ids AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN ids USING (r)""",
     "op4_license_scan": _licence_sql(),
+    "op8_url_filter": r"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, url, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+h AS (SELECT r, page_id, url, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest[length(regexp_extract(rest, '^[^/?#]*')) + 1:], '^[^?#]*') AS path FROM p),
+c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END END AS canon
+  FROM (SELECT *, [x FOR x IN string_split(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1), '&') IF x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)')] AS q FROM h)),
+listed AS (SELECT DISTINCT canon FROM c WHERE canon IS NOT NULL AND regexp_matches(regexp_extract(url, '://([^/?#]*)', 1), '^(www\.)?(ads|track|ads-track|cheap-pills|casino|win-prize)[.-]')),
+rules(rule, domain, prefix, action) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+best AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM c JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN listed.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, listed.canon IS NOT NULL AS listed
+FROM c LEFT JOIN best USING (r) LEFT JOIN listed USING (canon)""",
 }
