@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import discard, materialise, parts
+from lading.llm.common import discard, materialise, mix, parts
 from lading.llm.components import components
 
-#: key, item, digest of the item's content, its size, the key's position in it
-RECORD = np.dtype([("t", "<u8"), ("d", "<i8"), ("g", "<u4"), ("n", "<u4"), ("p", "<u4")])
+#: key, item, digest of the item's content, its size, the key's position in it, a summary of it
+RECORD = np.dtype([("t", "<u8"), ("d", "<i8"), ("g", "<u4"), ("n", "<u4"), ("p", "<u4"), ("s", "<u8")])
 BLOBS = "bucket int, blob binary"
 #: Packed bytes held back in a task before they are passed on.
 HELD = 8 << 20
@@ -30,6 +30,7 @@ FEW_IDS = 1_000_000
 #: Rows of joined texts in a batch that goes to Python.
 BATCH = 500
 
+#: Takes size, position and summary of one side and of the other, and says which pairs may link.
 Admit = Callable[..., np.ndarray]
 
 
@@ -82,15 +83,15 @@ def stars(r: np.ndarray, admit: Admit) -> tuple[np.ndarray, np.ndarray]:
     starts = _groups(r["t"])
     sizes = np.diff(np.append(starts, len(r)))
     lead = r[np.repeat(starts, sizes)]
-    ok = (lead["d"] != r["d"]) & admit(lead["n"], lead["p"], r["n"], r["p"])
+    ok = (lead["d"] != r["d"]) & admit(lead["n"], lead["p"], lead["s"], r["n"], r["p"], r["s"])
     pairs = np.stack([np.minimum(lead["d"], r["d"])[ok], np.maximum(lead["d"], r["d"])[ok]], 1)
     return np.unique(pairs, axis=0) if len(pairs) else pairs, r[np.repeat(sizes > 2, sizes)]
 
 
-def crossing(t, d, n, p, c, admit: Admit) -> np.ndarray:
+def crossing(t, d, n, p, s, c, admit: Admit) -> np.ndarray:
     """Admitted pairs of a group's items in different components."""
     order = np.argsort(t, kind="stable")
-    t, d, n, p, c = (x[order] for x in (t, d, n, p, c))
+    t, d, n, p, sums, c = (x[order] for x in (t, d, n, p, s, c))
     starts = _groups(t)
     out = []
     if len(starts):
@@ -98,7 +99,7 @@ def crossing(t, d, n, p, c, admit: Admit) -> np.ndarray:
         for s, e in zip(starts[mixed], np.append(starts[1:], len(t))[mixed]):
             for i in range(s, e, 256):
                 j = min(i + 256, e)
-                x, y = np.nonzero(admit(n[i:j, None], p[i:j, None], n[None, s:e], p[None, s:e]) & (c[i:j, None] != c[None, s:e]))
+                x, y = np.nonzero(admit(n[i:j, None], p[i:j, None], sums[i:j, None], n[None, s:e], p[None, s:e], sums[None, s:e]) & (c[i:j, None] != c[None, s:e]))
                 x, y = d[i + x], d[s + y]
                 out.append(np.unique(np.stack([x, y], 1)[x < y], axis=0))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -113,28 +114,34 @@ def _star_step(admit: Admit, record: np.dtype):
             r[f] = got[f]
         pairs, rest = stars(r, admit)
         zero = np.zeros(len(pairs), np.int64)
-        cols = [np.append(zero, rest["t"].astype(np.int64)), np.append(pairs[:, 0], rest["d"]), np.append(pairs[:, 1], rest["n"].astype(np.int64)), np.append(zero, rest["p"].astype(np.int64))]
-        return pa.table([pa.array(np.append(zero, np.ones(len(rest), np.int64)), pa.int64()), *(pa.array(x, pa.int64()) for x in cols)], names=["kind", "t", "x", "y", "p"])
+        cols = [np.append(zero, rest["t"].astype(np.int64)), np.append(pairs[:, 0], rest["d"]), np.append(pairs[:, 1], rest["n"].astype(np.int64)), np.append(zero, rest["p"].astype(np.int64)), np.append(zero, rest["s"].astype(np.int64))]
+        return pa.table([pa.array(np.append(zero, np.ones(len(rest), np.int64)), pa.int64()), *(pa.array(x, pa.int64()) for x in cols)], names=["kind", "t", "x", "y", "p", "s"])
 
     return step
 
 
 def _cross_step(admit: Admit):
     def step(table: pa.Table) -> pa.Table:
-        t, d, n, p, c = (table.column(k).to_numpy() for k in ("t", "x", "y", "p", "c"))
-        pairs = crossing(t, d, n, p, c, admit)
+        t, d, n, p, s, c = (table.column(k).to_numpy() for k in ("t", "x", "y", "p", "s", "c"))
+        pairs = crossing(t, d, n, p, s, c, admit)
         return pa.table([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
     return step
 
 
-def verify(pairs: DataFrame, texts: DataFrame, features: Callable[[str], np.ndarray], linked: Callable[[int, int, int], bool]) -> DataFrame:
+def fetched(texts: DataFrame | Callable[[DataFrame], DataFrame], need: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (id, text), each once, whose id ``need`` has; a function
+    finds them itself."""
+    if callable(texts):
+        return materialise(texts(need).distinct(), "texts")
+    few = need.count() <= FEW_IDS
+    return materialise(texts.join(F.broadcast(need) if few else need, "id", "left_semi").distinct(), "texts")
+
+
+def verify(pairs: DataFrame, some: DataFrame, features: Callable[[str], np.ndarray], linked: Callable[[int, int, int], bool]) -> DataFrame:
     """The ``pairs`` (a, b) for which ``linked(size a, size b, common)`` holds, with
-    sizes of the distinct ``features`` of ``texts`` (id, text), each pair once."""
+    sizes of the distinct ``features`` of the texts in ``some`` (id, text), each pair once."""
     spark = pairs.sparkSession
-    need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    few = need.count() <= FEW_IDS
-    some = materialise(texts.join(F.broadcast(need) if few else need, "id", "left_semi").distinct(), "texts")
 
     def step(batches):
         for batch in batches:
@@ -153,27 +160,125 @@ def verify(pairs: DataFrame, texts: DataFrame, features: Callable[[str], np.ndar
         out = materialise(joined.select("a", "b", "s", "t").mapInArrow(step, "a long, b long"), "verified")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
-    discard(some)
-    discard(need)
     return out
 
 
-def linked_components(blobs: DataFrame, texts: DataFrame, features, linked, admit: Admit, links: DataFrame | None = None, record: np.dtype = RECORD) -> DataFrame:
+def engaged(t, d, n, p, s, c, admit: Admit) -> np.ndarray:
+    """Which rows have an admitted partner of their group in another component."""
+    order = np.argsort(t, kind="stable")
+    t, d, n, p, sums, c = (x[order] for x in (t, d, n, p, s, c))
+    starts, out = _groups(t), np.zeros(len(t), bool)
+    if len(starts):
+        mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+        for s, e in zip(starts[mixed], np.append(starts[1:], len(t))[mixed]):
+            for i in range(s, e, 256):
+                j = min(i + 256, e)
+                out[i:j] = (admit(n[i:j, None], p[i:j, None], sums[i:j, None], n[None, s:e], p[None, s:e], sums[None, s:e]) & (c[i:j, None] != c[None, s:e])).any(1)
+    back = np.empty(len(t), bool)
+    back[order] = out
+    return back
+
+
+#: Rows of a group that are compared with as many others in one matrix product.
+SIDE = 128
+
+
+def group_links(features: list[np.ndarray], c: np.ndarray, holds: Callable) -> list[tuple[int, int]]:
+    """Pairs of places in a group, of different components, for which ``holds`` (sizes,
+    sizes, common counts as arrays) says so: only as many as join components. Intersections
+    are matrix products of blocks, so no pair of rows is ever written out."""
+    order = np.argsort(c, kind="stable")
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
+
+    out, sizes = [], np.array([len(f) for f in features])
+    for i in range(0, len(order), SIDE):
+        rows = order[i : i + SIDE]
+        own = np.concatenate([features[k] for k in rows])
+        names, column = np.unique(own, return_inverse=True)
+        a = np.zeros((len(rows), len(names)), np.float32)
+        a[np.repeat(np.arange(len(rows)), sizes[rows]), column] = 1
+        for j in range(i, len(order), SIDE):
+            cols = order[j : j + SIDE]
+            if c[rows].min() == c[rows].max() == c[cols].min() == c[cols].max():
+                continue
+            other = np.concatenate([features[k] for k in cols])
+            at = np.minimum(np.searchsorted(names, other), max(len(names) - 1, 0))
+            known = names[at] == other if len(names) else np.zeros(len(other), bool)
+            b = np.zeros((len(cols), len(names)), np.float32)
+            b[np.repeat(np.arange(len(cols)), sizes[cols])[known], at[known]] = 1
+            ok = holds(sizes[rows][:, None], sizes[cols][None], np.rint(a @ b.T).astype(np.int64)) & (c[rows][:, None] != c[cols][None])
+            for x, y in zip(*np.nonzero(ok)):
+                p, r = root(int(c[rows[x]])), root(int(c[cols[y]]))
+                if p != r:
+                    up[max(p, r)] = min(p, r)
+                    out.append((int(rows[x]), int(cols[y])))
+    return out
+
+
+def _engaged_step(admit: Admit):
+    def step(table: pa.Table) -> pa.Table:
+        keep = engaged(*(table.column(k).to_numpy() for k in ("t", "x", "y", "p", "s", "c")), admit)
+        table = table.select(["bucket", "t", "x", "c"]).filter(pa.array(keep)).sort_by("t")
+        starts = _groups(t := table.column("t").to_numpy())
+        rows = mix(table.column("x").to_numpy().view(np.uint64))
+        sig = np.repeat(mix(np.add.reduceat(rows, starts)), np.diff(np.append(starts, len(t)))) if len(t) else rows
+        return table.append_column("sig", pa.array(sig.view(np.int64)))
+
+    return step
+
+
+def _resolve_step(features, holds):
+    def step(table: pa.Table) -> pa.Table:
+        t, d, c = (table.column(k).to_numpy() for k in ("t", "x", "c"))
+        texts, known, a, b = table.column("text"), {}, [], []
+        order = np.argsort(t, kind="stable")
+        for rows in np.split(order, _groups(t[order])[1:]) if len(t) else []:
+            for k in rows:
+                if d[k] not in known:
+                    known[d[k]] = features(texts[int(k)].as_py() or "")
+            for x, y in group_links([known[d[k]] for k in rows], c[rows], holds):
+                a.append(d[rows[x]]), b.append(d[rows[y]])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return step
+
+
+def linked_components(blobs: DataFrame, texts, features, linked, admit: Admit, links: DataFrame | None = None, record: np.dtype = RECORD, dense: bool = False) -> DataFrame:
     """Components (``node``, ``component``) of the items in ``blobs`` under
     ``linked``; ``links`` (a, b) are known already, such as those of copies.
-    ``record`` may lack the digest, size and position, which then tell nothing."""
+    ``record`` may lack all but key and item; what it lacks tells nothing. With
+    ``dense``, for pair filters that can't tell near misses from links, the pairs left
+    over are compared group by group in blocks of matrix products."""
     spark = blobs.sparkSession
-    first = materialise(blobs.groupBy("bucket").applyInArrow(_star_step(admit, record), "kind long, t long, x long, y long, p long"), "stars")
+    first = materialise(blobs.groupBy("bucket").applyInArrow(_star_step(admit, record), "kind long, t long, x long, y long, p long, s long"), "stars")
     pairs = materialise(first.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    sure = verify(pairs, texts, features, linked)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    need = materialise((ids.unionByName(first.filter("kind = 1").select(F.col("x").alias("id"))) if dense else ids).distinct(), "ids")
+    some = fetched(texts, need)
+    sure = verify(pairs, some, features, linked)
     known = sure if links is None else sure.unionByName(links)
     labels = components(known)
     rest = first.filter("kind = 1").join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("c", F.coalesce("component", "x"))
-    rest = rest.withColumn("bucket", F.pmod("t", F.lit(4 * parts(spark)))).select("bucket", "t", "x", "y", "p", "c")
-    more = rest.groupBy("bucket").applyInArrow(_cross_step(admit), "a long, b long").distinct()
-    more = materialise(more, "crossing")
-    discard(first)
-    out = components(known.unionByName(verify(more, texts, features, linked)))
-    for x in (pairs, more):
+    rest = rest.withColumn("bucket", F.pmod("t", F.lit(4 * parts(spark)))).select("bucket", "t", "x", "y", "p", "s", "c")
+    gone = [first, pairs, need, some]
+    if dense:
+        apart = materialise(rest.groupBy("bucket").applyInArrow(_engaged_step(admit), "bucket long, t long, x long, c long, sig long"), "apart")
+        once = apart.groupBy("sig").agg(F.min("t").alias("t"))  # groups of the same rows are compared once
+        full = apart.join(once, ["sig", "t"], "left_semi").join(some.withColumnRenamed("id", "x"), "x").select("bucket", "t", "x", "c", "text")
+        more = materialise(full.groupBy("bucket").applyInArrow(_resolve_step(features, linked), "a long, b long"), "crossing")
+        out = components(known.unionByName(more))
+        gone += [apart, more]
+    else:
+        more = materialise(rest.groupBy("bucket").applyInArrow(_cross_step(admit), "a long, b long").distinct(), "crossing")
+        need = materialise(more.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        again = fetched(texts, need)
+        out = components(known.unionByName(verify(more, again, features, linked)))
+        gone += [more, need, again]
+    for x in gone:
         discard(x)
     return out
