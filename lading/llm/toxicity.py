@@ -49,7 +49,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -40, 40)))
 
 
-def fit(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 1e-3, steps: int = 400, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 1e-4, steps: int = 400, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing cuts by accelerated gradient steps on the mean negative
     log-likelihood of the cumulative-link model."""
     n, d = x.shape
@@ -61,7 +61,7 @@ def fit(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 1e-3, step
     square = np.zeros_like(theta)
     for step in range(1, steps + 1):
         w, cuts = theta[:d], np.cumsum(np.concatenate([theta[d : d + 1], np.exp(theta[d + 1 :])]))
-        z = 1 / (1 + np.exp(np.clip(-(cuts[None, :] - (x @ w)[:, None]), -40, 40)))
+        z = 1 / (1 + np.exp(np.clip(-(cuts[None, :] - (x @ w.astype(x.dtype))[:, None]), -40, 40)))
         full = np.concatenate([np.zeros((n, 1)), z, np.ones((n, 1))], 1)
         p = np.maximum(full[np.arange(n), grade + 1] - full[np.arange(n), grade], 1e-9)
         slope = np.concatenate([np.zeros((n, 1)), z * (1 - z), np.zeros((n, 1))], 1)
@@ -71,7 +71,7 @@ def fit(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 1e-3, step
         by_cut[np.arange(n), grade] += low
         cut = by_cut[:, 1:grades].mean(0)
         tail = np.cumsum(cut[::-1])[::-1]
-        g = np.concatenate([x.T @ (up - low) / n + ridge * w, tail[:1], tail[1:] * np.exp(theta[d + 1 :])])
+        g = np.concatenate([(up - low).astype(x.dtype) @ x / n + ridge * w, tail[:1], tail[1:] * np.exp(theta[d + 1 :])])
         momentum = 0.9 * momentum + 0.1 * g
         square = 0.99 * square + 0.01 * g * g
         theta = theta - rate * 0.1 * (momentum / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8) * (1 - step / (steps + 1))

@@ -57,10 +57,12 @@ def test_toxic_documents(spark):
 
 
 def test_toxicity_on_documents_it_has_not_seen(spark):
-    docs, labels = table(spark, "documents"), table(spark, "labels").filter("toxic is not null")
+    larger = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet").filter("toxic is not null")
     model = tox.train_on_labels(docs, labels.filter("doc_id % 3 <> 0"))
-    got = tox.score_toxicity(docs.select("doc_id", "text"), model).join(labels.filter("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("y")), "doc_id").collect()
-    assert sum(r.toxic == bool(r.y) for r in got) >= 0.95 * len(got)
+    got = tox.score_toxicity(docs.select("doc_id", "text"), model).join(labels.filter("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("y")), "doc_id").select("toxic", "y").collect()
+    assert sum(r.toxic and r.y == 1 for r in got) >= 0.8 * sum(r.y == 1 for r in got)  # of about 300 toxic documents to learn from
+    assert sum(r.toxic and r.y == 0 for r in got) <= 0.003 * sum(r.y == 0 for r in got)
 
 
 def test_ordinal_regression_orders_grades():
@@ -77,7 +79,7 @@ def test_ordinal_regression_orders_grades():
 
     def loss(v):
         full = np.concatenate([np.zeros((600, 1)), 1 / (1 + np.exp(-(cuts[None] - (x @ v)[:, None]))), np.ones((600, 1))], 1)
-        return -np.log(full[np.arange(600), grade + 1] - full[np.arange(600), grade]).mean() + 5e-4 * (v * v).sum()
+        return -np.log(full[np.arange(600), grade + 1] - full[np.arange(600), grade]).mean() + 5e-5 * (v * v).sum()
 
     step = np.zeros_like(w)
     step[k] = eps
