@@ -62,11 +62,24 @@ def overlap(nx, ny, num: int, den: int):
     return -((-num * (nx + ny)) // (num + den))
 
 
-def _admit(nx, px, ny, py, num: int, den: int):
-    """Length and positional filter: what precedes the first common shingle is not
-    common, so the overlap is at most what is left of either set."""
+def suffix_summary(h: np.ndarray) -> int:
+    """How many shingles lie in each eighth of the order of hashes, at most 255, a byte each."""
+    counts = np.bincount((h >> np.uint64(61)).astype(np.int64), minlength=8)
+    return int(np.minimum(counts, 255).astype(np.uint8).view("<u8")[0])
+
+
+def _admit(nx, px, sx, ny, py, sy, num: int, den: int):
+    """Length, positional and suffix filter. What precedes the first common shingle is
+    not common, so the overlap is at most what is left of either set. Parted at fixed
+    pivots, sets differ by at least the sum of the differences of their parts' sizes."""
     nx, px, ny, py = (np.asarray(v).astype(np.int64) for v in (nx, px, ny, py))
-    return (den * np.minimum(nx, ny) >= num * np.maximum(nx, ny)) & (np.minimum(nx - px, ny - py) >= overlap(nx, ny, num, den))
+    need = overlap(nx, ny, num, den)
+    ok = (den * np.minimum(nx, ny) >= num * np.maximum(nx, ny)) & (np.minimum(nx - px, ny - py) >= need)
+    if ok.any():
+        sx, sy = np.asarray(sx).astype(np.uint64), np.asarray(sy).astype(np.uint64)
+        differ = sum(np.abs((sx >> np.uint64(k) & np.uint64(255)).astype(np.int16) - (sy >> np.uint64(k) & np.uint64(255)).astype(np.int16)).astype(np.int64) for k in range(0, 64, 8))
+        ok = ok & (2 * need <= nx + ny - differ)
+    return ok
 
 
 def _linked(nx: int, ny: int, common: int, num: int, den: int) -> bool:
@@ -92,8 +105,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     Shingles are ordered rare-first by a frequency sketch of all documents (two rows
     of counters of fixed size; any total order gives right results, the sketch only
     makes it selective). A set's prefix is what must hold a common shingle with each
-    partner. Prefix shingles meet in buckets; length and positional filters thin the
-    pairs, a pair is verified once on whole sets, and groups of similar texts are
+    partner. Prefix shingles meet in buckets; length, positional and suffix filters thin
+    the pairs, a pair is verified once on whole sets, and groups of similar texts are
     resolved without expanding them into all pairs (see ``similarity``)."""
     spark = docs.sparkSession
     rows = docs.select(q(id_col).cast("long").alias("id"), q(text_col).cast("string").alias("text"))
@@ -118,7 +131,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
                     order = np.lexsort((h, freq))[:length]
                     r = np.empty(len(order), RECORD)
                     r["t"], r["d"], r["n"], r["p"] = h[order], d, size, np.arange(len(order))
-                    r["g"] = int(mix(h).sum(dtype=np.uint64)) >> 32
+                    r["g"], r["s"] = int(mix(h).sum(dtype=np.uint64)) >> 32, suffix_summary(h)
                     yield r
 
         yield from packed(found(), buckets)

@@ -77,3 +77,25 @@ def test_components(spark, links):
     df = spark.createDataFrame(links, "a long, b long").repartition(4)
     got = {(r.node, r.component) for r in components(df).collect()}
     assert got == {x for x in forest(links) if x[0] != x[1]}
+
+
+def test_filters_never_lose_a_pair():
+    import numpy as np
+
+    from lading.llm.ngram_join import _admit, suffix_summary
+
+    rng = np.random.default_rng(0)
+    lost = pruned = 0
+    for _ in range(3000):
+        base = rng.integers(0, 2**64, rng.integers(1, 80), dtype=np.uint64)
+        x = np.unique(base)
+        y = np.unique(np.where(rng.random(len(base)) < rng.choice([0.02, 0.1, 0.5]), rng.integers(0, 2**64, len(base), dtype=np.uint64), base))
+        common = np.intersect1d(x, y)
+        if not len(common):
+            continue
+        px, py = np.searchsorted(x, common[0]), np.searchsorted(y, common[0])
+        links = 100 * len(common) >= 85 * (len(x) + len(y) - len(common))
+        ok = bool(_admit(len(x), px, suffix_summary(x), len(y), py, suffix_summary(y), 85, 100))
+        lost += links and not ok
+        pruned += not links and not ok
+    assert lost == 0 and pruned > 500
