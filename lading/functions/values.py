@@ -81,3 +81,8 @@ def access_summary(cost: Column) -> Column:
     solid = F.concat(F.lit("solid ("), F.concat_ws("; ", listing, blocks), F.lit(")"))
     head = F.when(cost["listing"] == "indexed", "random (indexed)").when(cost["listing"] == "requires_scanning", "random (listing requires scan)").otherwise("random (listing requires decompression)")
     return F.when(cost["access"] == "solid", solid).otherwise(head)
+
+
+def type_predicates(kind: Column) -> dict[str, Column]:
+    """``is_file``, ``is_dir``, ``is_link`` (either sort), ``is_other``, ``is_anti``."""
+    return {"is_file": kind == "file", "is_dir": kind == "directory", "is_link": kind.isin("symlink", "hardlink"), "is_other": kind == "other", "is_anti": kind == "anti"}

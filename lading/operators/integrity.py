@@ -45,3 +45,10 @@ def confirmed_duplicates(members: DataFrame, content: DataFrame) -> DataFrame:
     whole = F.aggregate("v", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["data"]))
     hashed = parts.select("size", "crc32", F.sha2(whole, 256).alias("sha256"))
     return hashed.groupBy("size", "crc32", "sha256").agg(F.count("*").alias("copies")).filter("copies > 1")
+
+
+def io_stats(members: DataFrame, content: DataFrame) -> DataFrame:
+    """Of each archive: bytes decoded, members read, and the packed bytes of those whose packed size is known."""
+    read = verdicts(content).select("archive_id", "member_id", "bytes")
+    rows = read.join(members.select("archive_id", "member_id", "compressed_size"), ["archive_id", "member_id"])
+    return rows.groupBy("archive_id").agg(F.sum("bytes").alias("bytes_decoded"), F.sum("compressed_size").alias("bytes_packed"), F.count("*").alias("members_read"))

@@ -6,8 +6,10 @@ import bz2
 import gzip
 import io
 import lzma
+import struct
 import tarfile
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +54,12 @@ def _lz4(data: bytes) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-COMPRESS = {"gz": lambda d: gzip.compress(d, mtime=0), "bz2": bz2.compress, "xz": lzma.compress, "lzma": lambda d: lzma.compress(d, lzma.FORMAT_ALONE), "zst": _zstd, "lz4": _lz4, "br": _arrow("brotli"), "zz": lambda d: __import__("zlib").compress(d)}
+def _lzip(data: bytes) -> bytes:
+    raw = lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << 20}])
+    return b"LZIP\x01\x14" + raw + struct.pack("<IQQ", zlib.crc32(data), len(data), len(raw) + 26)
+
+
+COMPRESS = {"gz": lambda d: gzip.compress(d, mtime=0), "bz2": bz2.compress, "xz": lzma.compress, "lzma": lambda d: lzma.compress(d, lzma.FORMAT_ALONE), "zst": _zstd, "lz4": _lz4, "br": _arrow("brotli"), "zz": zlib.compress, "lz": _lzip}
 
 
 def packed(rows: DataFrame, kind: str = "zip") -> DataFrame:
@@ -82,3 +89,13 @@ def compressed(rows: DataFrame, stream: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array([COMPRESS[stream](d) for d in batch.column(1).to_pylist()], pa.binary())], names=["path", "content"])
 
     return rows.select("path", "data").mapInArrow(step, _OUT)
+
+
+def concatenated(rows: DataFrame, stream: str) -> DataFrame:
+    """One file for each ``archive`` of ``rows`` (archive, name, data): a compressed stream for each row, in order of name."""
+
+    def build(table: pa.Table) -> pa.Table:
+        inner = sorted(zip(table.column("name").to_pylist(), table.column("data").to_pylist()))
+        return pa.table([table.column("archive").slice(0, 1), pa.array([b"".join(COMPRESS[stream](d) for _, d in inner)], pa.binary())], names=["path", "content"])
+
+    return rows.groupBy("archive").applyInArrow(build, _OUT)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from lading.functions import digests, names, values
 from lading.operators import diagnostics as diag
 from lading.operators import extraction, integrity, links, members as ops
-from lading.plans.pack import compressed, packed
+from lading.plans.pack import compressed, concatenated, packed
 from lading.sources import archive as src
+from lading.sources.splits import split_decode
 from lading.sources.detect import by_extension, by_magic, detect
 from lading.sources.volumes import joined_volumes, volume_sets
 
@@ -179,7 +180,7 @@ def _stream(stream: str, name: str):
     query(f"SELECT 'doc-' || doc_id || '.{stream}' AS archive_id, 'doc-' || doc_id AS name, sha256(encode(text)) AS sha256 FROM documents WHERE text <> ''")(run)
 
 
-for _s, _n in (("gz", "b16_single_gzip"), ("xz", "c04_single_xz"), ("lzma", "c06_lzma_alone"), ("zz", "c08_zlib"), ("br", "c11_brotli")):
+for _s, _n in (("gz", "b16_single_gzip"), ("xz", "c04_single_xz"), ("lzma", "c06_lzma_alone"), ("zz", "c08_zlib"), ("br", "c11_brotli"), ("lz", "c05_lzip")):
     _stream(_s, _n)
 
 
@@ -464,3 +465,37 @@ def e18_format_labels(spark, sf):
     f = spark.createDataFrame([("zip", "uncompressed"), ("tar", "gz"), ("raw_stream", "lz"), ("7z", "uncompressed"), ("raw_stream", "gz")], "container string, stream string")
     fmt = F.struct("container", "stream")
     return f.select(F.concat("container", "stream").alias("format"), names.file_extension(fmt).alias("extension"), names.display_name(fmt).alias("display_name"))
+
+
+def _split(stream: str, name: str):
+    def run(spark, sf):
+        files = concatenated(_documents(spark, sf, stream).filter("octet_length(data) > 0"), stream)
+        return split_decode(files).select(F.col("path").alias("archive_id"), "split", "start", F.sha2("data", 256).alias("sha256"))
+
+    run.__name__ = name
+    query(f"""WITH {_own(stream)}, n AS (SELECT *, row_number() OVER w - 1 AS split, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM m WHERE size > 0 WINDOW w AS (PARTITION BY archive_id ORDER BY name))
+SELECT archive_id, split::INT AS split, start::BIGINT AS start, sha256(data) AS sha256 FROM n""")(run)
+
+
+_split("xz", "c17_split_decode_xz")
+_split("lz", "c17_split_decode_lzip")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN o_orderdate::TIMESTAMP ELSE o_orderdate::TIMESTAMP - INTERVAL 5 HOUR END AS at FROM orders")
+def e14_modified_utc(spark, sf):
+    wall, even = F.col("o_orderdate").cast("timestamp_ntz"), F.col("o_orderkey") % 2 == 0
+    utc = F.col("o_orderdate").cast("timestamp")
+    time = F.struct(F.when(~even, wall).alias("wall"), F.when(even, utc).alias("utc"))
+    return _table(spark, sf, "orders").select("o_orderkey", values.modified_utc(time, "Etc/GMT-5").cast("timestamp_ntz").alias("at"))
+
+
+@query(f"WITH {_own()} SELECT archive_id, sum(size)::BIGINT AS bytes_decoded, count(*)::BIGINT AS members_read FROM m GROUP BY archive_id")
+def a15_io_stats(spark, sf):
+    z = _zips(spark, sf)
+    return integrity.io_stats(src.members(z), src.content(z)).select("archive_id", "bytes_decoded", "members_read")
+
+
+@query(f"WITH t AS ({_TURNS}) SELECT archive_id, count(*) FILTER (WHERE length(text) % 5 = 0)::BIGINT AS links, count(*) FILTER (WHERE length(text) % 5 <> 0)::BIGINT AS files FROM t GROUP BY archive_id")
+def e05_type_predicates(spark, sf):
+    kind = values.type_predicates(F.col("type"))
+    return _turns(spark, sf).groupBy("archive_id").agg(F.count_if(kind["is_link"]).alias("links"), F.count_if(kind["is_file"]).alias("files"))

@@ -11,4 +11,10 @@ MODULES = {"zip": "zip", "tar": "tar", "7z": "sevenzip", "rar": "rar", "iso": "i
 
 def handler(container: str) -> ModuleType:
     """The module of a container: ``listing(src, archive)`` yields member rows, ``content(src, archive, wanted)`` yields (member row, chunks)."""
-    return importlib.import_module(f"lading.sources.formats.{MODULES[container]}")
+    name = MODULES[container]
+    return importlib.import_module(name if "." in name else f"lading.sources.formats.{name}")
+
+
+def register_format(container: str, module: str) -> None:
+    """Adds a container: the full name of an importable module with ``listing``, ``content`` and ``cost``."""
+    MODULES[container] = module
