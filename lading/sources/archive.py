@@ -266,7 +266,7 @@ def format_table(spark: SparkSession) -> DataFrame:
     import importlib.util
 
     have = lambda name: importlib.util.find_spec(name) is not None
-    missing = {"zip": [("inflate64", "deflate64"), ("pyppmd", "ppmd"), ("cryptography", "aes")], "7z": [("inflate64", "deflate64"), ("pyppmd", "ppmd"), ("cryptography", "aes")], "rar": [("unrar", "compressed data"), ("cryptography", "encryption")]}
+    missing = {"zip": [("inflate64", "deflate64"), ("pyppmd", "ppmd")], "7z": [("inflate64", "deflate64"), ("pyppmd", "ppmd")], "rar": [("unrar", "compressed data")]}
     rows = []
     for container in MODULES:
         for stream in STREAMS if container in ("tar", "raw_stream") else ["uncompressed"]:

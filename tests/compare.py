@@ -1,6 +1,5 @@
 """Holds a query's rows against its SQL run by DuckDB on the same tables."""
 
-import glob
 import math
 import os
 
