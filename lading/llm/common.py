@@ -116,6 +116,14 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data, offsets
 
 
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each row, without the way over strings; null rows are empty."""
+    data, offsets = text_buffers(column)
+    whole = memoryview(data)
+    ends = offsets.tolist()
+    return [whole[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+
 def spans(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of rows with about ``most`` bytes each, so that temporaries stay small."""
     i, n = 0, len(offsets) - 1
@@ -204,3 +212,8 @@ def char_shingles(text: str, k: int) -> np.ndarray:
     if width < k:
         h = h[: len(h) - (k - width)] * np.uint64(r) + h[k - width :]
     return mix(h)
+
+
+def sorted_distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h

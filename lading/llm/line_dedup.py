@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import LOWER, UPPER, char_shingles, materialise, mix, others, parts, q
+from lading.llm.common import LOWER, UPPER, char_shingles, materialise, mix, others, parts, q, raw_texts, sorted_distinct
 from lading.llm.similarity import BLOBS, linked_components, packed
 
 #: key, line, and 64 bits of its minima
@@ -21,18 +21,18 @@ _FOLD = bytes.maketrans(UPPER.encode() + b"\t\r\v\f", LOWER.encode() + b"    ")
 _CHUNK = 1 << 20
 #: Lines remembered as seen in a task.
 _SEEN = 500_000
-#: Of 64 bits, two lines with Jaccard 0.8 differ in 6.4 on average; more than this (over
-#: four standard deviations) and a pair isn't verified.
-APART = 17
+#: Of 64 bits, two lines with Jaccard 0.8 differ in 6.4 on average; more than this (three
+#: standard deviations, 2 pairs in 1000) and a pair isn't verified.
+APART = 14
 _NONE = np.uint32(2**32 - 1)
 #: Ids up to this many go to the tasks that fetch lines (8 bytes each); more are joined.
 FEW_IDS = 1_000_000
 
 
-def normals(text: str) -> list[bytes]:
+def normals(text: bytes) -> list[bytes]:
     """The lines of a text as they are compared: A-Z folded, runs of ASCII white space one blank, ends trimmed."""
     out = []
-    for line in text.encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n"):
+    for line in text.translate(_FOLD).split(b"\n"):
         line = line.strip()
         out.append(b" ".join(line.split()) if b"  " in line else line)
     return out
@@ -50,9 +50,9 @@ def _places(batches):
     """A row for each line that isn't blank: document, text hash, line number, digest."""
     for batch in batches:
         counts, numbers, lines = [], [], []
-        for text in batch.column(2).to_pylist():
+        for text in raw_texts(batch.column(2)):
             before = len(lines)
-            for k, line in enumerate(normals(text or "")):
+            for k, line in enumerate(normals(text)):
                 if line:
                     numbers.append(k)
                     lines.append(_digest(line))
@@ -66,8 +66,8 @@ def _distinct(batches):
     seen: set[int] = set()
     for batch in batches:
         out = []
-        for text in batch.column(batch.num_columns - 1).to_pylist():
-            for line in normals(text or ""):
+        for text in raw_texts(batch.column(batch.num_columns - 1)):
+            for line in normals(text):
                 if line and (d := _digest(line)) not in seen:
                     seen.add(d)
                     out.append((d, line))
@@ -91,7 +91,8 @@ def signatures(lines: list[bytes], k: int, bins: int) -> np.ndarray:
     by one permutation: a shingle's hash picks a bin, each bin keeps its minimum, and an
     empty bin takes over its right neighbour's, so that every bin of two lines agrees
     with the probability of their Jaccard similarity."""
-    out = np.full((len(lines), bins), _NONE, np.uint32)
+    slots = np.full(len(lines) * bins + 1, _NONE, np.uint32)  # the last is for shingles that run over a line's end
+    out = slots[:-1].reshape(len(lines), bins)
     i = 0
     while i < len(lines):
         j, size = i, 0
@@ -114,11 +115,9 @@ def signatures(lines: list[bytes], k: int, bins: int) -> np.ndarray:
         ends = np.cumsum(lengths)
         place = np.repeat(np.arange(i, j, dtype=np.int64) * bins, lengths)[: len(h)]
         place += ((h >> np.uint32(20)) * np.uint32(bins) >> np.uint32(12)).astype(np.int64)
-        inside = np.ones(len(h), bool)
-        for n in range(1, k):  # shingles that run over a line's end
-            over = ends - n
-            inside[over[over < len(h)]] = False
-        np.minimum.at(out.reshape(-1), place[inside], (h * np.uint32(0x9E3779B1) >> np.uint32(1))[inside])
+        over = (ends[:, None] - np.arange(1, k)).ravel()
+        place[over[over < len(h)]] = len(slots) - 1
+        np.minimum.at(slots, place, h * np.uint32(0x9E3779B1) >> np.uint32(1))
         i = j
     for _ in range(2):
         for n in range(bins - 1, -1, -1):
@@ -136,11 +135,12 @@ def _bands(batches, k: int, bands: int, rows: int, buckets: int):
                 continue
             s = signatures([x for _, x in out], k, bands * rows)
             s = s.astype(np.uint64)
-            m = mix(s)
+            m = s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
             bits = ((np.concatenate([m, m >> np.uint64(7)], 1)[:, :64] & np.uint64(1)) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
             key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(out), bands)).copy()
             for n in range(rows):
-                key = mix(key * np.uint64(0x100000001B3) ^ s[:, n::rows])
+                key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ s[:, n::rows]
+            key = mix(key)
             r = np.empty(key.size, _LINE)
             r["t"], r["d"] = key.ravel(), np.repeat([d for d, _ in out], bands)
             r["s"] = np.repeat(bits, bands)
@@ -159,7 +159,7 @@ def _alike(nx, ny, common, num: int, den: int):
 
 
 def _features(line: str, k: int) -> np.ndarray:
-    return np.unique(char_shingles(line, k))
+    return sorted_distinct(char_shingles(line, k))
 
 
 def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands: int = 12, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +190,7 @@ def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands
     def texts(need: DataFrame) -> DataFrame:
         if need.count() > FEW_IDS:
             return only.mapInArrow(_line_texts, "id long, text string").join(need, "id", "left_semi")
-        ids = np.sort(np.array([r["id"] for r in need.collect()], np.int64))  # at most FEW_IDS
+        ids = np.sort(need.toArrow()["id"].to_numpy())  # at most FEW_IDS
         return only.mapInArrow(partial(_line_texts, wanted=spark.sparkContext.broadcast(ids)), "id long, text string")
 
     like = linked_components(blobs, texts, partial(_features, k=k), partial(_alike, num=num, den=den), _near, record=_LINE, dense=True)
@@ -201,10 +201,12 @@ def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands
     kept = copies.groupBy("c").agg(F.min(F.struct("id", "line")).alias("kept"))
     gone = copies.join(kept, "c").filter((F.col("id") != F.col("kept.id")) | (F.col("line") != F.col("kept.line")))
     gone = gone.groupBy(F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th")).agg(F.collect_set("line").alias("__gone"))
-    whole = docs.select(*(q(c) for c in others(docs, "n_lines", "n_dropped", "__gone", "__gone_id", "__gone_th")))
+    whole = docs.select(*(q(c) for c in others(docs, "n_lines", "n_dropped", "__gone", "__gone_id", "__gone_th", "__lines")))
     joined = whole.join(gone.hint("shuffle_hash"), (F.col("__gone_id") == q(id_col).cast("long")) & (F.col("__gone_th") == F.xxhash64(q(text_col))), "left")
-    lines, none = F.split(q(text_col), "\n"), F.col("__gone").isNull()
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
+    none = F.col("__gone").isNull()
+    # an attribute, so that the lambda below doesn't split the text again for each line
+    joined = joined.select("*", F.explode_outer(F.array(F.when(~none, F.split(q(text_col), "\n")))).alias("__lines"))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")), lambda i: F.get(F.col("__lines"), i))
     text = F.when(none, q(text_col)).otherwise(F.array_join(stay, "\n"))
     counts = {"n_lines": F.when(q(text_col).isNull(), 0).otherwise(F.octet_length(q(text_col)) - F.octet_length(F.replace(q(text_col), F.lit("\n"), F.lit(""))) + 1), "n_dropped": F.when(none, 0).otherwise(F.size("__gone"))}
     return joined.select(*(text.alias(c) if c == text_col else q(c) for c in whole.columns), *(x.cast("long").alias(c) for c, x in counts.items()))

@@ -12,7 +12,7 @@ def brute(rows, k=8):
     """Lines kept by exact Jaccard over all pairs of distinct lines."""
     first, where = {}, []
     for i, t in rows:
-        for n, line in enumerate(normals(t or "")):
+        for n, line in enumerate(normals((t or "").encode())):
             if line:
                 where.append((i, n, line))
                 first[line] = min(first.get(line, (i, n)), (i, n))
