@@ -38,22 +38,22 @@ def _pair(container: str, stream: str) -> Column:
     return F.struct(F.lit(container).alias("container"), F.lit(stream).alias("stream"))
 
 
-_NOTHING = "struct<container:string,stream:string>"
+def _first(cases: list[tuple[Column, str, str]]) -> Column:
+    """The format of the first condition that holds, in one flat CASE."""
+    out = F
+    for condition, container, stream in cases:
+        out = out.when(condition, _pair(container, stream))
+    return out
 
 
 def by_magic(content: Column, table=MAGIC) -> Column:
     """The first signature that fits, as a format; null without one."""
-    out = F.lit(None).cast(_NOTHING)
-    for offset, magic, container, stream in reversed(table):
-        out = F.when(F.substring(content, offset + 1, len(magic)) == F.lit(magic), _pair(container, stream)).otherwise(out)
-    return out
+    return _first([(F.substring(content, offset + 1, len(magic)) == F.lit(magic), container, stream) for offset, magic, container, stream in table])
 
 
 def by_extension(path: Column) -> Column:
-    out = F.lit(None).cast(_NOTHING)
-    for end, (container, stream) in sorted(EXTENSIONS.items(), key=lambda e: len(e[0])):
-        out = F.when(F.lower(path).endswith(end), _pair(container, stream)).otherwise(out)
-    return out
+    """The format of the longest ending that fits; null without one."""
+    return _first([(F.lower(path).endswith(end), container, stream) for end, (container, stream) in sorted(EXTENSIONS.items(), key=lambda e: -len(e[0]))])
 
 
 def _decodes(head: bytes, stream: str) -> bool:
@@ -140,7 +140,7 @@ def detect(files: DataFrame) -> DataFrame:
 
     direct = rows.filter(sure).select("path", "found.container", "found.stream", F.lit("certain").alias("confidence"), F.lit("magic").alias("detected_by"), F.lit(0).cast("long").alias("payload_offset"))
     rest = rows.filter(~sure).select("path", F.substring("content", 1, PROBE).alias("head")).mapInArrow(probe, _OUT)
-    named = by_extension(F.col("path"))
+    named = F.col("_named")
     benign = (F.col("format.container") == "raw_stream") & (named["container"] == "tar") & (named["stream"] == F.col("format.stream"))
-    out = direct.unionByName(rest).select("path", F.struct("container", "stream").alias("format"), "confidence", "detected_by", "payload_offset")
-    return out.withColumn("extension_conflict", F.coalesce((named != F.col("format")) & ~benign & (F.col("detected_by") != "extension"), F.lit(False)))
+    out = direct.unionByName(rest).select("path", F.struct("container", "stream").alias("format"), "confidence", "detected_by", "payload_offset", by_extension(F.col("path")).alias("_named"))
+    return out.withColumn("extension_conflict", F.coalesce((named != F.col("format")) & ~benign & (F.col("detected_by") != "extension"), F.lit(False))).drop("_named")
