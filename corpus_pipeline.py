@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lading.llm import decontaminate as bench
 from lading.llm.common import materialise
 from lading.llm.language_id import UNKNOWN, classify, held_out, train
-from lading.llm.line_dedup import line_dedup
+from lading.llm.line_dedup import SHINGLE, line_dedup
 from lading.llm.ngram_join import ngram_join
 from lading.llm.packing import best_fit
 
@@ -37,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of like lines in all documents one stays; documents that lose all their text go."""
-    out = line_dedup(docs).filter((F.col("n_dropped") == 0) | F.col("text").rlike("\\S"))
+    out = line_dedup(docs, SHINGLE).filter((F.col("n_dropped") == 0) | F.col("text").rlike("\\S"))
     return out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(COLUMNS)
 
 

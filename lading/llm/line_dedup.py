@@ -17,6 +17,8 @@ from lading.llm.similarity import BLOBS, linked_components, packed
 #: key, line, and 64 bits of its minima
 _LINE = np.dtype([("t", "<u8"), ("d", "<i8"), ("s", "<u8")])
 _FOLD = bytes.maketrans(UPPER.encode() + b"\t\r\v\f", LOWER.encode() + b"    ")
+#: Characters in a shingle of the registered queries.
+SHINGLE = 5
 #: Bytes of lines hashed at once.
 _CHUNK = 1 << 20
 #: Lines remembered as seen in a task.
@@ -162,7 +164,7 @@ def _features(line: str, k: int) -> np.ndarray:
     return sorted_distinct(char_shingles(line, k))
 
 
-def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands: int = 12, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands: int = 12, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one line kept of each group of like lines in the whole table, and
     the columns ``n_lines`` and ``n_dropped`` after them.
 
@@ -170,7 +172,7 @@ def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands
     Two lines are alike when ``den * intersection >= num * union`` of their sets of
     ``k``-character shingles (a shorter line is one shingle). Groups are the connected
     components of the likeness that the MinHash bands find: a pair with Jaccard j shares
-    one of the ``bands`` with probability ``1 - (1 - j**rows)**bands``, 0.998 at 0.8.
+    one of the ``bands`` with probability ``1 - (1 - j**rows)**bands``, 0.9998 at 0.8.
     The line with the smallest (id, line number) stays. Blank lines are never compared
     or dropped. A null text stays null, with 0 lines; an empty text has one blank line.
     Rows with a null id stay as they are. Rows that share an id and a text are one

@@ -10,7 +10,7 @@ from lading.llm.decontaminate import decontaminate
 from lading.llm.language_id import classify, held_out
 from lading.llm.language_id import train as train_language
 from lading.llm.license_scan import BASE, REACH, TEMPLATES, license_scan
-from lading.llm.line_dedup import line_dedup
+from lading.llm.line_dedup import SHINGLE, line_dedup
 from lading.llm.ngram_join import ngram_join
 from lading.llm.packing import best_fit
 from lading.llm.secret_scan import digests, findings
@@ -73,7 +73,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup(_table(spark, sf_dir, "documents"), SHINGLE).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_nearest_neighbours, op3_benchmark_decontamination, op4_license_scan, op5_best_fit_packing, op6_secret_scan, op7_language_id, op8_url_filter, op9_ngram_jaccard_join, op10_line_dedup)}

@@ -3,7 +3,8 @@ from pyspark.sql import types as T
 
 from lading.llm.components import forest
 from lading.llm.common import char_shingles
-from lading.llm.line_dedup import line_dedup, normals, signatures
+from lading.llm.line_dedup import SHINGLE, line_dedup, normals, signatures
+from lading.llm.queries import QUERIES
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.StringType())])
 
@@ -83,3 +84,18 @@ def test_signatures_estimate_jaccard():
     s = signatures([a.encode(), b.encode()], 8, 256)
     u, v = (set(char_shingles(x, 8).tolist()) for x in (a, b))
     assert abs((s[0] == s[1]).mean() - len(u & v) / len(u | v)) < 0.12
+
+
+def test_one_changed_character_in_the_middle_of_a_line(spark):
+    lines = ["the committee met on tuesday to discuss the annual budget", "seven grey herons stood beside the frozen river at dawn today"]
+    near = [x[:30] + "#" + x[31:] for x in lines]  # 5-character shingles: Jaccard above 0.8; 8-character ones: below
+    docs = spark.createDataFrame([(1, "\n".join(lines), "x"), (2, "\n".join(near), "x")], SCHEMA)
+    got = {r.doc_id: r for r in line_dedup(docs, SHINGLE).collect()}
+    assert got[1].n_dropped == 0 and got[2].n_dropped == 2
+
+
+def test_against_brute_force_with_short_shingles(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got, want = {r.doc_id: r.text for r in QUERIES["op10_line_dedup"](spark, "/root/testdata/sf0.001").collect()}, brute(rows, 5)
+    same = sum(got[i] == want[i] for i in want)
+    assert same >= 0.995 * len(want), (same, len(want))
