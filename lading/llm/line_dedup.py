@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from lading.llm.common import LOWER, UPPER, char_shingles, materialise, mix, others, parts, q, raw_texts, sorted_distinct
 from lading.llm.similarity import BLOBS, linked_components, packed
 
-#: key, line, and 64 bits of its minima
-_LINE = np.dtype([("t", "<u8"), ("d", "<i8"), ("s", "<u8")])
+#: key, line, its number of shingles, and 32 and 64 bits of the set of its shingles
+_LINE = np.dtype([("t", "<u8"), ("d", "<i8"), ("n", "<u4"), ("p", "<u4"), ("s", "<u8")])
+#: Bits of a line that its shingles set.
+_BITS = 96
 _FOLD = bytes.maketrans(UPPER.encode() + b"\t\r\v\f", LOWER.encode() + b"    ")
 #: Characters in a shingle of the registered queries.
 SHINGLE = 5
@@ -23,9 +25,6 @@ SHINGLE = 5
 _CHUNK = 1 << 20
 #: Lines remembered as seen in a task.
 _SEEN = 500_000
-#: Of 64 bits, two lines with Jaccard 0.8 differ in 6.4 on average; more than this (three
-#: standard deviations, 2 pairs in 1000) and a pair isn't verified.
-APART = 14
 _NONE = np.uint32(2**32 - 1)
 #: Ids up to this many go to the tasks that fetch lines (8 bytes each); more are joined.
 FEW_IDS = 1_000_000
@@ -88,11 +87,13 @@ def _line_texts(batches, wanted=None):
         yield pa.record_batch([pa.array([d for d, _ in out], pa.int64()), pa.array([x.decode("utf-8", "replace") for _, x in out], pa.string())], names=["id", "text"])
 
 
-def signatures(lines: list[bytes], k: int, bins: int) -> np.ndarray:
+def signatures(lines: list[bytes], k: int, bins: int, bits: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
     """MinHash signatures (one row a line) of the ``k``-character shingles of ``lines``,
     by one permutation: a shingle's hash picks a bin, each bin keeps its minimum, and an
     empty bin takes over its right neighbour's, so that every bin of two lines agrees
-    with the probability of their Jaccard similarity."""
+    with the probability of their Jaccard similarity. In ``bits`` (``_BITS`` for each
+    line, one more at the end) each shingle sets one; ``sizes`` takes the numbers of
+    shingles, repeats counted."""
     slots = np.full(len(lines) * bins + 1, _NONE, np.uint32)  # the last is for shingles that run over a line's end
     out = slots[:-1].reshape(len(lines), bins)
     i = 0
@@ -118,7 +119,15 @@ def signatures(lines: list[bytes], k: int, bins: int) -> np.ndarray:
         place = np.repeat(np.arange(i, j, dtype=np.int64) * bins, lengths)[: len(h)]
         place += ((h >> np.uint32(20)) * np.uint32(bins) >> np.uint32(12)).astype(np.int64)
         over = (ends[:, None] - np.arange(1, k)).ravel()
-        place[over[over < len(h)]] = len(slots) - 1
+        over = over[over < len(h)]
+        place[over] = len(slots) - 1
+        if bits is not None:
+            bit = np.repeat(np.arange(i, j, dtype=np.int64) * _BITS, lengths)[: len(h)]
+            bit += ((h & np.uint32(0xFFFF)) * np.uint32(_BITS) >> np.uint32(16)).astype(np.int64)
+            bit[over] = len(bits) - 1
+            bits[bit] = True
+        if sizes is not None:
+            sizes[i:j] = lengths - k + 1
         np.minimum.at(slots, place, h * np.uint32(0x9E3779B1) >> np.uint32(1))
         i = j
     for _ in range(2):
@@ -130,29 +139,34 @@ def signatures(lines: list[bytes], k: int, bins: int) -> np.ndarray:
     return out
 
 
+def records(lines: list[bytes], digests: list[int], k: int, bands: int, rows: int) -> np.ndarray:
+    """A record for each line and band."""
+    bits, sizes = np.zeros(len(lines) * _BITS + 1, bool), np.zeros(len(lines), np.uint32)
+    s = signatures(lines, k, bands * rows, bits, sizes).astype(np.uint64)
+    packed_bits = np.packbits(bits[:-1].reshape(len(lines), _BITS), axis=1)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(lines), bands)).copy()
+    for n in range(rows):
+        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ s[:, n::rows]
+    r = np.empty(key.size, _LINE)
+    r["t"], r["d"] = mix(key).ravel(), np.repeat(digests, bands)
+    r["n"] = np.repeat(sizes, bands)
+    r["s"] = np.repeat(np.ascontiguousarray(packed_bits[:, :8]).view("<u8")[:, 0], bands)
+    r["p"] = np.repeat(np.ascontiguousarray(packed_bits[:, 8:]).view("<u4")[:, 0], bands)
+    return r
+
+
 def _bands(batches, k: int, bands: int, rows: int, buckets: int):
-    def found():
-        for out in _distinct(batches):
-            if not out:
-                continue
-            s = signatures([x for _, x in out], k, bands * rows)
-            s = s.astype(np.uint64)
-            m = s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-            bits = ((np.concatenate([m, m >> np.uint64(7)], 1)[:, :64] & np.uint64(1)) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
-            key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(out), bands)).copy()
-            for n in range(rows):
-                key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ s[:, n::rows]
-            key = mix(key)
-            r = np.empty(key.size, _LINE)
-            r["t"], r["d"] = key.ravel(), np.repeat([d for d, _ in out], bands)
-            r["s"] = np.repeat(bits, bands)
-            yield r
-
-    yield from packed(found(), buckets)
-
-
-def _near(nx, px, sx, ny, py, sy):
-    return np.bitwise_count(np.asarray(sx).astype(np.uint64) ^ np.asarray(sy).astype(np.uint64)) <= APART
+    found = (records([x for _, x in out], [d for d, _ in out], k, bands, rows) for out in _distinct(batches) if out)
+    yield from packed(found, buckets)
+
+
+def _near(nx, px, sx, ny, py, sy, num: int, den: int):
+    """False only where two lines can't be alike: each bit that one of them alone has set
+    stands for a shingle that it alone has, and of alike lines with ``nx`` and ``ny``
+    shingles at most ``(den - num) / (den + num)`` of the sum are such."""
+    apart = np.bitwise_count(np.asarray(sx).astype(np.uint64) ^ np.asarray(sy).astype(np.uint64)).astype(np.int64)
+    apart += np.bitwise_count(np.asarray(px).astype(np.uint32) ^ np.asarray(py).astype(np.uint32))
+    return apart * (den + num) <= (np.asarray(nx).astype(np.int64) + np.asarray(ny).astype(np.int64)) * (den - num)
 
 
 def _alike(nx, ny, common, num: int, den: int):
@@ -195,7 +209,7 @@ def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands
         ids = np.sort(need.toArrow()["id"].to_numpy())  # at most FEW_IDS
         return only.mapInArrow(partial(_line_texts, wanted=spark.sparkContext.broadcast(ids)), "id long, text string")
 
-    like = linked_components(blobs, texts, partial(_features, k=k), partial(_alike, num=num, den=den), _near, record=_LINE, dense=True)
+    like = linked_components(blobs, texts, partial(_features, k=k), partial(_alike, num=num, den=den), partial(_near, num=num, den=den), record=_LINE, dense=True)
     like = like.select(F.col("node").alias("d"), "component")
     like = like.unionByName(like.select(F.col("component").alias("d"), "component").distinct())
     open_lines = places.groupBy("d").agg(F.count("*").alias("n")).join(like, "d", "left").filter("n > 1 or component is not null").select("d", F.coalesce("component", "d").alias("c"))

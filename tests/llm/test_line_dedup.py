@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 from lading.llm.components import forest
 from lading.llm.common import char_shingles
-from lading.llm.line_dedup import SHINGLE, line_dedup, normals, signatures
+from lading.llm.line_dedup import SHINGLE, _near, line_dedup, normals, records, signatures
 from lading.llm.queries import QUERIES
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.StringType())])
@@ -99,3 +99,19 @@ def test_against_brute_force_with_short_shingles(spark):
     got, want = {r.doc_id: r.text for r in QUERIES["op10_line_dedup"](spark, "/root/testdata/sf0.001").collect()}, brute(rows, 5)
     same = sum(got[i] == want[i] for i in want)
     assert same >= 0.995 * len(want), (same, len(want))
+
+
+def test_no_alike_pair_is_left_unverified():
+    rng = np.random.default_rng(5)
+    lines = []
+    while len(lines) < 4000:
+        x = "".join(rng.choice(list("abcdefghij "), rng.integers(8, 60)))
+        at = int(rng.integers(0, len(x) + 1))
+        y = x[:at] + "z" * int(rng.integers(0, 2)) + x[at + int(rng.integers(0, 2)) :]
+        u, v = (set(char_shingles(t, 5).tolist()) for t in (x, y))
+        if x != y and 5 * len(u & v) >= 4 * len(u | v):
+            lines += [x.encode(), y.encode()]
+    r = records(lines, list(range(len(lines))), 5, 12, 3).reshape(-1, 2, 12)
+    a, b = r[:, 0], r[:, 1]
+    admitted = _near(a["n"][:, 0], a["p"][:, 0], a["s"][:, 0], b["n"][:, 0], b["p"][:, 0], b["s"][:, 0], 80, 100)
+    assert admitted.all() and (a["t"] == b["t"]).any(1).mean() >= 0.998
