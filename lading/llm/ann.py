@@ -94,9 +94,16 @@ def build(ids: np.ndarray, vectors: np.ndarray, dims: int = DIMS) -> Tree:
     return Tree(ids[order], vectors, np.sqrt((vectors * vectors).sum(1)), points, starts, np.minimum.reduceat(points, starts[:-1]), np.maximum.reduceat(points, starts[:-1]))
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best distinct ids with their best scores, best first, ties to smaller ids."""
+    order = np.lexsort((ids, -scores))
+    top = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
+    return ids[top], scores[top]
+
+
 def search(tree: Tree, own: int, vector: np.ndarray, point: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids and cosines of the ``k`` nearest that the search finds, nearest first, ties to
-    smaller ids. ``bound`` is the chi-square quantile of the stopping test."""
+    smaller ids; an id with several vectors counts once. ``bound`` is the chi-square quantile of the stopping test."""
     outside = np.maximum(np.maximum(tree.low - point, point - tree.high), 0)
     away = (outside * outside).sum(1)
     norm = np.sqrt((vector * vector).sum())
@@ -111,14 +118,11 @@ def search(tree: Tree, own: int, vector: np.ndarray, point: np.ndarray, k: int,
             if len(near):
                 score = (tree.vectors[near] * vector).sum(1) / (tree.norms[near] * norm)
                 best_ids, best = np.concatenate([best_ids, tree.ids[near]]), np.concatenate([best, score])
-        if len(best) > k:
-            top = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[top], best[top]
+        best_ids, best = _best(best_ids, best, k)
         if len(best) >= k:
             reach = bound * max(0.0, 2 - 2 * float(best.min())) + 1e-9
         i += 2
-    top = np.lexsort((best_ids, -best))[:k]
-    return best_ids[top], best[top]
+    return best_ids, best
 
 
 def _usable(vector):
@@ -143,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, dims: int = DIMS
     Each block's tree is stored as a row; each block of queries meets each tree once."""
     clean = lambda df: df.select(q(id_col).cast("long").alias("id"), q(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & _usable("v"))
     once = Window.partitionBy("v").orderBy("id")
-    kept = materialise(clean(vectors).withColumn("r", F.row_number().over(once)).filter(F.col("r") <= k + 1).select("id", "v", F.size("v").alias("width")), "vectors")
+    kept = materialise(clean(vectors).distinct().withColumn("r", F.row_number().over(once)).filter(F.col("r") <= k + 1).select("id", "v", F.size("v").alias("width")), "vectors")
     asked = materialise(clean(queries).distinct().withColumn("width", F.size("v")), "queries")
     blocks = max(1, -(-kept.count() // BLOCK))
     rounds = max(1, -(-asked.count() // QUERIES))

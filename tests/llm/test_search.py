@@ -53,6 +53,23 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert nearest(df.limit(0), df).collect() == [] and nearest(df, df.limit(0)).collect() == []
 
 
+def test_repeated_rows_and_ids(spark):
+    same, rng = [1.0, 2.0, 3.0], np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v, "x") for i, v in [*[(7, same)] * 6, (8, same), (9, same), (10, [1.0, 2.0, 3.5])]], VECTORS)
+    got = nearest(df, df.filter("vec_id = 10"), k=2).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [7, 8]
+    got = nearest(df, df.filter("vec_id = 10"), k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [7, 8, 9]
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(40)] + [(3, [1.0] * 7 + [float(j) / 50]) for j in range(10)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows * 2], VECTORS)
+    ask = spark.createDataFrame([(99, [1.0] * 8, "x")], VECTORS)
+    got = [(r.vec_id, r.score) for r in nearest(df, ask, k=5).orderBy("rank").collect()]
+    kept = {}
+    for i, s in exact([(r.vec_id, list(r.embedding)) for r in df.collect()], [(99, [1.0] * 8)], 200)[99]:
+        kept.setdefault(i, s)
+    assert len(got) == 5 and [i for i, _ in got] == list(kept)[:5]
+
+
 def test_several_blocks(spark, monkeypatch):
     import lading.llm.ann as module
 
