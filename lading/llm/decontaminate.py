@@ -80,11 +80,28 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, slop: int) -> DataFram
     return a.join(b, near).filter((F.abs(F.col("a.pos1") - F.col("b.pos2")) <= slop) & (F.col("a.pos1") != F.col("b.pos2"))).select("a.id", "a.th", "a.item", "pos1", "pos2").distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", text_hash: str | None = None) -> DataFrame:
+def _rare_pairs(wins: DataFrame) -> DataFrame:
+    """(item, term1, term2): the two rarest terms of each window, in order of the terms."""
+    word = lambda at: F.element_at("words", F.col(at) - F.col("o") + 1)
+    return wins.filter("q2 is not null").select("item", F.least(word("q1"), word("q2")).alias("term1"), F.greatest(word("q1"), word("q2")).alias("term2")).distinct()
+
+
+def near_matches(index: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
+    """(id, th, item, pos1, pos2) as of ``proximity_matches``, from an index whose reach
+    is ``slop`` at least: a posting of the first term meets the second in its own ``near``."""
+    found = index.filter("term is not null").join(F.broadcast(pairs), F.col("term") == F.col("term1"))
+    there = found.select("id", "th", "item", "term2", F.col("pos").alias("pos1"), "base", F.posexplode("near").alias("k", "word")).filter("word = term2")
+    return there.withColumn("pos2", F.col("base") + F.col("k")).filter((F.col("pos2") != F.col("pos1")) & (F.abs(F.col("pos2") - F.col("pos1")) <= slop)).select("id", "th", "item", "pos1", "pos2")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", text_hash: str | None = None, proximity: bool = False) -> DataFrame:
     """A row for each row of ``docs``: id, ``n_words``, ``n_hit`` (words inside an
     occurrence of a window), ``n_items`` (items with occurring windows),
-    ``items_sha256`` (of their ids, sorted as strings, joined by commas) and
-    ``contaminated`` (any word hit); and, if ``text_hash`` names it, the text's hash.
+    ``items_sha256`` (of their ids, sorted as strings, joined by commas),
+    ``contaminated`` (any word hit); with ``proximity``, ``n_near`` (words at proximity matches: places where
+    a window's two rarest terms stand at most ``width`` words apart, in either order) and
+    ``n_near_items`` (items with such places; exact matches of two words or more are among
+    them); and, if ``text_hash`` names it, the text's hash.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z folded. A window is
     ``width`` consecutive words of an item; a shorter item is one window; an item without
@@ -95,15 +112,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     items = benchmark.filter(q(item_col).isNotNull()).select(q(item_col).alias("item"), word_array(q(item_text)).alias("words")).distinct()
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    hits, count = None, None
+    hits, near, count = None, None, None
     for k in range(blocks):
         own = materialise(items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k), "items")
         vocabulary = own.select(F.explode("words").alias("term")).distinct()
         wins = materialise(windows(own, term_counts(docs, vocabulary, id_col, text_col), width), "windows")
         terms = wins.select(F.explode(F.array(F.element_at("words", F.col("q1") - F.col("o") + 1), F.element_at("words", F.coalesce("q2", "q1") - F.col("o") + 1))).alias("term")).distinct()
-        index = materialise(postings(docs, terms, width - 1, id_col, text_col), "postings")
+        index = materialise(postings(docs, terms, width if proximity else width - 1, id_col, text_col), "postings")
         found = _hits(index, wins)
         hits = found if hits is None else hits.unionByName(found)
+        if proximity:
+            close = near_matches(index, materialise(_rare_pairs(wins), "pairs"), width)
+            near = close if near is None else near.unionByName(close)
         if count is None:
             count = index.filter("term is null").select("id", "th", "n_words")
     ids = F.array_sort(F.transform(F.collect_set("item"), lambda x: x.cast("string")))
@@ -112,6 +132,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     )
     a, b = count.alias("a"), hits.alias("b")
     out = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), "left")
+    if proximity:
+        near = near.groupBy("id", "th").agg(F.size(F.array_union(F.collect_set("pos1"), F.collect_set("pos2"))).alias("n_near"), F.size(F.collect_set("item")).alias("n_near_items"))
+        c = near.alias("c")
+        out = out.join(c, F.col("a.id").eqNullSafe(F.col("c.id")) & (F.col("a.th") == F.col("c.th")), "left")
     return out.select(
         F.col("a.id").alias(id_col),
         F.col("a.n_words").cast("long").alias("n_words"),
@@ -119,5 +143,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_near", "n_near_items") if proximity),
         *([F.col("a.th").alias(text_hash)] if text_hash else []),
     )

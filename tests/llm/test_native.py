@@ -7,7 +7,7 @@ import pytest
 from compare import same
 from pyspark.sql import types as T
 
-from lading.llm.decontaminate import decontaminate, postings, proximity_matches
+from lading.llm.decontaminate import decontaminate, near_matches, postings, proximity_matches
 from lading.llm.license_scan import BASE, license_scan
 from lading.llm.queries import ORACLES, QUERIES
 
@@ -72,6 +72,19 @@ def test_proximity(spark):
     assert {(r.id, r.pos1, r.pos2) for r in got.collect()} == {(1, 0, 3), (2, 1, 0)}
 
 
+def test_a_passage_with_changed_words_is_near(spark):
+    item = [f"w{k}" for k in range(30)]
+    changed = [f"x{k}" if k % 8 == 4 else w for k, w in enumerate(item)]
+    rows = [(1, " ".join(changed)), (2, "nothing of it"), (3, " ".join(item)), (4, None), (1, " ".join(changed)), (5, "w4 w12 w20 w28 " * 9)]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "other words")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate(docs(spark, rows), bench, proximity=True).collect()}
+    assert (got[1].contaminated, got[1].n_near_items, got[3].contaminated, got[3].n_near_items) == (False, 1, True, 1)
+    assert got[1].n_near > 0 and (got[2].n_near, got[2].n_near_items, got[4].n_near) == (0, 0, 0)
+    index = postings(docs(spark, [(1, "cat a dog dog cat"), (2, "dog x x x x cat")]), spark.createDataFrame([("cat",), ("dog",)], "term string"), 3)
+    pairs = spark.createDataFrame([(7, "cat", "dog"), (8, "dog", "dog")], "item long, term1 string, term2 string")
+    assert {tuple(r) for r in near_matches(index, pairs, 3).collect()} == {tuple(r) for r in proximity_matches(index, pairs, 3).collect()}
+
+
 def test_licences_by_brute_force(spark):
     rows = [(1, "All Rights Reserved. all rights reserved"), (2, None), (3, ""), (4, "CC BY-NC 4.0"), (5, "GNU General Public License, version 3"), (6, "general public"), (7, "Apache License, Version 2.0"), (None, "MIT License"), (8, "x " * 50000 + "CC-BY"), (9, "version 3 of the general public license"), (8, "cc by")]
     got = license_scan(docs(spark, rows)).collect()
