@@ -153,3 +153,22 @@ def test_network_learns_and_keeps_recall():
     p = net.probability(np.stack(x))
     found = p >= net.threshold
     assert found[np.array(y) == 1].mean() >= 0.95 and found[np.array(y) == 0].mean() <= 0.05
+
+
+def test_a_secret_at_the_end_of_a_long_token_is_seen(monkeypatch, spark):
+    text = "a1/" * 40 + "Z" * 20
+    seen = secrets.encodings(text, 0, len(text))
+    z = secrets.encode("Z" * 20, 0, 20)[secrets.BEFORE]
+    inside = [w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] for w in seen]
+    assert (inside[-1][-20:] == z).all() and len(secrets.encodings(text, 0, 48)) == 1
+    net = secrets.Network(np.zeros((1, 40, 1), np.float32), np.zeros(1, np.float32), np.array([1.0, 0.0], np.float32), shift=-0.5, threshold=0.5)
+    net.filters[0, z, 0] = 1
+    got = secrets.findings(spark.createDataFrame([(1, text + " end")], "doc_id long, text string"), net).collect()
+    assert [(f.kind, f.start, f.end) for f in got[0].found] == [("net", 0, len(text))]
+
+
+def test_threshold_keeps_recall_below_a_half():
+    rng = np.random.default_rng(1)
+    x = np.stack([secrets.encode("".join(rng.choice(list("ab1"), 20)), 0, 20) for _ in range(1000)])
+    net = secrets.fit(x, (np.arange(1000) % 10 == 0).astype(int), rounds=1)
+    assert 0 < net.threshold < 0.5
