@@ -137,7 +137,7 @@ def d02_extension_map(spark, sf):
 
 @query()
 def d03_content_probes(spark, sf):
-    d = _table(spark, sf, "documents").filter("length(text) > 20").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "utf-8").alias("data"))
+    d = _table(spark, sf, "documents").filter("text is not null").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "utf-8").alias("data"))
     found = None
     for stream in ("zz", "lzma"):
         part = detect(compressed(d, stream)).groupBy("format.stream", "confidence").count().withColumn("packed", F.lit(stream))
@@ -452,12 +452,12 @@ def e28_format_size(spark, sf):
 
 @query()
 def e20_collision_key(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", names.collision_key(F.substring("text", 1, 40), "strict").alias("key"))
+    return _table(spark, sf, "documents").select("doc_id", names.collision_key("text", "strict").alias("key"))
 
 
 @query()
 def e27_escaped_names(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", names.escaped(F.substring("text", 1, 60)).alias("shown"))
+    return _table(spark, sf, "documents").select("doc_id", names.escaped("text").alias("shown"))
 
 
 @query("""SELECT container || stream AS format, CASE WHEN container = 'raw_stream' THEN stream WHEN stream = 'uncompressed' THEN container ELSE container || '.' || stream END AS extension, label AS display_name FROM (VALUES ('zip', 'uncompressed', 'ZIP'), ('tar', 'gz', 'TAR_GZ'), ('raw_stream', 'lz', 'LZIP'), ('7z', 'uncompressed', 'SEVEN_Z'), ('raw_stream', 'gz', 'GZ')) v(container, stream, label)""")

@@ -18,3 +18,11 @@ def test_gives_rows(spark, name):
 
 def test_flagship():
     assert FLAGSHIP in QUERIES
+
+
+def test_whole_texts_without_prefixes(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert QUERIES["e20_collision_key"](spark, FOLDER).filter("length(key) > 40").count() > 0
+    assert QUERIES["e27_escaped_names"](spark, FOLDER).filter("length(shown) > 400").count() > 0
+    probed = sum(r["count"] for r in QUERIES["d03_content_probes"](spark, FOLDER).collect())
+    assert probed == 2 * docs.filter("text is not null").count()
