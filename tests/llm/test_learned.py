@@ -172,3 +172,20 @@ def test_threshold_keeps_recall_below_a_half():
     x = np.stack([secrets.encode("".join(rng.choice(list("ab1"), 20)), 0, 20) for _ in range(1000)])
     net = secrets.fit(x, (np.arange(1000) % 10 == 0).astype(int), rounds=1)
     assert 0 < net.threshold < 0.5
+
+
+def test_planted_secrets_that_no_base_pattern_matches(spark):
+    rng = np.random.default_rng(9)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    prose = lambda: " ".join(pick("etaoinshrdlu", int(rng.integers(3, 12))) for _ in range(30))
+    rows = []
+    for i in range(400):
+        rows.append((i, f"{prose()} password = {pick(mixed, 24)} {prose()} see http://example.org/{pick('abcde', 8)}/page on 2024-01-{i % 28 + 1:02d} id a{i}"))
+    rows += [(1000 + i, f"{prose()} ghp_{pick(mixed, 36)} {prose()}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    net = secrets.train(df)
+    got = {r.doc_id: [(f.kind, f.p) for f in r.found] for r in secrets.findings(df, net).collect()}
+    assert sum(any(k == "net" for k, _ in got[1000 + i]) for i in range(100)) >= 80
+    assert all(p is not None for i in range(400) for k, p in got[i] if k == "assign")
+    assert sum(k == "net" for i in range(400) for k, _ in got[i]) <= 40
