@@ -64,6 +64,14 @@ def others(df: DataFrame, *taken: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in {t.lower() for t in taken}]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -78,11 +86,28 @@ def word_array(col):
     return F.array_remove(F.split(lowered(col), WORD_GAP), "")
 
 
+#: Parts into which a group's rows are dealt before the smallest are taken of all of them.
+SALTS = 256
+
+
 def smallest_hashes(df: DataFrame, key: str, group: str, bound: int) -> DataFrame:
-    """At most ``bound`` rows of each ``group``, those whose hashed ``key`` is
-    smallest. The window's limit is applied before the shuffle, so no group meets in one task."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key)), F.col(key))
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= bound).drop("_rank")
+    """At most ``bound`` rows of each ``group``, those whose hashed ``key`` is smallest.
+    Rows are first dealt by salt within their group; each of those keeps its ``bound``
+    smallest; only they meet, so a group's last task reads ``bound`` rows a salt at most."""
+    order = [F.xxhash64(F.col(key)), F.col(key)]
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), F.col(key)), F.lit(SALTS)))
+    some = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order))).filter(F.col("_rank") <= bound).drop("_salt")
+    return some.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_rank") <= bound).drop("_rank")
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, most: int = 50_000) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (one row a key) on ``keys``, where ``size``
+    counts each key's ``rows``. The largest groups, at most ``most`` as their sizes add up
+    to no more than all rows, are broadcast; the others are joined by hash."""
+    limit = max(1000, (groups.agg(F.sum(size)).first()[0] or 0) // most)
+    heavy = groups.filter(F.col(size) > limit)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(groups.filter(F.col(size) <= limit), keys))
 
 
 # --- hashing of Arrow string columns -----------------------------------------

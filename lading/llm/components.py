@@ -30,12 +30,16 @@ def forest(pairs) -> list[tuple[int, int]]:
 
 
 def _contract(batches):
-    """Union-find over one partition, whose links fit the task's memory."""
+    """Union-find over one partition; a forest is passed on once it grows large, which
+    costs nothing but links that a later step contracts."""
     found: list[tuple[int, int]] = []
     for batch in batches:
         found += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         if len(found) > 1_000_000:
             found = forest(found)
+            if len(found) > 500_000:
+                yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["hi", "lo"])
+                found = []
     found = forest(found)
     yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["hi", "lo"])
 

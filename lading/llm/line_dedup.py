@@ -11,18 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import LOWER, UPPER, char_shingles, materialise, mix, others, parts, q, raw_texts, sorted_distinct
+from lading.llm.common import LOWER, UPPER, char_shingles, free_name, hot_join, materialise, mix, others, parts, q, raw_texts, sorted_distinct
 from lading.llm.similarity import BLOBS, linked_components, packed
 
-#: key, line, its number of shingles, and 32 and 64 bits of the set of its shingles
-_LINE = np.dtype([("t", "<u8"), ("d", "<i8"), ("n", "<u4"), ("p", "<u4"), ("s", "<u8")])
-#: Bits of a line that its shingles set.
-_BITS = 96
+#: key and line
+_LINE = np.dtype([("t", "<u8"), ("d", "<i8")])
 _FOLD = bytes.maketrans(UPPER.encode() + b"\t\r\v\f", LOWER.encode() + b"    ")
 #: Characters in a shingle of the registered queries.
 SHINGLE = 5
+#: Bands, and minima in each, of the registered queries.
+BANDS, ROWS = 30, 6
 #: Bytes of lines hashed at once.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 21
+#: Rounds in which each shingle picks one bin, before bins that are still empty ask all shingles.
+_ROUNDS = 16
+#: Records that a bucket should hold.
+_BUCKET = 500_000
 #: Lines remembered as seen in a task.
 _SEEN = 500_000
 _NONE = np.uint32(2**32 - 1)
@@ -39,16 +43,16 @@ def normals(text: bytes) -> list[bytes]:
     return out
 
 
-def _digest(line: bytes) -> int:
-    """What a distinct line is known by, 64 bits: among a thousand million lines two would meet with probability 0.03."""
-    return _LONG(hashlib.blake2b(line, digest_size=8).digest())[0]
+_PAIR = struct.Struct("<qq").unpack
 
 
-_LONG = struct.Struct("<q").unpack
+def _digests(line: bytes) -> tuple[int, int]:
+    """128 bits that tell equal lines; the bands know a line by the first half."""
+    return _PAIR(hashlib.blake2b(line, digest_size=16).digest())
 
 
 def _places(batches):
-    """A row for each line that isn't blank: document, text hash, line number, digest."""
+    """A row for each line that isn't blank: document, text hash, line number, digests."""
     for batch in batches:
         counts, numbers, lines = [], [], []
         for text in raw_texts(batch.column(2)):
@@ -56,10 +60,10 @@ def _places(batches):
             for k, line in enumerate(normals(text)):
                 if line:
                     numbers.append(k)
-                    lines.append(_digest(line))
+                    lines.append(_digests(line))
             counts.append(len(lines) - before)
         at = pa.array(np.repeat(np.arange(len(counts)), counts))
-        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(lines, pa.int64())], names=["id", "th", "line", "d"])
+        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array([d for d, _ in lines], pa.int64()), pa.array([e for _, e in lines], pa.int64())], names=["id", "th", "line", "d", "e"])
 
 
 def _distinct(batches):
@@ -69,7 +73,7 @@ def _distinct(batches):
         out = []
         for text in raw_texts(batch.column(batch.num_columns - 1)):
             for line in normals(text):
-                if line and (d := _digest(line)) not in seen:
+                if line and (d := _digests(line)[0]) not in seen:
                     seen.add(d)
                     out.append((d, line))
         if len(seen) > _SEEN:
@@ -87,71 +91,81 @@ def _line_texts(batches, wanted=None):
         yield pa.record_batch([pa.array([d for d, _ in out], pa.int64()), pa.array([x.decode("utf-8", "replace") for _, x in out], pa.string())], names=["id", "text"])
 
 
-def signatures(lines: list[bytes], k: int, bins: int, bits: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
-    """MinHash signatures (one row a line) of the ``k``-character shingles of ``lines``,
-    by one permutation: a shingle's hash picks a bin, each bin keeps its minimum, and an
-    empty bin takes over its right neighbour's, so that every bin of two lines agrees
-    with the probability of their Jaccard similarity. In ``bits`` (``_BITS`` for each
-    line, one more at the end) each shingle sets one; ``sizes`` takes the numbers of
-    shingles, repeats counted."""
-    slots = np.full(len(lines) * bins + 1, _NONE, np.uint32)  # the last is for shingles that run over a line's end
-    out = slots[:-1].reshape(len(lines), bins)
+def _scramble(h: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of 32-bit hashes, another one for each ``seed``."""
+    x = (h ^ np.uint32(seed * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0x27D4EB2F)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def _chunk_shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (32 bits, repeats included) of the ``k``-character shingles and their lines."""
+    padded = [x.decode("utf-8", "replace").ljust(k, "\0") for x in lines]
+    lengths = np.array([len(x) for x in padded])
+    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    h, width, r = c * np.uint32(0x9E3779B1), 1, 0x01000193
+    while width < k:  # the window doubles, the last step overlaps
+        step = min(width, k - width)
+        h = h[:-step] * np.uint32(r) + h[step:]
+        width, r = width + step, r * r % 2**32
+    owner = np.repeat(np.arange(len(lines)), lengths)[: len(h)]
+    whole = np.ones(len(h), bool)  # shingles that run over a line's end don't count
+    over = (np.cumsum(lengths)[:, None] - np.arange(1, k)).ravel()
+    whole[over[over < len(h)]] = False
+    return _scramble(h[whole], 0), owner[whole]
+
+
+def signatures(lines: list[bytes], k: int, bins: int) -> np.ndarray:
+    """MinHash signatures (a row a line) of the ``k``-character shingles of ``lines``: two
+    lines agree in each bin with the probability of their Jaccard similarity, however
+    short they are. In each of some rounds every shingle throws a hash into a bin that
+    the round picks for it; what an earlier round threw wins, then the smaller hash.
+    Lines whose bins are all taken are done. Bins that stay empty take the smallest of
+    the hashes, a new one for each bin, of all shingles of their line."""
+    out = np.empty((len(lines), bins), np.uint32)
     i = 0
     while i < len(lines):
         j, size = i, 0
         while j < len(lines) and (j == i or size + len(lines[j]) <= _CHUNK):
             size += max(len(lines[j]), k)
             j += 1
-        padded = [x.decode("utf-8", "replace").ljust(k, "\0") for x in lines[i:j]]
-        lengths = np.array([len(x) for x in padded])
-        c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-        h, width, r = c * np.uint32(0x9E3779B1), 1, 0x01000193
-        while width < k:  # the window doubles, the last step overlaps
-            step = min(width, k - width)
-            h = h[:-step] * np.uint32(r) + h[step:]
-            width, r = width + step, r * r % 2**32
-        h ^= h >> np.uint32(16)
-        h *= np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(13)
-        h *= np.uint32(0xC2B2AE35)
-        h ^= h >> np.uint32(16)
-        ends = np.cumsum(lengths)
-        place = np.repeat(np.arange(i, j, dtype=np.int64) * bins, lengths)[: len(h)]
-        place += ((h >> np.uint32(20)) * np.uint32(bins) >> np.uint32(12)).astype(np.int64)
-        over = (ends[:, None] - np.arange(1, k)).ravel()
-        over = over[over < len(h)]
-        place[over] = len(slots) - 1
-        if bits is not None:
-            bit = np.repeat(np.arange(i, j, dtype=np.int64) * _BITS, lengths)[: len(h)]
-            bit += ((h & np.uint32(0xFFFF)) * np.uint32(_BITS) >> np.uint32(16)).astype(np.int64)
-            bit[over] = len(bits) - 1
-            bits[bit] = True
-        if sizes is not None:
-            sizes[i:j] = lengths - k + 1
-        np.minimum.at(slots, place, h * np.uint32(0x9E3779B1) >> np.uint32(1))
+        slots = np.full((j - i) * bins, _NONE, np.uint32)
+        here = slots.reshape(j - i, bins)
+        h, owner = _chunk_shingles(lines[i:j], k)
+        for n in range(_ROUNDS):
+            place = owner * bins + (_scramble(h, 2 * n + 1).astype(np.uint64) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+            np.minimum.at(slots, place, np.uint32(n << 27) | _scramble(h, 2 * n + 2) >> np.uint32(5))
+            wanting = (here == _NONE).any(1)
+            if not wanting.any():
+                break
+            more = wanting[owner]
+            h, owner = h[more], owner[more]
+        line, at = np.nonzero(here == _NONE)
+        first = np.searchsorted(owner, np.arange(j - i + 1))
+        for s in range(0, len(line), 50_000):
+            some, bin_ = line[s : s + 50_000], at[s : s + 50_000]
+            count = np.diff(first)[some]
+            begin = np.cumsum(count) - count
+            each = np.repeat(first[some] - begin, count) + np.arange(count.sum())
+            value = _scramble(h[each] ^ np.repeat(bin_.astype(np.uint32), count) * np.uint32(0x9E3779B1), 2 * _ROUNDS + 1)
+            here[some, bin_] = np.uint32(_ROUNDS << 27) | np.minimum.reduceat(value, begin) >> np.uint32(5)
+        out[i:j] = here
         i = j
-    for _ in range(2):
-        for n in range(bins - 1, -1, -1):
-            empty = out[:, n] == _NONE
-            if empty.any():
-                right = out[:, (n + 1) % bins][empty]
-                out[empty, n] = np.where(right == _NONE, _NONE, right * np.uint32(5) >> np.uint32(1))
     return out
 
 
 def records(lines: list[bytes], digests: list[int], k: int, bands: int, rows: int) -> np.ndarray:
     """A record for each line and band."""
-    bits, sizes = np.zeros(len(lines) * _BITS + 1, bool), np.zeros(len(lines), np.uint32)
-    s = signatures(lines, k, bands * rows, bits, sizes).astype(np.uint64)
-    packed_bits = np.packbits(bits[:-1].reshape(len(lines), _BITS), axis=1)
+    s = signatures(lines, k, bands * rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(lines), bands)).copy()
     for n in range(rows):
         key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ s[:, n::rows]
     r = np.empty(key.size, _LINE)
     r["t"], r["d"] = mix(key).ravel(), np.repeat(digests, bands)
-    r["n"] = np.repeat(sizes, bands)
-    r["s"] = np.repeat(np.ascontiguousarray(packed_bits[:, :8]).view("<u8")[:, 0], bands)
-    r["p"] = np.repeat(np.ascontiguousarray(packed_bits[:, 8:]).view("<u4")[:, 0], bands)
     return r
 
 
@@ -160,13 +174,9 @@ def _bands(batches, k: int, bands: int, rows: int, buckets: int):
     yield from packed(found, buckets)
 
 
-def _near(nx, px, sx, ny, py, sy, num: int, den: int):
-    """False only where two lines can't be alike: each bit that one of them alone has set
-    stands for a shingle that it alone has, and of alike lines with ``nx`` and ``ny``
-    shingles at most ``(den - num) / (den + num)`` of the sum are such."""
-    apart = np.bitwise_count(np.asarray(sx).astype(np.uint64) ^ np.asarray(sy).astype(np.uint64)).astype(np.int64)
-    apart += np.bitwise_count(np.asarray(px).astype(np.uint32) ^ np.asarray(py).astype(np.uint32))
-    return apart * (den + num) <= (np.asarray(nx).astype(np.int64) + np.asarray(ny).astype(np.int64)) * (den - num)
+def _any(nx, px, sx, ny, py, sy):
+    """Records say nothing of a line but its key: every pair is admitted."""
+    return np.ones(np.broadcast_shapes(np.shape(nx), np.shape(ny)), bool)
 
 
 def _alike(nx, ny, common, num: int, den: int):
@@ -178,7 +188,7 @@ def _features(line: str, k: int) -> np.ndarray:
     return sorted_distinct(char_shingles(line, k))
 
 
-def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands: int = 12, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one line kept of each group of like lines in the whole table, and
     the columns ``n_lines`` and ``n_dropped`` after them.
 
@@ -186,20 +196,21 @@ def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands
     Two lines are alike when ``den * intersection >= num * union`` of their sets of
     ``k``-character shingles (a shorter line is one shingle). Groups are the connected
     components of the likeness that the MinHash bands find: a pair with Jaccard j shares
-    one of the ``bands`` with probability ``1 - (1 - j**rows)**bands``, 0.9998 at 0.8.
+    one of the ``bands`` with probability ``1 - (1 - j**rows)**bands``, 0.9998 at 0.8, short lines included. Every
+    pair of a band is verified, or connected already.
     The line with the smallest (id, line number) stays. Blank lines are never compared
     or dropped. A null text stays null, with 0 lines; an empty text has one blank line.
     Rows with a null id stay as they are. Rows that share an id and a text are one
-    document: they keep or lose the same lines. Other columns stay; columns named as
-    the operator's own are replaced. An empty table gives an empty table.
+    document: they keep or lose the same lines. Other columns stay; ones named
+    ``n_lines`` or ``n_dropped`` are replaced. An empty table gives an empty table.
 
-    The band groups hold each distinct line once, however often it occurs, and are
-    resolved without expanding them into pairs; no group, and not the components, are
-    gathered in one place."""
+    The band groups hold each distinct line of a task once, however often it occurs, and are
+    resolved without expanding them into pairs; the components are not gathered in one
+    place. Copies of a line are told by 128 bits, lines in bands by 64 of them."""
     spark = docs.sparkSession
     rows_in = docs.select(q(id_col).cast("long").alias("id"), F.xxhash64(q(text_col)).alias("th"), q(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    places = materialise(rows_in.mapInArrow(_places, "id long, th long, line int, d long"), "lines")
-    buckets = max(parts(spark), int(places.count() * bands // 500_000))
+    places = materialise(rows_in.mapInArrow(_places, "id long, th long, line int, d long, e long"), "lines")
+    buckets = max(parts(spark), int(places.count() * bands // _BUCKET))
     only = rows_in.select("text")
     blobs = only.mapInArrow(partial(_bands, k=k, bands=bands, rows=rows, buckets=buckets), BLOBS)
 
@@ -209,20 +220,26 @@ def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands
         ids = np.sort(need.toArrow()["id"].to_numpy())  # at most FEW_IDS
         return only.mapInArrow(partial(_line_texts, wanted=spark.sparkContext.broadcast(ids)), "id long, text string")
 
-    like = linked_components(blobs, texts, partial(_features, k=k), partial(_alike, num=num, den=den), partial(_near, num=num, den=den), record=_LINE, dense=True)
+    like = linked_components(blobs, texts, partial(_features, k=k), partial(_alike, num=num, den=den), _any, record=_LINE, dense=True)
     like = like.select(F.col("node").alias("d"), "component")
     like = like.unionByName(like.select(F.col("component").alias("d"), "component").distinct())
-    open_lines = places.groupBy("d").agg(F.count("*").alias("n")).join(like, "d", "left").filter("n > 1 or component is not null").select("d", F.coalesce("component", "d").alias("c"))
-    copies = materialise(places.join(open_lines, "d").select("id", "th", "line", "c"), "copies")
-    kept = copies.groupBy("c").agg(F.min(F.struct("id", "line")).alias("kept"))
-    gone = copies.join(kept, "c").filter((F.col("id") != F.col("kept.id")) | (F.col("line") != F.col("kept.line")))
-    gone = gone.groupBy(F.col("id").alias("__gone_id"), F.col("th").alias("__gone_th")).agg(F.collect_set("line").alias("__gone"))
-    whole = docs.select(*(q(c) for c in others(docs, "n_lines", "n_dropped", "__gone", "__gone_id", "__gone_th", "__lines")))
-    joined = whole.join(gone.hint("shuffle_hash"), (F.col("__gone_id") == q(id_col).cast("long")) & (F.col("__gone_th") == F.xxhash64(q(text_col))), "left")
-    none = F.col("__gone").isNull()
+    # a class: a line with copies, or one that is like another
+    classes = places.groupBy("d", "e").agg(F.count("*").alias("n")).join(like, "d", "left").filter("n > 1 or component is not null")
+    classes = materialise(classes.select("d", "e", "n", F.coalesce("component", "d").alias("c"), F.when(F.col("component").isNull(), F.col("e")).otherwise(0).alias("c2")), "classes")
+    copies = materialise(hot_join(places, classes, ["d", "e"], "n").select("id", "th", "line", "c", "c2"), "copies")
+    kept = materialise(copies.groupBy("c", "c2").agg(F.min(F.struct("id", "line")).alias("kept"), F.count("*").alias("n")), "kept")
+    gone = hot_join(copies, kept, ["c", "c2"], "n").filter((F.col("id") != F.col("kept.id")) | (F.col("line") != F.col("kept.line")))
+    gone = gone.groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
+    whole = docs.select(*(q(c) for c in others(docs, "n_lines", "n_dropped")))
+    # the operator's own columns stand in one struct, whose name no column of the table has
+    own = free_name(whole, "own")
+    gone = gone.select(F.struct("id", "th", "gone").alias(own))
+    joined = whole.join(gone.hint("shuffle_hash"), (F.col(f"{own}.id") == q(id_col).cast("long")) & (F.col(f"{own}.th") == F.xxhash64(q(text_col))), "left")
+    split = free_name(whole, "split")
+    none = F.col(own).isNull()
     # an attribute, so that the lambda below doesn't split the text again for each line
-    joined = joined.select("*", F.explode_outer(F.array(F.when(~none, F.split(q(text_col), "\n")))).alias("__lines"))
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")), lambda i: F.get(F.col("__lines"), i))
+    joined = joined.select("*", F.explode_outer(F.array(F.when(~none, F.split(q(text_col), "\n")))).alias(split))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(f"{own}.gone")), lambda i: F.get(F.col(split), i))
     text = F.when(none, q(text_col)).otherwise(F.array_join(stay, "\n"))
-    counts = {"n_lines": F.when(q(text_col).isNull(), 0).otherwise(F.octet_length(q(text_col)) - F.octet_length(F.replace(q(text_col), F.lit("\n"), F.lit(""))) + 1), "n_dropped": F.when(none, 0).otherwise(F.size("__gone"))}
+    counts = {"n_lines": F.when(q(text_col).isNull(), 0).otherwise(F.octet_length(q(text_col)) - F.octet_length(F.replace(q(text_col), F.lit("\n"), F.lit(""))) + 1), "n_dropped": F.when(none, 0).otherwise(F.size(f"{own}.gone"))}
     return joined.select(*(text.alias(c) if c == text_col else q(c) for c in whole.columns), *(x.cast("long").alias(c) for c, x in counts.items()))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import materialise, mix, parts, q, row_shingles
+from lading.llm.common import hot_join, materialise, mix, parts, q, row_shingles
 from lading.llm.similarity import BLOBS, RECORD, linked_components, packed
 
 #: Cells of each of the two rows of the frequency sketch (4 bytes each).
@@ -21,12 +21,19 @@ SLICE = 1 << 16
 _SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47))
 #: Prefix records that a bucket should hold.
 BUCKET_RECORDS = 250_000
+#: Sets remembered as seen in a task.
+_SEEN = 300_000
 
 
 def _cells(h: np.ndarray) -> list[np.ndarray]:
     return [(mix(h ^ s) >> np.uint64(44)).astype(np.int64) for s in _SEEDS]
 
 
+def _digest(h: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of shingles."""
+    return int(mix(h ^ _SEEDS[0]).sum(dtype=np.uint64)), int(mix(h ^ _SEEDS[1]).sum(dtype=np.uint64))
+
+
 def _profile(batches, n: int):
     """Each row's shingle count and set digest; and the task's frequency sketch."""
     counts = np.zeros((len(_SEEDS), CELLS), np.uint32)
@@ -36,7 +43,7 @@ def _profile(batches, n: int):
             for row, at in zip(counts, _cells(h)):
                 np.add.at(row, at, 1)
             size.append(len(h))
-            digest.append((int(mix(h ^ _SEEDS[0]).sum(dtype=np.uint64)), int(mix(h ^ _SEEDS[1]).sum(dtype=np.uint64))))
+            digest.append(_digest(h))
         d = np.array(digest, np.uint64).reshape(-1, 2).view(np.int64)
         yield _row(batch.column(0), size, d, [None] * len(size), [None] * len(size))
     blobs = [zlib.compress(counts[k, i : i + SLICE].tobytes(), 1) for k in range(len(_SEEDS)) for i in range(0, CELLS, SLICE)]
@@ -107,7 +114,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     makes it selective). A set's prefix is what must hold a common shingle with each
     partner. Prefix shingles meet in buckets; length, positional and suffix filters thin
     the pairs, a pair is verified once on whole sets, and groups of similar texts are
-    resolved without expanding them into all pairs (see ``similarity``)."""
+    resolved without expanding them into all pairs (see ``similarity``). Of the copies of
+    a set in a task one emits its prefix; copies are linked by their 128-bit digest."""
     spark = docs.sparkSession
     rows = docs.select(q(id_col).cast("long").alias("id"), q(text_col).cast("string").alias("text"))
     profile = materialise(rows.mapInArrow(partial(_profile, n=n), "id long, n long, d1 long, d2 long, slot int, blob binary"), "profile")
@@ -121,24 +129,28 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
 
     def prefixes(batches):
         def found():
+            seen: set[tuple[int, int, int]] = set()
             for batch in batches:
+                if len(seen) > _SEEN:
+                    seen = set()
                 for d, h in zip(batch.column(0).to_pylist(), row_shingles(batch.column(1), n)):
                     size = len(h)
-                    if not size or d is None:
-                        continue
+                    if not size or d is None or (key := (*_digest(h), size)) in seen:
+                        continue  # a copy, linked by its digest, stands for this row
+                    seen.add(key)
                     freq = np.minimum(*(row[at] for row, at in zip(shared.value, _cells(h))))
                     length = size - -((-num * size) // den) + 1
                     order = np.lexsort((h, freq))[:length]
                     r = np.empty(len(order), RECORD)
                     r["t"], r["d"], r["n"], r["p"] = h[order], d, size, np.arange(len(order))
-                    r["g"], r["s"] = int(mix(h).sum(dtype=np.uint64)) >> 32, suffix_summary(h)
+                    r["s"] = suffix_summary(h)
                     yield r
 
         yield from packed(found(), buckets)
 
     # copies: same set, so linked whatever the threshold
-    same = known.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    copies = known.join(same, ["d1", "d2", "n"]).filter("id <> a").select("a", F.col("id").alias("b"))
+    same = known.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1")
+    copies = hot_join(known, materialise(same, "same"), ["d1", "d2", "n"], "k").filter("id <> a").select("a", F.col("id").alias("b"))
     blobs = rows.mapInArrow(prefixes, BLOBS)
     found = linked_components(blobs, rows, partial(_features, n=n), partial(_linked, num=num, den=den), partial(_admit, num=num, den=den), copies)
     out = known.join(found.withColumnRenamed("node", "id"), "id", "left")

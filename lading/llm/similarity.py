@@ -1,12 +1,17 @@
 """Candidate search shared by the two near-duplicate operators.
 
 Items that share a key are candidates. A key's group of g items is never expanded
-into its g*g pairs. First each member is paired with the group's leading item;
-those pairs are verified and their components found. Then only pairs of members
-that still lie in different components, and that the pair filter admits, are
-verified. Every admitted pair of a group is thus verified or already connected, so
-the components are those of the full join. Keys travel as packed arrays, a few
-rows for each bucket and task."""
+into its g*g pairs. First each member is paired with a leading item; those pairs are
+verified and their components found. Then only pairs of members that still lie in
+different components, and that the pair filter admits, are verified. Every admitted
+pair of a group is thus verified or already connected, so the components are those of
+the full join.
+
+Keys travel as packed arrays, a few rows for each bucket and task. A task that holds a
+long run of one key sends the run to a group of its own and only the run's leader to
+the key's group, so that a key that a third of all items have meets in no single task;
+groups whose members are all connected are then found by a partial aggregate and
+never gathered. What is gathered are the groups of a key that stay in several components."""
 
 from __future__ import annotations
 
@@ -17,34 +22,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import discard, materialise, mix, parts
+from lading.llm.common import discard, materialise, parts
 from lading.llm.components import components
 
 #: key, item, digest of the item's content, its size, the key's position in it, a summary of it
-RECORD = np.dtype([("t", "<u8"), ("d", "<i8"), ("g", "<u4"), ("n", "<u4"), ("p", "<u4"), ("s", "<u8")])
-BLOBS = "bucket int, blob binary"
+RECORD = np.dtype([("t", "<u8"), ("d", "<i8"), ("n", "<u4"), ("p", "<u4"), ("s", "<u8")])
+BLOBS = "bucket int, part long, blob binary"
 #: Packed bytes held back in a task before they are passed on.
 HELD = 8 << 20
+#: Records of one key in a task's pack from which on they form a group of their own.
+RUN = 4096
 #: Ids up to this many are broadcast to thin out the texts before they are joined (8 bytes each); more are joined.
 FEW_IDS = 1_000_000
-#: Rows of joined texts in a batch that goes to Python.
-BATCH = 500
+#: Rows of the groups left over that a bucket should hold.
+REST = 100_000
+#: Features that a task remembers while it verifies pairs.
+KNOWN = 4_000_000
 
 #: Takes size, position and summary of one side and of the other, and says which pairs may link.
 Admit = Callable[..., np.ndarray]
 
 
+def wire(record: np.dtype) -> np.dtype:
+    """The packed form: the bucket says the rest of the key."""
+    return np.dtype([("t", "<u4"), *((f, record[f]) for f in record.names if f != "t")])
+
+
+def _leading(r: np.ndarray) -> np.ndarray:
+    """Where the item stands that leads a group (least position, then least item), and one
+    other: the group that gets both has a third row, if it has any more to compare with."""
+    least = r["p"] == r["p"].min() if "p" in r.dtype.names else np.ones(len(r), bool)
+    lead = np.flatnonzero(least)[np.argmin(r["d"][least])]
+    return np.append(lead, np.flatnonzero(r["d"] != r["d"][lead])[:1])
+
+
 def packed(found: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Records dealt to ``buckets`` by their key."""
+    """Records dealt to ``buckets`` by their key, long runs of a key as parts of their own."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         r = np.concatenate(held)
-        at = r["t"] % np.uint64(buckets)
-        order = np.argsort(at, kind="stable")
+        at = (r["t"] % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((r["t"], at))
         r, at = r[order], at[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(r) else []
-        blobs = [x.tobytes() for x in np.split(r, first[1:])] if len(r) else []
-        return pa.record_batch([pa.array(at[first].astype(np.int32) if len(r) else [], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        out = np.empty(len(r), wire(r.dtype))
+        out["t"] = r["t"] >> np.uint64(32)
+        for f in r.dtype.names[1:]:
+            out[f] = r[f]
+        keep, rows = np.ones(len(r), bool), []
+        starts = _groups(r["t"])
+        sizes = np.diff(np.append(starts, len(r)))
+        for s, n in zip(starts[sizes >= RUN].tolist(), sizes[sizes >= RUN].tolist()):
+            run = out[s : s + n]
+            keep[s : s + n] = False
+            keep[s + _leading(run)] = True
+            rows.append((int(at[s]), 1 + (int(run["d"].sum(dtype=np.int64)) & (2**62 - 1)), run.tobytes()))
+        out, at = out[keep], at[keep]
+        first = _groups(at)
+        rows += [(int(at[i]), 0, x.tobytes()) for i, x in zip(first, np.split(out, first[1:]))] if len(out) else []
+        bucket, part, blob = zip(*rows) if rows else ((), (), ())
+        return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(part, pa.int64()), pa.array(blob, pa.binary())], names=["bucket", "part", "blob"])
 
     held: list[np.ndarray] = []
     size = 0
@@ -71,15 +107,10 @@ def _shared(r: np.ndarray) -> np.ndarray:
 
 def stars(r: np.ndarray, admit: Admit) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of each group's leading item (least position) with its members, and the
-    rows of the groups that have other pairs too. Copies count as their smallest item."""
-    r = _shared(r[np.argsort(r["t"], kind="stable")])
-    r = r[np.lexsort((r["d"], r["p"], r["n"], r["g"], r["t"]))]
+    rows of the groups that have other pairs too. ``r`` has the fields of ``RECORD``."""
+    r = r[np.lexsort((r["s"], r["n"], r["d"], r["p"], r["t"]))]
     if len(r):
-        copy = np.ones(len(r) - 1, bool)
-        for f in "tgnp":
-            copy &= r[f][1:] == r[f][:-1]
-        r = _shared(r[np.append(True, ~copy)])
-    r = r[np.lexsort((r["d"], r["p"], r["t"]))]
+        r = _shared(r[np.append(True, (r[1:] != r[:-1]))])
     starts = _groups(r["t"])
     sizes = np.diff(np.append(starts, len(r)))
     lead = r[np.repeat(starts, sizes)]
@@ -106,15 +137,17 @@ def crossing(t, d, n, p, s, c, admit: Admit) -> np.ndarray:
 
 
 def _star_step(admit: Admit, record: np.dtype):
+    packing = wire(record)
+
     def step(table: pa.Table) -> pa.Table:
-        got = np.frombuffer(b"".join(table.column("blob").to_pylist()), record)
+        got = np.frombuffer(b"".join(table.column("blob").to_pylist()), packing)
         r = np.zeros(len(got), RECORD)
-        r["g"] = got["d"].view(np.uint64).astype(np.uint32) if "g" not in record.names else 0
-        for f in record.names:
+        for f in packing.names:
             r[f] = got[f]
+        r["t"] |= np.uint64(table.column("bucket")[0].as_py()) << np.uint64(32)
         pairs, rest = stars(r, admit)
         zero = np.zeros(len(pairs), np.int64)
-        cols = [np.append(zero, rest["t"].astype(np.int64)), np.append(pairs[:, 0], rest["d"]), np.append(pairs[:, 1], rest["n"].astype(np.int64)), np.append(zero, rest["p"].astype(np.int64)), np.append(zero, rest["s"].astype(np.int64))]
+        cols = [np.append(zero, rest["t"].astype(np.int64)), np.append(pairs[:, 0], rest["d"]), np.append(pairs[:, 1], rest["n"].astype(np.int64)), np.append(zero, rest["p"].astype(np.int64)), np.append(zero, rest["s"].view(np.int64) if len(rest) else zero[:0])]
         return pa.table([pa.array(np.append(zero, np.ones(len(rest), np.int64)), pa.int64()), *(pa.array(x, pa.int64()) for x in cols)], names=["kind", "t", "x", "y", "p", "s"])
 
     return step
@@ -141,42 +174,25 @@ def fetched(texts: DataFrame | Callable[[DataFrame], DataFrame], need: DataFrame
 def verify(pairs: DataFrame, some: DataFrame, features: Callable[[str], np.ndarray], linked: Callable[[int, int, int], bool]) -> DataFrame:
     """The ``pairs`` (a, b) for which ``linked(size a, size b, common)`` holds, with
     sizes of the distinct ``features`` of the texts in ``some`` (id, text), each pair once."""
-    spark = pairs.sparkSession
 
     def step(batches):
         for batch in batches:
             known: dict[tuple[int, str], np.ndarray] = {}
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for x, y, s, t in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                u, v = (known[k] if k in known else known.setdefault(k, features(k[1] or "")) for k in ((x, s), (y, t)))
-                keep.append(linked(len(u), len(v), len(np.intersect1d(u, v, assume_unique=True))))
+            held, keep = 0, []
+            for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns)):
+                both = []
+                for k in ((x, s), (y, t)):
+                    if (f := known.get(k)) is None:
+                        f = known[k] = features(k[1] or "")
+                        held += len(f)
+                    both.append(f)
+                keep.append(linked(len(both[0]), len(both[1]), len(np.intersect1d(*both, assume_unique=True))))
+                if held > KNOWN:
+                    known, held = {}, 0
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
-    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-    try:
-        out = materialise(joined.select("a", "b", "s", "t").mapInArrow(step, "a long, b long"), "verified")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
-    return out
-
-
-def engaged(t, d, n, p, s, c, admit: Admit) -> np.ndarray:
-    """Which rows have an admitted partner of their group in another component."""
-    order = np.argsort(t, kind="stable")
-    t, d, n, p, sums, c = (x[order] for x in (t, d, n, p, s, c))
-    starts, out = _groups(t), np.zeros(len(t), bool)
-    if len(starts):
-        mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
-        for s, e in zip(starts[mixed], np.append(starts[1:], len(t))[mixed]):
-            for i in range(s, e, 256):
-                j = min(i + 256, e)
-                out[i:j] = (admit(n[i:j, None], p[i:j, None], sums[i:j, None], n[None, s:e], p[None, s:e], sums[None, s:e]) & (c[i:j, None] != c[None, s:e])).any(1)
-    back = np.empty(len(t), bool)
-    back[order] = out
-    return back
+    return materialise(joined.select("a", "b", "s", "t").mapInArrow(step, "a long, b long"), "verified")
 
 
 #: Rows of a group that are compared with as many others in one matrix product.
@@ -220,24 +236,14 @@ def group_links(features: list[np.ndarray], c: np.ndarray, holds: Callable) -> l
     return out
 
 
-def _engaged_step(admit: Admit):
-    def step(table: pa.Table) -> pa.Table:
-        keep = engaged(*(table.column(k).to_numpy() for k in ("t", "x", "y", "p", "s", "c")), admit)
-        table = table.select(["bucket", "t", "x", "c"]).filter(pa.array(keep)).sort_by("t")
-        starts = _groups(t := table.column("t").to_numpy())
-        rows = mix(table.column("x").to_numpy().view(np.uint64))
-        sig = np.repeat(mix(np.add.reduceat(rows, starts)), np.diff(np.append(starts, len(t)))) if len(t) else rows
-        return table.append_column("sig", pa.array(sig.view(np.int64)))
-
-    return step
-
-
 def _resolve_step(features, holds):
     def step(table: pa.Table) -> pa.Table:
         t, d, c = (table.column(k).to_numpy() for k in ("t", "x", "c"))
         texts, known, a, b = table.column("text"), {}, [], []
         order = np.argsort(t, kind="stable")
         for rows in np.split(order, _groups(t[order])[1:]) if len(t) else []:
+            if sum(map(len, known.values())) > KNOWN:
+                known = {}
             for k in rows:
                 if d[k] not in known:
                     known[d[k]] = features(texts[int(k)].as_py() or "")
@@ -254,8 +260,7 @@ def linked_components(blobs: DataFrame, texts, features, linked, admit: Admit, l
     ``record`` may lack all but key and item; what it lacks tells nothing. With
     ``dense``, for pair filters that can't tell near misses from links, the pairs left
     over are compared group by group in blocks of matrix products."""
-    spark = blobs.sparkSession
-    first = materialise(blobs.groupBy("bucket").applyInArrow(_star_step(admit, record), "kind long, t long, x long, y long, p long, s long"), "stars")
+    first = materialise(blobs.groupBy("bucket", "part").applyInArrow(_star_step(admit, record), "kind long, t long, x long, y long, p long, s long"), "stars")
     pairs = materialise(first.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     need = materialise((ids.unionByName(first.filter("kind = 1").select(F.col("x").alias("id"))) if dense else ids).distinct(), "ids")
@@ -263,22 +268,28 @@ def linked_components(blobs: DataFrame, texts, features, linked, admit: Admit, l
     sure = verify(pairs, some, features, linked)
     known = sure if links is None else sure.unionByName(links)
     labels = components(known)
-    rest = first.filter("kind = 1").join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("c", F.coalesce("component", "x"))
-    rest = rest.withColumn("bucket", F.pmod("t", F.lit(4 * parts(spark)))).select("bucket", "t", "x", "y", "p", "s", "c")
-    gone = [first, pairs, need, some]
+    held = first.filter("kind = 1").join(labels.withColumnRenamed("node", "x"), "x", "left").select("t", "x", "y", "p", "s", F.coalesce("component", "x").alias("c"))
+    held = materialise(held.distinct(), "labelled")
+    # groups that hold several components; of those with the same rows, dense comparison takes one
+    mixed = held.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("sig")).filter("low <> high")
+    if dense:
+        mixed = mixed.groupBy("n", "sig").agg(F.min("t").alias("t"), F.first("low").alias("low"))
+    open_rows = materialise(held.join(mixed.select("t"), "t", "left_semi"), "open")
+    buckets = max(parts(blobs.sparkSession), open_rows.count() // REST)
+    rest = open_rows.withColumn("bucket", F.pmod(F.xxhash64("t"), F.lit(buckets)))
+    gone = [first, pairs, need, some, sure, held, open_rows]
     if dense:
-        apart = materialise(rest.groupBy("bucket").applyInArrow(_engaged_step(admit), "bucket long, t long, x long, c long, sig long"), "apart")
-        once = apart.groupBy("sig").agg(F.min("t").alias("t"))  # groups of the same rows are compared once
-        full = apart.join(once, ["sig", "t"], "left_semi").join(some.withColumnRenamed("id", "x"), "x").select("bucket", "t", "x", "c", "text")
+        full = rest.join(some.withColumnRenamed("id", "x"), "x").select("bucket", "t", "x", "c", "text")
         more = materialise(full.groupBy("bucket").applyInArrow(_resolve_step(features, linked), "a long, b long"), "crossing")
         out = components(known.unionByName(more))
-        gone += [apart, more]
+        gone += [more]
     else:
         more = materialise(rest.groupBy("bucket").applyInArrow(_cross_step(admit), "a long, b long").distinct(), "crossing")
         need = materialise(more.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         again = fetched(texts, need)
-        out = components(known.unionByName(verify(more, again, features, linked)))
-        gone += [more, need, again]
+        found = verify(more, again, features, linked)
+        out = components(known.unionByName(found))
+        gone += [more, need, again, found]
     for x in gone:
         discard(x)
     return out

@@ -1,9 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import types as T
 
 from lading.llm.components import forest
 from lading.llm.common import char_shingles
-from lading.llm.line_dedup import SHINGLE, _near, line_dedup, normals, records, signatures
+from lading.llm.line_dedup import BANDS, ROWS, SHINGLE, line_dedup, normals, records, signatures
 from lading.llm.queries import QUERIES
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.StringType())])
@@ -101,17 +102,60 @@ def test_against_brute_force_with_short_shingles(spark):
     assert same >= 0.995 * len(want), (same, len(want))
 
 
-def test_no_alike_pair_is_left_unverified():
-    rng = np.random.default_rng(5)
-    lines = []
-    while len(lines) < 4000:
-        x = "".join(rng.choice(list("abcdefghij "), rng.integers(8, 60)))
-        at = int(rng.integers(0, len(x) + 1))
-        y = x[:at] + "z" * int(rng.integers(0, 2)) + x[at + int(rng.integers(0, 2)) :]
+def planted_pairs(rng, length, pairs=2000):
+    """Pairs of random lines of about ``length`` characters with Jaccard 0.80 to 0.88."""
+    out = []
+    while len(out) < pairs:
+        x = "".join(rng.choice(list("abcdefghijklmnop "), length))
+        edits = rng.integers(0, length + 1, max(1, length // 50))
+        y = list(x)
+        for at in edits:
+            if rng.integers(2):
+                y[at : at + 1] = "z"
+            else:
+                y.insert(at, "z")
+        y = "".join(y)
+        if rng.integers(2):
+            y = x[: len(x) - int(rng.integers(0, max(2, length // 8)))]
         u, v = (set(char_shingles(t, 5).tolist()) for t in (x, y))
-        if x != y and 5 * len(u & v) >= 4 * len(u | v):
-            lines += [x.encode(), y.encode()]
-    r = records(lines, list(range(len(lines))), 5, 12, 3).reshape(-1, 2, 12)
-    a, b = r[:, 0], r[:, 1]
-    admitted = _near(a["n"][:, 0], a["p"][:, 0], a["s"][:, 0], b["n"][:, 0], b["p"][:, 0], b["s"][:, 0], 80, 100)
-    assert admitted.all() and (a["t"] == b["t"]).any(1).mean() >= 0.998
+        if x != y and 0.8 <= len(u & v) / len(u | v) <= 0.88:
+            out.append((x.encode(), y.encode()))
+    return out
+
+
+@pytest.mark.parametrize("length", [12, 15, 20, 30, 50, 200])
+def test_bands_find_planted_pairs_of_any_length(length):
+    lines = [x for p in planted_pairs(np.random.default_rng(length), length, 2000 if length < 200 else 600) for x in p]
+    t = records(lines, list(range(len(lines))), 5, BANDS, ROWS)["t"].reshape(-1, 2, BANDS)
+    assert (t[:, 0] == t[:, 1]).any(1).mean() >= 0.998
+
+
+def test_a_run_of_one_key_is_a_group_of_its_own():
+    """What a task deals out of a hot key: its run apart, two of it to the key's group."""
+    from lading.llm.line_dedup import _LINE, _any
+    from lading.llm.similarity import RUN, packed, _star_step
+    import pyarrow as pa
+
+    r = np.zeros(RUN + 5, _LINE)
+    r["t"], r["d"] = 7 << 32, np.arange(RUN + 5)
+    r["t"][-5:] = np.arange(100, 105) << 32
+    one = next(packed(iter([r]), 3))
+    rest = r[:3].copy()
+    rest["t"], rest["d"] = 7 << 32, 10**6 + np.arange(3)
+    other = next(packed(iter([rest]), 3))
+    rows = pa.concat_tables([pa.Table.from_batches([x]) for x in (one, other)]).to_pylist()
+    assert sum(x["part"] != 0 for x in rows) == 1
+    groups = {}
+    for x in rows:
+        groups.setdefault((x["bucket"], x["part"]), []).append(x)
+    out = pa.concat_tables([_star_step(_any, _LINE)(pa.Table.from_pylist(g, schema=one.schema)) for g in groups.values()]).to_pylist()
+    up = dict(forest([(x["x"], x["y"]) for x in out if x["kind"] == 0]))
+    assert len({up.get(k, k) for k in [*range(RUN), *(10**6 + np.arange(3)).tolist()]}) == 1
+    assert {x["x"] for x in out if x["kind"] == 1} == {*range(RUN), *(10**6 + np.arange(3)).tolist()}
+
+
+def test_columns_named_like_the_operators_own(spark):
+    docs = spark.createDataFrame([(1, "a line of words\nx", "p", 5, 6), (2, "a line of words", "q", 7, 8)], "doc_id long, text string, __gone string, own int, split int")
+    out = line_dedup(docs)
+    assert out.columns == ["doc_id", "text", "__gone", "own", "split", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a line of words\nx", "p", 5, 6, 2, 0), (2, "", "q", 7, 8, 1, 1)]
