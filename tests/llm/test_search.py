@@ -70,6 +70,50 @@ def test_repeated_rows_and_ids(spark):
     assert len(got) == 5 and [i for i, _ in got] == list(kept)[:5]
 
 
+def test_extreme_magnitudes_and_opposites(spark):
+    """Finite vectors take part at any magnitude: components of 1e200 and 1e-200."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((60, 6))
+    size = np.array([1e200, 1.0, 1e-200])[np.arange(60) % 3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base * size[:, None])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df.filter("vec_id % 7 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    for i, found in got.items():
+        cos = unit @ unit[i]
+        cos[i] = -2
+        assert [j for j, _ in found] == np.argsort(-cos)[:5].tolist()
+        assert all(abs(s - cos[j]) < 1e-12 for j, s in found)
+
+
+def test_rounds_over_cells_and_share_verified(spark, monkeypatch):
+    """Many cells and blocks on structured vectors: recall 0.9 at least, and few pairs verified."""
+    import lading.llm.ann as module
+
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 32)) * 2
+    v = centres[np.arange(4000) % 40] + rng.standard_normal((4000, 32)) * 0.5
+    block = module.build(np.arange(4000), module.scaled(v))
+    ask = np.arange(0, 4000, 40)
+    of, near, score, verified = module.search(block, ask, module.scaled(v[ask]), np.full(len(ask), -np.inf), 5, chi_square_quantile(module.SURE, module.DIMS))
+    print("share verified", verified / (len(ask) * 4000))
+    assert verified < 0.15 * len(ask) * 4000
+    monkeypatch.setattr(module, "BLOCK", 128)
+    monkeypatch.setattr(module, "QUERIES", 16)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df.filter("vec_id % 40 = 3"), k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for i in range(3, 4000, 40):
+        cos = unit @ unit[i]
+        cos[i] = -2
+        hits += len(got[i] & set(np.argsort(-cos)[:5].tolist()))
+    assert hits >= 0.9 * 500
+
+
 def test_several_blocks(spark, monkeypatch):
     import lading.llm.ann as module
 
