@@ -24,8 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity as labelled: 0 harmless, 1 toxic, 2 toxic and of low quality."""
     docs = _table(spark, sf_dir, "documents")
-    model = train_on_labels(docs, _table(spark, sf_dir, "labels"))
+    grade = F.when(F.col("toxic") == 0, 0).when(F.coalesce(F.col("quality"), F.lit(1)) == 0, 2).when(F.col("toxic").isNotNull(), 1)
+    model = train_on_labels(docs, _table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")), "grade")
     return score_toxicity(docs.select("doc_id", "text"), model).drop("text")
 
 

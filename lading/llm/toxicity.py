@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lading.llm.common import materialise, others, q, smallest_hashes
+from lading.llm.common import discard, materialise, others, q, smallest_hashes
 
 #: Labelled documents of each label at most.
 SAMPLE = 2000
@@ -106,40 +106,37 @@ def train(rows: Iterable[tuple[np.ndarray, int]], keep: int = FEATURES) -> Ordin
     return Ordinal({int(names[c]): k for k, c in enumerate(best)}, weights, cuts)
 
 
-def graded(rows: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
-    """Grades 0, 1, 2 for rows labelled 0 or 1: the toxic half with the more of the
-    features that stand out among toxic rows is 2."""
-    bad, total = {}, {}
-    for f, y in rows:
-        for k in f.tolist():
-            total[k] = total.get(k, 0) + 1
-            if y:
-                bad[k] = bad.get(k, 0) + 1
-    telling = {k for k, v in bad.items() if v >= 5 and v >= 0.9 * total[k]}
-    weight = [sum(k in telling for k in f.tolist()) if y else 0 for f, y in rows]
-    middle = np.median([w for w, (_, y) in zip(weight, rows) if y] or [0])
-    return [(f, (1 + int(w > middle)) if y else 0) for w, (f, y) in zip(weight, rows)]
-
-
-def train_on_labels(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ordinal:
-    """A model of at most ``sample`` documents of each label, those with the smallest
-    hashed id. Their feature hashes come to the driver, not their texts."""
-    known = labels.filter(q(label).isNotNull() & q(id_col).isNotNull()).groupBy(q(id_col).alias("id")).agg(F.max(q(label)).cast("int").alias("y"))
-    chosen = materialise(smallest_hashes(known, "id", "y", sample), "sample")  # at most sample rows a label
+def train_on_labels(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ordinal:
+    """A model of at most ``sample`` documents of each grade, those with the smallest
+    hashed id. ``grade`` is a column of ordered whole numbers, 0 for harmless; the grades
+    that occur are learnt in their order. Null grades and ids take no part; of a
+    document's several labels the largest counts, and of rows that share an id one. Their
+    feature hashes come to the driver, not their texts."""
+    known = labels.filter(q(grade).isNotNull() & q(id_col).isNotNull()).groupBy(q(id_col).alias("id")).agg(F.max(q(grade)).cast("int").alias("y"))
+    chosen = materialise(smallest_hashes(known, "id", "y", sample), "sample")  # at most sample rows a grade
     rows = docs.select(q(id_col).alias("id"), q(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([features(t or "").tobytes() for t in texts], pa.binary())], names=["id", "y", "f"])
+            ids = batch.column(0).to_pylist()
+            fresh = [k for k, i in enumerate(ids) if not (i in seen or seen.add(i))]  # no more than were chosen
+            some = batch.take(pa.array(fresh, pa.int64()))
+            yield pa.record_batch([some.column(0), some.column(2), pa.array([features(t or "").tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["id", "y", "f"])
 
-    found = sorted(rows.select("id", "text", "y").mapInArrow(hashed, "id long, y int, f binary").collect(), key=lambda r: (r["id"], bytes(r["f"])))
-    return train(graded([(np.frombuffer(bytes(r["f"]), np.uint32), int(r["y"] > 0)) for r in found]))
+    kind = dict(rows.dtypes)["id"]
+    found = rows.select("id", "text", "y").mapInArrow(hashed, f"id {kind}, y int, f binary")
+    found = found.groupBy("id", "y").agg(F.min("f").alias("f")).collect()  # a row an id
+    discard(chosen)
+    found.sort(key=lambda r: (r["y"], str(r["id"])))
+    order = {y: k for k, y in enumerate(sorted({r["y"] for r in found}))}
+    return train([(np.frombuffer(bytes(r["f"]), np.uint32), order[r["y"]]) for r in found])
 
 
 def score_toxicity(docs: DataFrame, model: Ordinal, flag: float = FLAG, text_col: str = "text") -> DataFrame:
     """``docs`` with ``severity`` (the expected grade), ``p_toxic`` (probability of a
-    grade above 0), ``grade`` (the likeliest) and ``toxic`` (``p_toxic >= flag``) after
+    grade above 0), ``grade`` (the median: as many as there are thresholds passed with
+    probability ``flag``) and ``toxic`` (``p_toxic >= flag``, a grade above 0) after
     its columns, read from whole texts. A null or empty text has no features and gets
     what the cuts alone say. Other columns stay; ones named like the four are replaced.
     An untrained model finds nothing toxic. An empty table gives an empty table."""
@@ -164,8 +161,7 @@ def score_toxicity(docs: DataFrame, model: Ordinal, flag: float = FLAG, text_col
                 if len(known) > _KNOWN:
                     known.clear()
             above = m.above(total)
-            p = np.concatenate([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]], 1)
-            new = [pa.array(above.sum(1)), pa.array(above[:, 0].copy()), pa.array(p.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= flag)]
+            new = [pa.array(above.sum(1)), pa.array(above[:, 0].copy()), pa.array((above >= flag).sum(1).astype(np.int32)), pa.array(above[:, 0] >= flag)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "severity", "p_toxic", "grade", "toxic"])
 
     more = [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
