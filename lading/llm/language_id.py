@@ -3,6 +3,7 @@ Nyström landmarks, one-versus-rest kernel ridge regression."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import materialise, mix, others, q, smallest_hashes
+from lading.llm.common import discard, materialise, others, q, smallest_hashes
 
 #: Hashed n-gram bins.
 BINS = 1 << 14
@@ -82,20 +83,27 @@ def fit(labels: list[str], rows: np.ndarray, longest: int, landmarks: int = LAND
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, longest: int = 3) -> Kernel:
     """A classifier learnt from at most ``sample`` documents of each language, those
-    whose hashed id is smallest. Only their packed n-gram bins come to the driver."""
-    known = docs.filter(q(lang_col).isNotNull() & q(text_col).isNotNull()).select(q(id_col).alias("id"), q(lang_col).cast("string").alias("lang"))
+    whose hashed id is smallest; null languages and texts take no part, and of rows that
+    share an id and a language one does. Only their packed n-gram bins come to the driver."""
+    known = docs.filter(q(lang_col).isNotNull() & q(text_col).isNotNull()).select(q(id_col).alias("id"), q(lang_col).cast("string").alias("lang")).distinct()
     chosen = materialise(smallest_hashes(known, "id", "lang", sample), "sample")  # at most sample rows a language
-    rows = docs.select(q(id_col).alias("id"), q(lang_col).cast("string").alias("lang"), q(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
+    rows = docs.select(q(id_col).alias("id"), q(lang_col).cast("string").alias("lang"), q(text_col).alias("text")).filter("text is not null").join(F.broadcast(chosen), ["id", "lang"], "left_semi")
 
     def bins(batches):
+        seen: set = set()
         for batch in batches:
-            packed = [np.packbits(presence(t or "", longest)).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "lang", "bins"])
-
-    found = rows.mapInArrow(bins, "id long, lang string, bins binary").collect()
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            fresh = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]  # no more than were chosen
+            some = batch.take(pa.array(fresh, pa.int64()))
+            packed = [np.packbits(presence(t or "", longest)).tobytes() for t in some.column(2).to_pylist()]
+            yield pa.record_batch([some.column(0), some.column(1), pa.array(packed, pa.binary())], names=["id", "lang", "bins"])
+
+    kind = dict(rows.dtypes)["id"]
+    found = rows.mapInArrow(bins, f"id {kind}, lang string, bins binary").groupBy("id", "lang").agg(F.min("bins").alias("bins")).collect()  # a row for each that was chosen
+    discard(chosen)
     if not found:
         return Kernel([], np.zeros((0, BINS), np.float32), np.zeros((0, 0), np.float32), longest)
-    found.sort(key=lambda r: (r["lang"], mix(np.array([hash(r["id"]) % 2**63], np.uint64))[0], r["bins"]))
+    found.sort(key=lambda r: (r["lang"], zlib.crc32(str(r["id"]).encode()), str(r["id"])))
     return fit([r["lang"] for r in found], np.stack([np.unpackbits(np.frombuffer(bytes(r["bins"]), np.uint8)).astype(bool) for r in found]), longest)
 
 
