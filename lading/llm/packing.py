@@ -91,18 +91,19 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, length: Co
     in no bin (null ``bin_id``, ``place`` and ``capacity``). Null ids are allowed, rows that
     repeat are packed each, other columns are ignored, an empty table gives no rows.
 
-    Only ids and lengths are shuffled. Pieces are dealt by hash into shards of about
-    ``shard`` pieces, packed each by :func:`pack`; a shard's last few bins are all that
+    Only ids and lengths are shuffled. Pieces are dealt by hash of id, text and row into shards of about
+    ``shard`` pieces, also where an id or a row repeats without end, packed each by :func:`pack`; a shard's last few bins are all that
     a single packing could save."""
     sizes = sorted(capacities)
     most = sizes[-1]
     count = (word_count(q(text_col)) if length is None else F.coalesce(length, F.lit(0))).cast("long")
     rows = docs.select(q(id_col).alias("id"), F.xxhash64(q(text_col)).alias("th"), count.alias("n"))
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest((F.col("n") - 1), F.lit(0)), F.lit(most).cast("long"))
-    pieces = rows.select("id", "th", "n", F.posexplode(cuts).alias("piece", "start")).withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(most)))
-    pieces = materialise(pieces.select("id", "th", "piece", "start", "length"), "pieces")
+    # the row's number, written with it, deals rows that repeat to different shards
+    pieces = rows.withColumn("row", F.monotonically_increasing_id()).select("id", "th", "n", "row", F.posexplode(cuts).alias("piece", "start")).withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(most)))
+    pieces = materialise(pieces.select("id", "th", "row", "piece", "start", "length"), "pieces")
     shards = max(1, -(-pieces.filter("length > 0").count() // shard))
-    full = pieces.filter("length > 0").withColumn("shard", F.pmod(F.xxhash64("id", "th", "piece"), F.lit(shards)))
+    full = pieces.filter("length > 0").withColumn("shard", F.pmod(F.xxhash64("id", "th", "row", "piece"), F.lit(shards))).drop("row")
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("th", "ascending")])
