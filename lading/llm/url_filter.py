@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import LOWER, UPPER, materialise, others, q
+from lading.llm.common import LOWER, UPPER, free_name, materialise, others, q
 
 # The rules of the query, as (action, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -62,25 +62,27 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     return listed.select(F.pmod(pick, F.lit(blocks)).alias("block"), *(b.alias(f"w{k}") for k, b in enumerate(bits))).groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)))
 
 
-def listed_rows(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """``rows`` (with a column __url, canonical) and whether ``listed`` (column url) has
-    it, as __listed. What the Bloom filter passes goes to the exact join, the rest not."""
+def listed_rows(rows: DataFrame, url: str, listed: DataFrame, flag: str) -> DataFrame:
+    """``rows`` without the column ``url`` (canonical URLs) and with the column ``flag``:
+    whether ``listed`` (column url) has it. What the Bloom filter passes goes to the exact
+    join, the rest not. The columns that this needs have names that no column of ``rows`` has."""
     listed = materialise(listed.filter("url is not null").distinct(), "listed")
     count = listed.count()
     blocks = max(1, -(-count * BITS // (64 * WORDS)))
     table = bloom(listed, blocks)
-    pick, bits = _bits(F.col("__url"))
-    probe = rows.withColumn("__block", F.pmod(pick, F.lit(blocks)))
-    table = table.withColumnRenamed("block", "__block").select("__block", F.array(*(F.col(f"w{k}") for k in range(WORDS))).alias("__words"))
-    probe = probe.join(F.broadcast(table) if blocks <= FEW_BLOCKS else table, "__block", "left")
-    may = F.col("__words").isNotNull()
+    block, words, may, hit = (free_name(rows, c) for c in ("block", "words", "may", "hit"))
+    pick, bits = _bits(F.col(url))
+    probe = rows.withColumn(block, F.pmod(pick, F.lit(blocks)))
+    table = table.select(F.col("block").alias(block), F.array(*(F.col(f"w{k}") for k in range(WORDS))).alias(words))
+    probe = probe.join(F.broadcast(table) if blocks <= FEW_BLOCKS else table, block, "left")
+    passes = F.col(words).isNotNull()
     for k, b in enumerate(bits):
-        may = may & (F.col("__words")[k].bitwiseAND(b) == b)
-    probe = probe.withColumn("__may", F.coalesce(may, F.lit(False))).drop("__block", "__words")
-    exact = listed.select(F.col("url").alias("__url"), F.lit(True).alias("__hit"))
-    sure = probe.filter("__may").join(F.broadcast(exact) if count <= FEW_URLS else exact, "__url", "left")
-    sure = sure.withColumn("__listed", F.coalesce("__hit", F.lit(False))).drop("__hit")
-    return sure.unionByName(probe.filter("not __may").withColumn("__listed", F.lit(False))).drop("__may")
+        passes = passes & (F.col(words)[k].bitwiseAND(b) == b)
+    probe = probe.withColumn(may, F.coalesce(passes, F.lit(False))).drop(block, words)
+    exact = listed.select(F.col("url").alias(url), F.lit(True).alias(hit))
+    sure = probe.filter(F.col(may)).join(F.broadcast(exact) if count <= FEW_URLS else exact, url, "left")
+    sure = sure.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(hit)
+    return sure.unionByName(probe.filter(~F.col(may)).withColumn(flag, F.lit(False))).drop(may, url)
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, url_col: str = "url", listed_col: str = "url") -> DataFrame:
@@ -92,11 +94,12 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, url_col: str =
     listed. Listed URLs may repeat or be null. Rows that repeat get equal results; other
     columns stay, ones named like the operator's are replaced. An empty list blocks
     nothing; an empty table gives an empty table."""
-    names = others(pages, "host", "path", "rule", "listed", "verdict", "__url")
+    names = others(pages, "host", "path", "rule", "listed", "verdict")
     host, path = host_and_path(q(url_col))
     real = lambda c: F.when(F.instr(c, "://") > 0, canonical(c))
-    rows = pages.select(*(q(c) for c in names), real(q(url_col)).alias("__url"), host.alias("host"), path.alias("path"))
-    found = listed_rows(rows, listed.select(real(q(listed_col)).alias("url")))
+    key = free_name(pages, "canonical")
+    rows = pages.select(*(q(c) for c in names), real(q(url_col)).alias(key), host.alias("host"), path.alias("path"))
+    found = listed_rows(rows, key, listed.select(real(q(listed_col)).alias("url")), "listed")
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
-    verdict = F.coalesce(action, F.when(F.col("__listed"), "block").otherwise("allow"))
-    return found.select(*(q(c) for c in names), "host", "path", rule.alias("rule"), F.col("__listed").alias("listed"), verdict.alias("verdict"))
+    verdict = F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow"))
+    return found.select(*(q(c) for c in names), "host", "path", rule.alias("rule"), "listed", verdict.alias("verdict"))
