@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,15 +27,27 @@ def _times(a: int, b: int) -> int:
     return out
 
 
+#: x to the powers 8, 16, 32, ...
+_POWERS = [0x00800000]
+for _ in range(63):
+    _POWERS.append(_times(_POWERS[-1], _POWERS[-1]))
+
+
+@lru_cache(4096)
+def _shift(length: int) -> int:
+    """x to the eightfold length."""
+    power, k = 0x80000000, 0
+    while length:
+        if length & 1:
+            power = _times(power, _POWERS[k])
+        length, k = length >> 1, k + 1
+    return power
+
+
 def crc32_combine(first: int, second: int, length: int) -> int:
     """CRC-32 of two strings in a row from theirs and the second's length: the first
     times x to the eightfold length, plus the second."""
-    power, square, n = 0x80000000, 0x00800000, length
-    while n:
-        if n & 1:
-            power = _times(power, square)
-        square, n = _times(square, square), n >> 1
-    return _times(first, power) ^ second
+    return (_times(first, _shift(length)) if first else 0) ^ second
 
 
 def adler32_combine(first: int, second: int, length: int) -> int:
@@ -84,19 +99,32 @@ def adler32_of(data: pd.Series) -> pd.Series:
 
 
 def combined_crc32(chunks: DataFrame, keys: list[str], order: str, crc: str = "crc", length: str = "n", out: str = "crc32") -> DataFrame:
-    """CRC-32 of each key's chunks in order from the chunks' own. Combination is
-    associative, so a key's chunks fold in ranges first: the fold of a range is its
-    checksum and length again."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        c = n = 0
-        for x, k in zip(pdf[crc], pdf[length]):
-            c, n = crc32_combine(c, int(x), int(k)), n + int(k)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, order: pdf[order].iloc[0], crc: c, length: n}])
-
-    types = dict(chunks.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", `{order}` {types[order]}, `{crc}` long, `{length}` long"
-    ranges = chunks.select(*keys, order, F.col(crc).cast("long").alias(crc), F.col(length).cast("long").alias(length)).withColumn("_range", F.expr(f"`{order}` div 1024"))
-    part = ranges.groupBy(*keys, "_range").applyInPandas(lambda pdf: fold(pdf), schema)
-    return part.groupBy(*keys).applyInPandas(lambda pdf: fold(pdf), schema).select(*keys, F.col(crc).alias(out), F.col(length).alias("size"))
+    """CRC-32 and ``size`` of each key's chunks in order from the chunks' own. A key's
+    chunks stand in a row of one partition and are folded as they stream by."""
+    rows = chunks.select(*keys, order, F.col(crc).cast("long").alias(crc), F.col(length).cast("long").alias(length)).repartition(*keys).sortWithinPartitions(*keys, order)
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", `{out}` long, `size` long"
+    n = len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, size = None, 0, 0
+        for batch in batches:
+            done: list[tuple] = []
+            own = [c.to_pylist() for c in batch.columns]
+            for key, c, k in zip(zip(*own[:n]), own[n + 1], own[n + 2]):
+                if key == now:
+                    total, size = crc32_combine(total, c, k), size + k
+                else:
+                    if now is not None:
+                        done.append((*now, total, size))
+                    now, total, size = key, c, k
+            if done:
+                yield _table(done, batch)
+        if now is not None:
+            yield _table([(*now, total, size)], batch)
+
+    def _table(done: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = [*like.schema.types[:n], pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=[*keys, out, "size"])
+
+    return rows.mapInArrow(fold, schema)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lading.functions.digests import combined_crc32
+from lading.sources.archive import member_digests
 
 
 def verdicts(content: DataFrame) -> DataFrame:
@@ -37,14 +38,14 @@ def duplicates_by_digest(members: DataFrame) -> DataFrame:
     return files.groupBy("size", F.lower(F.hex(F.col("hashes")["crc32"])).alias("crc32")).agg(F.count("*").alias("copies"), F.min(F.concat_ws("!", "archive_id", "name")).alias("first")).filter("copies > 1")
 
 
-def confirmed_duplicates(members: DataFrame, content: DataFrame) -> DataFrame:
-    """Those groups told apart by the SHA-256 of their content; only candidates are hashed."""
+def confirmed_duplicates(members: DataFrame, files: DataFrame, **options) -> DataFrame:
+    """Those groups told apart by the SHA-256 of their content; only candidates are
+    hashed, as they are decoded, so no member meets in one value. ``files`` (path, content)
+    are the archives of ``members``."""
     few = duplicates_by_digest(members).select("size", "crc32")
     rows = members.filter("type = 'file' and is_current").withColumn("crc32", F.lower(F.hex(F.col("hashes")["crc32"]))).join(few, ["size", "crc32"], "left_semi").select("archive_id", "member_id", "size", "crc32")
-    parts = content.join(rows, ["archive_id", "member_id"]).groupBy("archive_id", "member_id", "size", "crc32").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "data"))).alias("v"))
-    whole = F.aggregate("v", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["data"]))
-    hashed = parts.select("size", "crc32", F.sha2(whole, 256).alias("sha256"))
-    return hashed.groupBy("size", "crc32", "sha256").agg(F.count("*").alias("copies")).filter("copies > 1")
+    hashed = member_digests(files, "sha256", rows, **options).filter("verdict <> 'error'").select("archive_id", "member_id", F.col("digest").alias("sha256"))
+    return rows.join(hashed, ["archive_id", "member_id"]).groupBy("size", "crc32", "sha256").agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
 def io_stats(members: DataFrame, content: DataFrame) -> DataFrame:

@@ -214,24 +214,34 @@ def e08_normal_name(spark, sf):
     return n.select("page_id", names.normal_name(F.replace("name", F.lit("?"), F.lit("/./")), F.col("type")).alias("name"))
 
 
-@query("""WITH l AS (SELECT page_id, 'a/b/' || page_id AS name, CASE page_id % 5 WHEN 0 THEN '../../..' WHEN 1 THEN '/abs' WHEN 2 THEN '../x/./' || page_id WHEN 3 THEN '../../up' ELSE 'same//dir' END AS target FROM pages)
-SELECT page_id, CASE page_id % 5 WHEN 2 THEN 'a/x/' || page_id WHEN 3 THEN 'up' WHEN 4 THEN 'a/b/same/dir' END AS resolved FROM l""")
+#: A page's path, and the path of the next one relative to its folder: ``..`` for each of its folders.
+_LINKS = """p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS name FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL),
+l AS (SELECT a.page_id, a.name, repeat('../', (a.page_id % 5)::INT) || './' || b.name AS target FROM p a JOIN p b ON b.page_id = a.page_id + 1)"""
+
+
+def _links(spark, sf):
+    p = _table(spark, sf, "pages").filter("page_id is not null and url is not null").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("name"))
+    after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("name").alias("next"))
+    return p.join(after, "page_id").select("page_id", "name", F.concat(F.expr("repeat('../', cast(page_id % 5 as int))"), F.lit("./"), "next").alias("target"))
+
+
+@query(f"""WITH {_LINKS}, s AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(name, '/+$', ''), '[^/]*$', '') || target, '/'), lambda x: x <> '' AND x <> '.') AS w FROM l),
+r AS (SELECT page_id, list_reduce(list_transform(w, lambda x: [x]), lambda a, x: CASE WHEN x[1] = '..' AND len(a) > 0 AND a[-1] <> '..' THEN a[:-2] ELSE list_concat(a, x) END, []::VARCHAR[]) AS w FROM s)
+SELECT page_id, CASE WHEN len(w) > 0 AND w[1] <> '..' THEN array_to_string(w, '/') END AS resolved FROM r""")
 def e09_link_target_name(spark, sf):
-    k = F.col("page_id") % 5
-    target = F.when(k == 0, "../../..").when(k == 1, "/abs").when(k == 2, F.concat(F.lit("../x/./"), F.col("page_id").cast("string"))).when(k == 3, "../../up").otherwise("same//dir")
-    return _table(spark, sf, "pages").select("page_id", names.link_target_name(F.concat(F.lit("a/b/"), F.col("page_id").cast("string")), target, F.lit("symlink")).alias("resolved"))
+    return _links(spark, sf).select("page_id", names.link_target_name(F.col("name"), F.col("target"), F.lit("symlink")).alias("resolved"))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'page' || page_id WHEN 1 THEN 'page' || page_id || '.tar' ELSE 'page' || page_id || '.html.uncompressed' END AS name FROM pages")
+@query("""WITH b AS (SELECT page_id, regexp_extract(regexp_replace(url, '/+$', ''), '[^/]*$', 0) AS b FROM pages)
+SELECT page_id, CASE WHEN b IS NULL OR b IN ('', '.', '..') THEN 'data' WHEN ends_with(lower(b), '.html') AND length(b) > 5 THEN b[:-6] WHEN ends_with(lower(b), '#top') AND length(b) > 4 THEN b[:-5] ELSE b || '.uncompressed' END AS name FROM b""")
 def e10_inferred_name(spark, sf):
-    k = F.col("page_id") % 3
-    path = F.concat(F.lit("dir/page"), F.col("page_id").cast("string"), F.when(k == 0, ".GZ").when(k == 1, ".tar.gz").otherwise(".html"))
-    return _table(spark, sf, "pages").select("page_id", names.inferred_name(path, (".gz", ".bz2")).alias("name"))
+    return _table(spark, sf, "pages").select("page_id", names.inferred_name(F.col("url"), (".HTML", "#top")).alias("name"))
 
 
-@query("SELECT doc_id, doc_id % 4 = 0 AS bidi FROM documents")
+@query("SELECT doc_id, regexp_matches(coalesce(text, ''), '[\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]') OR doc_id % 97 = 0 AS bidi FROM documents")
 def e11_bidi_warning(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", names.has_bidi(F.concat("lang", F.when(F.col("doc_id") % 4 == 0, "‮").otherwise(""), F.col("doc_id").cast("string"))).alias("bidi"))
+    marked = F.when(F.col("doc_id") % 97 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\u2067"))).otherwise(F.coalesce("text", F.lit("")))
+    return _table(spark, sf, "documents").select("doc_id", names.has_bidi(marked).alias("bidi"))
 
 
 @query("SELECT archive_id, name, count(*)::BIGINT AS n FROM (WITH " + _own() + " SELECT * FROM m) WHERE (name LIKE 'fr/%' OR name LIKE '%7.txt') AND NOT name LIKE 'de/%' GROUP BY ALL")
@@ -266,16 +276,27 @@ def e19_crc32_digest(spark, sf):
     return _table(spark, sf, "orders").select("o_orderkey", F.lower(F.hex(values.crc32_digest(F.col("o_orderkey")))).alias("digest"))
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a/b' WHEN 1 THEN 'dir/name' WHEN 2 THEN NULL ELSE '.hidden' END AS name FROM pages")
+#: Sentences of documents as names: they end in dots, hold spaces, colons and slashes.
+_SAID = "s AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), ', ', '/'), chr(10))) AS name FROM documents)"
+
+
+def _said(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit("/")), "\n")).alias("name"))
+
+
+@query(f"""WITH {_SAID}, c AS (SELECT doc_id, name, list_transform(string_split(name, '/'), lambda x: CASE WHEN x IN ('', '.', '..') THEN x ELSE rtrim(x, '. ') END) AS w, string_split(name, '/') AS o FROM s)
+SELECT doc_id, CASE WHEN len(list_filter(list_zip(w, o), lambda z: z[1] = '' AND z[2] NOT IN ('', '.', '..'))) = 0 THEN array_to_string(w, '/') END AS name FROM c""")
 def e22_without_trailing_dots(spark, sf):
-    k = F.col("page_id") % 4
-    return _table(spark, sf, "pages").select("page_id", names.without_trailing_dots(F.when(k == 0, "a. /b").when(k == 1, "dir ./name...").when(k == 2, "x/...").otherwise(".hidden")).alias("name"))
+    return _said(spark, sf).select("doc_id", names.without_trailing_dots(F.col("name")).alias("name"))
+
 
+_DEVICES = "'CON', 'PRN', 'AUX', 'NUL', " + ", ".join(f"'{d}{i}'" for d in ("COM", "LPT") for i in range(1, 10))
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'reserved_name' WHEN 1 THEN 'colon' WHEN 2 THEN 'reserved_name' END AS reason FROM pages")
+
+@query(f"""WITH {_SAID}, c AS (SELECT doc_id, list_filter(string_split(replace(name, chr(92), '/'), '/'), lambda x: x <> '') AS w FROM s)
+SELECT doc_id, CASE WHEN len(list_filter(w, lambda x: upper(trim(string_split(x, '.')[1])) IN ({_DEVICES}))) > 0 THEN 'reserved_name' WHEN len(list_filter(w, lambda x: contains(x, ':'))) > 0 THEN 'colon' END AS reason FROM c""")
 def e23_unportable(spark, sf):
-    k = F.col("page_id") % 4
-    return _table(spark, sf, "pages").select("page_id", names.unportable(F.when(k == 0, "a/nul.txt").when(k == 1, "a:b").when(k == 2, "x\\COM1 .log").otherwise("console/aux1")).alias("reason"))
+    return _said(spark, sf).select("doc_id", names.unportable(F.col("name")).alias("reason"))
 
 
 @query("""WITH m AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 37 + l_linenumber) % 4096 AS mode FROM lineitem)
@@ -286,12 +307,17 @@ def e24_modes(spark, sf):
     return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", values.strict_mode(mode, kind).alias("strict"), values.standard_mode(mode, kind).alias("standard"), values.format_mode(mode).alias("shown"))
 
 
-@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'absolute' WHEN 1 THEN 'traversal' WHEN 2 THEN 'absolute' WHEN 3 THEN 'root' WHEN 4 THEN 'link_escape' END AS reason FROM pages")
+@query(f"""WITH {_LINKS}, s AS (SELECT *, regexp_replace(regexp_replace(name, '/+$', ''), '[^/]*$', '') || target AS path FROM l),
+d AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.') AS w FROM s)
+SELECT page_id, CASE WHEN list_min(list_transform(range(1, len(w) + 1), lambda i: len(w[1:i]) - 2 * len(list_filter(w[1:i], lambda x: x = '..')))) < 0 THEN 'link_escape' END AS reason FROM d
+UNION ALL SELECT page_id, CASE WHEN regexp_matches(url, '^[A-Za-z]:') OR starts_with(url, '/') THEN 'absolute' WHEN list_contains(string_split(url, '/'), '..') THEN 'traversal' END FROM pages
+UNION ALL SELECT page_id, 'absolute' FROM p UNION ALL SELECT page_id, 'traversal' FROM p""")
 def e25_unsafe(spark, sf):
-    k = F.col("page_id") % 6
-    name = F.when(k == 0, "/etc/x").when(k == 1, "a/../b").when(k == 2, "C:x").when(k == 3, ".").when(k == 4, "d/l").otherwise("d/ok")
-    kind, target = F.when(k >= 4, "symlink").otherwise("file"), F.when(k == 4, "../../out").when(k == 5, "../in")
-    return _table(spark, sf, "pages").select("page_id", names.unsafe(name, kind, target).alias("reason"))
+    reason = lambda name, kind, target=None: names.unsafe(name, F.lit(kind), F.lit(None).cast("string") if target is None else target).alias("reason")
+    p = _table(spark, sf, "pages")
+    named = p.filter("page_id is not null and url is not null").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("name"))
+    out = _links(spark, sf).select("page_id", reason(F.col("name"), "symlink", F.col("target"))).unionByName(p.select("page_id", reason(F.col("url"), "file")))
+    return out.unionByName(named.select("page_id", reason(F.concat(F.lit("/"), "name"), "file"))).unionByName(named.select("page_id", reason(F.concat("name", F.lit("/../x")), "file")))
 
 
 @query("SELECT doc_id, (CASE WHEN octet_length(encode(text)) = length(text) THEN length(text) ELSE 4 * length(text) END)::INT AS metadata_bytes FROM documents")
@@ -345,7 +371,7 @@ def f10_duplicates_by_digest(spark, sf):
 @query(f"WITH {_own()} SELECT size::BIGINT AS size, sha256(data) AS sha256, count(*)::BIGINT AS copies FROM m GROUP BY size, sha256(data) HAVING count(*) > 1")
 def f10_confirmed_duplicates(spark, sf):
     z = _zips(spark, sf)
-    return integrity.confirmed_duplicates(ops.with_current(src.members(z)), src.content(z)).select("size", "sha256", "copies")
+    return integrity.confirmed_duplicates(ops.with_current(src.members(z)), z).select("size", "sha256", "copies")
 
 
 _TURNS = "SELECT 'c' || (conv_id // 100) AS archive_id, role || '/' || (conv_id % 100) || '.txt' AS name, turn, conv_id, text, row_number() OVER (PARTITION BY conv_id // 100 ORDER BY conv_id, turn, text) - 1 AS member_id FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL"
@@ -450,12 +476,12 @@ def e28_format_size(spark, sf):
     return _table(spark, sf, "orders").select(values.format_size(size).alias("shown")).groupBy("shown").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, replace(lower(nfc_normalize(regexp_replace(replace(text, chr(92), '/'), '/+$', ''))), 'ß', 'ss') AS key FROM documents")
 def e20_collision_key(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", names.collision_key("text", "strict").alias("key"))
+    return _table(spark, sf, "documents").select("doc_id", names.collision_key(F.col("text"), "strict").alias("key"))
 
 
-@query()
+@query("SELECT doc_id, replace(replace(replace(replace(text, chr(92), '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') AS shown FROM documents")
 def e27_escaped_names(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", names.escaped("text").alias("shown"))
 
@@ -499,3 +525,6 @@ def a15_io_stats(spark, sf):
 def e05_type_predicates(spark, sf):
     kind = values.type_predicates(F.col("type"))
     return _turns(spark, sf).groupBy("archive_id").agg(F.count_if(kind["is_link"]).alias("links"), F.count_if(kind["is_file"]).alias("files"))
+
+
+from lading.plans import formats as _formats  # noqa: E402, F401  registers its queries

@@ -3,13 +3,14 @@ table of files, and the data sources ``archive`` and ``archive_stream`` over pat
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import io
 import json
 import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
@@ -17,14 +18,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lading import schema as S
 from lading.errors import ArchiveError, DetectionError, UnsupportedFormat, UsageError
-from lading.sources.base import Archive, Limits, guarded, limited, verified
+from lading.sources.base import Archive, Joined, Limits, guarded, hasher, limited, verified
 from lading.sources.codecs import STREAMS
-from lading.sources.detect import identify
+from lading.sources.detect import HEAD, identify
 from lading.sources.formats import MODULES, handler
+from lading.sources.volumes import volume_place
 
 _MEMBERS, _CONTENT, _ARCHIVES, _DIAGNOSTICS = (to_arrow_schema(s) for s in (S.MEMBERS, S.CONTENT, S.ARCHIVES, S.DIAGNOSTICS))
-#: What is read of a file to identify it: past ISO's signature, and a probe's worth.
-HEAD = (1 << 20) + 32774
+#: Rows of the data source's view of formats.
+FORMATS = S._struct(**{k: S.T.StringType() for k in ("path", "container", "stream", "confidence", "detected_by")}, payload_offset=S.T.LongType())
+_FORMATS = to_arrow_schema(FORMATS)
 #: Rows and bytes of content in a batch.
 ROWS, BYTES = 4096, 8 << 20
 _OPTIONS = {"passwords", "fallback_encoding", "strict_end", "limits", "format", "listing", "byte_offset"}
@@ -233,6 +236,32 @@ def content(table: DataFrame, wanted: DataFrame | None = None, names: Iterable[s
     return _mapped(chosen, lambda p, c, i: read_content(p, io.BytesIO(c or b""), options, set(i), keep), S.CONTENT, _CONTENT)
 
 
+def _digested(path: str, src, options: dict, wanted: set[int] | None, algorithm: str) -> Iterator[dict]:
+    """Digests of members, taken as their chunks are decoded."""
+    h, size = hasher(algorithm), 0
+    for r in read_content(path, src, options, wanted):
+        if r["member_id"] is None:
+            continue
+        h.update(r["data"] or b"")
+        size += len(r["data"] or b"")
+        if r["last"]:
+            yield {"archive_id": path, "member_id": r["member_id"], "name": r["name"], "size": size, "digest": h.digest().hex(), "verdict": r["verdict"]}
+            h, size = hasher(algorithm), 0
+
+
+def member_digests(table: DataFrame, algorithm: str = "sha256", wanted: DataFrame | None = None, **options) -> DataFrame:
+    """``digest`` (hexadecimal), ``size`` and ``verdict`` of the members' content, all or
+    those of ``wanted``; the content itself stays where it is decoded."""
+    if hasher(algorithm) is None:
+        raise UsageError(f"unknown digest {algorithm}")
+    out = S._struct(archive_id=S.T.StringType(), member_id=S.T.IntegerType(), name=S.T.StringType(), size=S.T.LongType(), digest=S.T.StringType(), verdict=S.T.StringType())
+    if wanted is None:
+        return _mapped(table.select("path", "content"), lambda p, c: _digested(p, io.BytesIO(c or b""), options, None, algorithm), out, to_arrow_schema(out))
+    ids = wanted.groupBy("archive_id").agg(F.collect_set("member_id").alias("ids"))
+    chosen = table.select("path", "content").join(ids, F.col("path") == F.col("archive_id")).select("path", "content", "ids")
+    return _mapped(chosen, lambda p, c, i: _digested(p, io.BytesIO(c or b""), options, set(i), algorithm), out, to_arrow_schema(out))
+
+
 def diagnostics(table: DataFrame, **options) -> DataFrame:
     """What was remarkable about listings, numbered in each archive."""
     return _mapped(table.select("path", "content"), lambda p, c: _notes(p, io.BytesIO(c or b""), options), S.DIAGNOSTICS, _DIAGNOSTICS)
@@ -262,7 +291,7 @@ def decompressed(table: DataFrame, stream: str | None = None) -> DataFrame:
 
 
 def format_table(spark: SparkSession) -> DataFrame:
-    """Known formats and how far this installation reads them: full, partial or none."""
+    """Known formats and how far this installation reads them: full, partial (with what is missing) or none."""
     import importlib.util
 
     have = lambda name: importlib.util.find_spec(name) is not None
@@ -278,19 +307,54 @@ def format_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "container string, stream string, extension string, support string, missing array<string>")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def supported_formats(spark: SparkSession) -> DataFrame:
+    """The formats of :func:`format_table` that nothing is missing for, or only some of whose methods."""
+    return format_table(spark).filter("support in ('full', 'partial')")
+
+
+class _Set(InputPartition):
+    """The files of one archive: one, or its volumes in order."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI (local, S3, GCS, HDFS, ...) and the path in it."""
+    if "://" not in path and not path.startswith("file:"):
+        return pafs.LocalFileSystem(), os.path.abspath(path)
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def _found(pattern: str, tree: bool) -> list[str]:
+    """Paths that a pattern names; directories stand for the files below them, unless they are archives (``tree``)."""
+    fs, path = _system(pattern)
+    scheme = pattern[: pattern.index("://") + 3] if "://" in pattern and not pattern.startswith("file:") else ""
+    fixed = path.split("*")[0].split("?")[0].split("[")[0]
+    if fixed == path:
+        info = fs.get_file_info(path)
+        if info.type == pafs.FileType.File or (tree and info.type == pafs.FileType.Directory):
+            return [scheme + path]
+        base, keep = path, lambda p: True
+    else:
+        base, keep = fixed.rpartition("/")[0], lambda p: fnmatch.fnmatchcase(p, path)
+    inner = fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
+    wanted = pafs.FileType.Directory if tree and fixed != path else pafs.FileType.File
+    return sorted(scheme + f.path for f in inner if f.type == wanted and keep(f.path))
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.view, self.names = options.get("view", "members"), None
         self.path = options.get("path", "")
+        self.volumes = options.get("volumes", "false").lower() == "true"
         self.options = json.loads(options.get("options", "{}"))
         if secret := options.get("passwordfile"):
-            with open(secret, encoding="utf-8") as f:
-                self.options["passwords"] = f.read().splitlines()
+            fs, where = _system(secret)
+            with fs.open_input_file(where) as f:
+                self.options["passwords"] = f.read().decode("utf-8").splitlines()
 
     def pushFilters(self, filters):
         """Names that a content or member scan is restricted to are known before anything is decoded."""
@@ -301,17 +365,26 @@ class _Reader(DataSourceReader):
             yield f
 
     def partitions(self):
-        found = []
-        for pattern in self.path.split(","):
-            for path in sorted(glob.glob(pattern.removeprefix("file://").removeprefix("file:"))):
-                inner = [os.path.join(d, n) for d, _, names in os.walk(path) for n in names] if os.path.isdir(path) and self.view != "tree" else [path]
-                found += sorted(inner)
-        return [_File(p) for p in found]
+        found = [p for pattern in self.path.split(",") for p in _found(pattern, self.view == "tree")]
+        if not self.volumes:
+            return [_Set([p]) for p in found]
+        sets: dict[str, list[tuple[int, str]]] = {}
+        for p in found:
+            base, part = volume_place(p)
+            sets.setdefault(base, []).append((part, p))
+        whole = [[p for _, p in sorted(v)] for v in sets.values() if sorted(k for k, _ in v) == list(range(1, len(v) + 1))]
+        return [_Set(v) for v in sorted(whole)]
 
     def read(self, partition):
-        path = partition.path
-        whole = os.path.isdir(path)
-        src = None if whole else open(path, "rb")  # noqa: SIM115
+        """The file is opened where it is and read by ranges; of volumes, those that a range lies in."""
+        if partition is None:  # no file was found
+            return
+        path, opened_files = partition.paths[0], []
+        for p in partition.paths if self.view != "tree" else []:
+            fs, where = _system(p)
+            opened_files.append(fs.open_input_file(where))
+        path = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+        src = None if self.view == "tree" else Joined(opened_files) if len(opened_files) > 1 else opened_files[0]
         try:
             if self.view == "archives":
                 yield from _batched([archive_row(path, src, self.options)], _ARCHIVES)
@@ -319,17 +392,22 @@ class _Reader(DataSourceReader):
                 yield from _batched((r for r in list_members(path, src, self.options) if self.names is None or r["name"] in self.names), _MEMBERS)
             elif self.view == "diagnostics":
                 yield from _batched(_notes(path, src, self.options), _DIAGNOSTICS)
+            elif self.view == "formats":
+                yield from _batched([dict(zip(("path", "container", "stream", "confidence", "detected_by", "payload_offset"), (path, *identify(path, src.read(HEAD)))))], _FORMATS)
             else:
                 yield from _batched(read_content(path, src, self.options, None, self.names), _CONTENT)
         finally:
-            if src:
-                src.close()
+            for f in opened_files:
+                f.close()
 
 
 class ArchiveSource(DataSource):
     """``spark.read.format('archive').option('view', ...).load(path)``, views archives,
-    members (default), content, diagnostics and tree (directories as archives). A
-    partition is a file, read where it is by the executor, so its size isn't bounded by
+    members (default), content, diagnostics, formats (by the files' heads alone) and tree
+    (directories as archives). ``path`` names files, folders or patterns, by commas, in any
+    file system that pyarrow opens (local, ``s3://``, ``gs://``, ``hdfs://``). A
+    partition is a file, or with the option ``volumes`` a set of volumes, read by ranges
+    where it is by the executor, so its size isn't bounded by
     memory. ``options`` is JSON of the functions' options; passwords come from ``passwordFile``."""
 
     @classmethod
@@ -338,7 +416,7 @@ class ArchiveSource(DataSource):
 
     def schema(self):
         view = self.options.get("view", "members")
-        known = {"archives": S.ARCHIVES, "members": S.MEMBERS, "tree": S.MEMBERS, "content": S.CONTENT, "diagnostics": S.DIAGNOSTICS}
+        known = {"archives": S.ARCHIVES, "members": S.MEMBERS, "tree": S.MEMBERS, "content": S.CONTENT, "diagnostics": S.DIAGNOSTICS, "formats": FORMATS}
         if view not in known:
             raise UsageError(f"unknown view {view}")
         return known[view]

@@ -3,13 +3,15 @@ listings and of decoded content."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import io
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
-from lading.errors import ArchiveError, Corrupt, LimitReached, Truncated
+from lading.errors import ArchiveError, Corrupt, LimitReached, Truncated, UsageError
 
 _EPOCH = datetime(1970, 1, 1)
 
@@ -218,3 +220,72 @@ def guarded(rows: Iterable, fault: type[ArchiveError] = Corrupt) -> Iterator:
         yield from rows
     except (struct.error, IndexError, KeyError, OverflowError, UnicodeError, ValueError, MemoryError) as e:
         raise fault(f"{type(e).__name__}: {e}") from e
+
+
+class Joined(io.RawIOBase):
+    """Seekable files in a row, such as volumes, as one; no more of them is read than is asked for."""
+
+    def __init__(self, parts: list):
+        self.parts, self.starts, total = parts, [], 0
+        for p in parts:
+            self.starts.append(total)
+            total += p.seek(0, io.SEEK_END)
+        self.total, self.at = total, 0
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        self.at = max(0, at + (0, self.at, self.total)[whence])
+        return self.at
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        left, out = self.total - self.at if n is None or n < 0 else n, []
+        while left > 0 and self.at < self.total:
+            k = bisect.bisect_right(self.starts, self.at) - 1
+            self.parts[k].seek(self.at - self.starts[k])
+            if not (data := self.parts[k].read(left)):
+                break
+            out.append(data)
+            self.at, left = self.at + len(data), left - len(data)
+        return b"".join(out)
+
+
+class Peekable(io.RawIOBase):
+    """A stream that can't seek, such as a pipe, whose start may be read again: seeking
+    back works as far as what was read is held, at most ``keep`` bytes; reading on needs no more."""
+
+    def __init__(self, src, keep: int = 4 << 20):
+        self.src, self.keep, self.held, self.at, self.lost = src, keep, b"", 0, 0
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        if whence == io.SEEK_END:
+            raise UsageError("a stream's end isn't known")
+        at += self.at if whence else 0
+        if at < self.lost:
+            raise UsageError("a stream can't go back so far")
+        while at > self.lost + len(self.held):
+            if not self._more(min(1 << 20, at - self.lost - len(self.held))):
+                break
+        self.at = at
+        return at
+
+    def tell(self) -> int:
+        return self.at
+
+    def _more(self, n: int) -> bool:
+        data = self.src.read(n)
+        self.held += data or b""
+        return bool(data)
+
+    def read(self, n: int = -1) -> bytes:
+        while n is None or n < 0 or self.lost + len(self.held) < self.at + n:
+            if not self._more(1 << 16 if n is None or n < 0 else self.at + n - self.lost - len(self.held)):
+                break
+        begin = self.at - self.lost
+        out = self.held[begin:] if n is None or n < 0 else self.held[begin : begin + n]
+        self.at += len(out)
+        if len(self.held) > 2 * self.keep:
+            cut = max(0, min(len(self.held) - self.keep, self.at - self.lost - self.keep))
+            self.held, self.lost = self.held[cut:], self.lost + cut
+        return out

@@ -32,6 +32,8 @@ EXTENSIONS = {
 }
 #: Decoded bytes in which a tar header is looked for, and input that a probe may read.
 PROBE = 1 << 20
+#: What is read of a file to identify it: past ISO's signature, and a probe's worth.
+HEAD = PROBE + 32774
 
 
 def _pair(container: str, stream: str) -> Column:
@@ -128,19 +130,20 @@ _OUT = "path string, container string, stream string, confidence string, detecte
 def detect(files: DataFrame) -> DataFrame:
     """``path``, ``format``, ``confidence``, ``detected_by``, ``payload_offset`` and
     ``extension_conflict`` of ``files`` (path, content). Containers with a signature are
-    settled by column expressions; only compressed streams and what has no signature
-    goes through the probes, of its first MiB."""
-    rows = files.select("path", "content").withColumn("found", by_magic(F.col("content")))
-    sure = F.coalesce(F.col("found.container") != "raw_stream", F.lit(False))
+    settled by column expressions; of compressed streams and what has no signature the
+    head goes through the probes. ``format('archive')`` with the view ``formats`` reads no more than heads."""
+    found = by_magic(F.col("content"))
+    sure = F.coalesce(found["container"] != "raw_stream", F.lit(False))
+    # the heads of files that are settled don't go to Python
+    rows = files.select("path", F.when(sure, found["container"]).alias("container"), F.when(sure, F.lit(None).cast("binary")).otherwise(F.substring("content", 1, HEAD)).alias("head"))
+    schema = pa.schema([("path", pa.string()), *((k, pa.string()) for k in ("container", "stream", "confidence", "detected_by")), ("payload_offset", pa.int64())])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(p, *identify(p, bytes(h))) for p, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "container", "stream", "confidence", "detected_by", "payload_offset"), o)) for o in out], schema=pa.schema([("path", pa.string()), *((k, pa.string()) for k in ("container", "stream", "confidence", "detected_by")), ("payload_offset", pa.int64())]))
+            out = [(p, c, "uncompressed", "certain", "magic", 0) if c else (p, *identify(p, bytes(h or b""))) for p, c, h in zip(*(x.to_pylist() for x in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    direct = rows.filter(sure).select("path", "found.container", "found.stream", F.lit("certain").alias("confidence"), F.lit("magic").alias("detected_by"), F.lit(0).cast("long").alias("payload_offset"))
-    rest = rows.filter(~sure).select("path", F.substring("content", 1, PROBE).alias("head")).mapInArrow(probe, _OUT)
+    out = rows.mapInArrow(probe, _OUT).select("path", F.struct("container", "stream").alias("format"), "confidence", "detected_by", "payload_offset", by_extension(F.col("path")).alias("_named"))
     named = F.col("_named")
     benign = (F.col("format.container") == "raw_stream") & (named["container"] == "tar") & (named["stream"] == F.col("format.stream"))
-    out = direct.unionByName(rest).select("path", F.struct("container", "stream").alias("format"), "confidence", "detected_by", "payload_offset", by_extension(F.col("path")).alias("_named"))
     return out.withColumn("extension_conflict", F.coalesce((named != F.col("format")) & ~benign & (F.col("detected_by") != "extension"), F.lit(False))).drop("_named")

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NUMBERED, _PART, _R = r"(?i)^(.*\.(?:7z|zip))\.(\d{3,})$", r"(?i)^(.*)\.part(\d+)\.rar$", r"(?i)^(.*)\.r(\d\d)$"
 
 
+def volume_place(path: str) -> tuple[str, int]:
+    """The set (folded name) that a file belongs to and its place in it, as :func:`volume_keys` says of rows."""
+    if m := re.match(_NUMBERED, path):
+        return m[1].lower(), int(m[2])
+    if m := re.match(_PART, path):
+        return m[1].lower() + ".rar", int(m[2])
+    if m := re.match(_R, path):
+        return m[1].lower() + ".rar", int(m[2]) + 2
+    return path.lower() if path.lower().endswith(".rar") else path, 1
+
+
 def volume_keys(files: DataFrame) -> DataFrame:
     """``files`` with ``base`` (folded name of the set) and ``part`` (from 1); a file of no set is its own."""
     path = F.col("path")
@@ -31,7 +44,9 @@ def volume_sets(files: DataFrame) -> DataFrame:
 
 def joined_volumes(files: DataFrame) -> DataFrame:
     """``path`` (of the first volume), ``content`` (of all in order) and ``volumes``;
-    sets with a gap are left out. Only files that are parts of a set are shuffled."""
+    sets with a gap are left out. Only files that are parts of a set are shuffled. A set
+    must fit a row (2 GiB); larger ones are read by ``format('archive')`` with the option
+    ``volumes``, which joins nothing."""
     keyed = volume_keys(files)
     lone = keyed.filter((F.col("base") == F.col("path")) & ~F.lower("path").endswith(".rar")).select("path", "content", F.lit(1).alias("volumes"))
     parts = keyed.filter((F.col("base") != F.col("path")) | F.lower("path").endswith(".rar"))

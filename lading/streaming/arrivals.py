@@ -25,7 +25,11 @@ def arriving_content(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 
 def new_files(spark: SparkSession, folder: str, delay: str = "1 hour", **options) -> DataFrame:
-    """Files not seen before by size and stored checksum, among archives at most ``delay`` apart."""
-    rows = members(arriving(spark, folder), **options).filter("type = 'file'").withColumn("crc32", F.lower(F.hex(F.col("hashes")["crc32"])))
-    stamped = rows.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", delay)
+    """Files not seen before by size and stored checksum, among archives whose files were
+    written at most ``delay`` apart: event time is the archive's modification time, so a
+    replay keeps and drops the same rows."""
+    arrived = arriving(spark, folder).select(F.concat(F.unix_micros("modificationTime").cast("string"), F.lit("|"), F.col("path")).alias("path"), "content")
+    rows = members(arrived, **options).filter("type = 'file'").withColumn("crc32", F.lower(F.hex(F.col("hashes")["crc32"])))
+    seen = F.timestamp_micros(F.substring_index("archive_id", "|", 1).cast("long"))
+    stamped = rows.withColumn("seen_at", seen).withColumn("archive_id", F.regexp_replace("archive_id", "^[0-9]+\\|", "")).withWatermark("seen_at", delay)
     return stamped.dropDuplicatesWithinWatermark(["size", "crc32"]).select("archive_id", "member_id", "name", "size", "crc32")
