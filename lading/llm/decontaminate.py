@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 
 from lading.llm.common import WORD_GAP, lowered, materialise, q, word_array
 
-#: Words of benchmark texts whose terms and windows are broadcast at once (about 100 bytes a window); more are taken in blocks.
-BLOCK_WORDS = 200_000
+#: Windows that are broadcast at once (about 100 bytes each); more are taken in blocks, whichever items they are of.
+BLOCK_WINDOWS = 200_000
+#: Terms up to this many are broadcast to the documents' words; more are joined by hash.
+FEW_TERMS = 500_000
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -19,10 +21,17 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(q(id_col).alias("id"), F.xxhash64(q(text_col)).alias("th"), F.explode_outer(F.array(F.split(lowered(q(text_col)), WORD_GAP))).alias("words")).withColumn("words", F.array_remove("words", ""))
 
 
+def _bounded(table: DataFrame) -> DataFrame:
+    """``table`` of terms, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= FEW_TERMS else table
+
+
 def term_counts(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """How often each of ``terms`` (column term; must be of bounded size) occurs in all texts."""
+    """How often each of ``terms`` (column term) occurs in all texts."""
     found = docs.select(F.explode_outer(F.split(lowered(q(text_col)), WORD_GAP)).alias("term"))
-    return found.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("freq"))
+    if terms.count() <= FEW_TERMS:
+        return found.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("freq"))
+    return found.groupBy("term").agg(F.count("*").alias("freq")).join(terms, "term")
 
 
 def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,7 +39,7 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int, id_col: str = "doc_i
     one of ``terms``, where ``near`` holds the words from ``base`` up to ``reach`` after
     ``pos``; and a row with null term for each document."""
     rows = _documents(docs, id_col, text_col).select("id", "th", "words", F.posexplode_outer("words").alias("pos", "word"))
-    rows = rows.join(F.broadcast(terms.select(F.col("term"))), F.col("word") == F.col("term"), "left")
+    rows = rows.join(_bounded(terms.select(F.col("term"))), F.col("word") == F.col("term"), "left")
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     rows = rows.filter(F.col("term").isNotNull() | first)
     base = F.greatest(F.col("pos") - reach, F.lit(0))
@@ -60,8 +69,9 @@ def _hits(index: DataFrame, wins: DataFrame) -> DataFrame:
     anchors = wins.select("item", F.explode(F.array_compact(F.array(F.struct(F.col("q1").alias("at"), F.element_at("words", F.col("q1") - F.col("o") + 1).alias("term")), F.when(F.col("q2").isNotNull(), F.struct(F.col("q2").alias("at"), F.element_at("words", F.col("q2") - F.col("o") + 1).alias("term")))))).alias("a")).select("item", "a.at", "a.term").distinct()
     lists = index.filter("term is not null").join(F.broadcast(anchors), "term").select("id", "th", "n_words", "item", "at", (F.col("pos") - F.col("at")).alias("d"), "base", "near")
     aligned = lists.groupBy("id", "th", "item", "d", "n_words").agg(F.collect_set("at").alias("ats"))
-    both = aligned.join(F.broadcast(wins), "item").filter(F.array_contains("ats", F.col("q1")) & (F.col("q2").isNull() | F.array_contains("ats", F.col("q2"))))
-    both = both.withColumn("start", F.col("d") + F.col("o")).filter((F.col("start") >= 0) & (F.col("start") + F.col("w") <= F.col("n_words")))
+    # each place is looked up among the windows whose rarest term it would hold
+    led = aligned.select("*", F.explode("ats").alias("q1")).join(F.broadcast(wins), ["item", "q1"]).filter(F.col("q2").isNull() | F.array_contains("ats", F.col("q2"))).drop("ats")
+    both = led.withColumn("start", F.col("d") + F.col("o")).filter((F.col("start") >= 0) & (F.col("start") + F.col("w") <= F.col("n_words")))
     a, b = both.alias("a"), lists.alias("b")
     same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.item") == F.col("b.item")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.q1") == F.col("b.at"))
     whole = F.slice(F.col("b.near"), F.col("a.start") - F.col("b.base") + 1, F.col("a.w")) == F.col("a.words")
@@ -110,26 +120,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     count once. Other columns are ignored. An empty ``docs`` gives no rows; an empty
     ``benchmark`` leaves every document clean."""
     items = benchmark.filter(q(item_col).isNotNull()).select(q(item_col).alias("item"), word_array(q(item_text)).alias("words")).distinct()
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_WORDS))
-    hits, near, count = None, None, None
+    items = materialise(items, "items")
+    vocabulary = materialise(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
+    wins = windows(items, materialise(term_counts(docs, vocabulary, id_col, text_col), "counts"), width)
+    wins = materialise(wins, "windows")
+    blocks = max(1, -(-wins.count() // BLOCK_WINDOWS))
+    terms = wins.select(F.explode(F.array(F.element_at("words", F.col("q1") - F.col("o") + 1), F.element_at("words", F.coalesce("q2", "q1") - F.col("o") + 1))).alias("term")).distinct()
+    index = materialise(postings(docs, materialise(terms, "terms"), width if proximity else width - 1, id_col, text_col), "postings")
+    count = index.filter("term is null").select("id", "th", "n_words")
+    hits, near = None, None
     for k in range(blocks):
-        own = materialise(items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k), "items")
-        vocabulary = own.select(F.explode("words").alias("term")).distinct()
-        wins = materialise(windows(own, term_counts(docs, vocabulary, id_col, text_col), width), "windows")
-        terms = wins.select(F.explode(F.array(F.element_at("words", F.col("q1") - F.col("o") + 1), F.element_at("words", F.coalesce("q2", "q1") - F.col("o") + 1))).alias("term")).distinct()
-        index = materialise(postings(docs, terms, width if proximity else width - 1, id_col, text_col), "postings")
-        found = _hits(index, wins)
+        own = wins.filter(F.pmod(F.xxhash64("item", "o"), F.lit(blocks)) == k)
+        found = _hits(index, own)
         hits = found if hits is None else hits.unionByName(found)
         if proximity:
-            close = near_matches(index, materialise(_rare_pairs(wins), "pairs"), width)
+            close = near_matches(index, materialise(_rare_pairs(own), "pairs"), width)
             near = close if near is None else near.unionByName(close)
-        if count is None:
-            count = index.filter("term is null").select("id", "th", "n_words")
     ids = F.array_sort(F.transform(F.collect_set("item"), lambda x: x.cast("string")))
-    hits = hits.groupBy("id", "th").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("w") - 1))))).alias("n_hit"), F.size(F.collect_set("item")).alias("n_items"), F.array_join(ids, ",").alias("ids")
-    )
+    # the words of a text's hits: the union of their ranges, in order of their starts
+    grow = lambda acc, x: F.struct((acc["n"] + F.greatest(x["end"] - F.greatest(x["start"], acc["reach"]), F.lit(0))).alias("n"), F.greatest(acc["reach"], x["end"]).alias("reach"))
+    ranges = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("w")).alias("end"))))
+    hits = hits.groupBy("id", "th").agg(F.aggregate(ranges, F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), grow)["n"].alias("n_hit"), F.size(F.collect_set("item")).alias("n_items"), F.array_join(ids, ",").alias("ids"))
     a, b = count.alias("a"), hits.alias("b")
     out = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), "left")
     if proximity:
