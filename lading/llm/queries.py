@@ -9,7 +9,7 @@ from lading.llm.ann import nearest
 from lading.llm.decontaminate import decontaminate
 from lading.llm.language_id import classify, held_out
 from lading.llm.language_id import train as train_language
-from lading.llm.license_scan import BASE, REACH, TEMPLATES, license_scan
+from lading.llm.license_scan import BASE, BODIES, FILE_WORDS, LETTERS, REACH, SLACK, TEMPLATES, VOTES, body_words, license_scan
 from lading.llm.line_dedup import SHINGLE, line_dedup
 from lading.llm.ngram_join import ngram_join
 from lading.llm.packing import best_fit
@@ -37,8 +37,8 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact matches alone: the SQL has no columns for the proximity matches."""
-    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    """Exact matches, and the proximity matches of each window's two rarest terms in columns of their own."""
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10, proximity=True)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,29 +85,37 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 
 
 def _licence_sql() -> str:
-    phrases = sorted({*BASE, *(p for ps in TEMPLATES.values() for p in ps)})
+    phrases = sorted({*BASE, *(p for ps in TEMPLATES.values() for p in ps), *(p for _, ps in BODIES.values() for p in ps)})
     words = ", ".join(f"('{p}', {len(p.split())}, {k}, '{w}')" for p in phrases for k, w in enumerate(p.split()))
     base = ", ".join(f"('{p}', '{label}')" for p, label in BASE.items())
     single = ", ".join(f"('{ps[0]}', '{label}')" for label, ps in TEMPLATES.items() if len(ps) == 1)
     double = ", ".join(f"('{ps[0]}', '{ps[1]}', '{label}')" for label, ps in TEMPLATES.items() if len(ps) == 2)
+    bodies = ", ".join(f"('{label}', {k}, '{w}')" for label, (text, _) in BODIES.items() for k, w in enumerate(body_words(text)) if len(w) >= LETTERS)
+    keys = ", ".join(f"('{label}', '{p}', {len(ps)}, {len(body_words(text))})" for label, (text, ps) in BODIES.items() for p in ps)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 pw(phrase, len, k, term) AS (VALUES {words}),
+bw(label, k, term) AS (VALUES {bodies}),
+bk(label, phrase, n, len) AS (VALUES {keys}),
 t AS (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM d),
-hit AS (SELECT * FROM t WHERE term IN (SELECT term FROM pw)),
+hit AS (SELECT * FROM t WHERE term IN (SELECT term FROM pw UNION SELECT term FROM bw)),
 df AS (SELECT term, count(DISTINCT (d.doc_id, d.w)) AS df FROM hit JOIN d USING (r) GROUP BY term),
 ranked AS (SELECT pw.*, row_number() OVER (PARTITION BY phrase ORDER BY coalesce(df, 0), k) = 1 AS rarest FROM pw LEFT JOIN df USING (term)),
 votes AS (SELECT r, phrase, pos - k AS start, len, count(DISTINCT k) AS found, bool_or(rarest) AS rarest FROM hit JOIN ranked USING (term) WHERE pos >= k GROUP BY ALL),
 places AS (SELECT * FROM votes WHERE rarest),
 whole AS (SELECT r, phrase, start FROM places WHERE found = len),
 b AS (SELECT r, label, start FROM whole JOIN (VALUES {base}) v(phrase, label) USING (phrase)),
-m AS (SELECT r, label FROM b UNION SELECT r, label FROM whole JOIN (VALUES {single}) v(phrase, label) USING (phrase)
+rare AS (SELECT r, term FROM (SELECT DISTINCT r, term, df FROM hit JOIN df USING (term) WHERE term IN (SELECT term FROM bw)) QUALIFY row_number() OVER (PARTITION BY r ORDER BY df, term) <= {FILE_WORDS}),
+aligned AS (SELECT r, label, pos - k AS start, count(DISTINCT k) AS found FROM hit JOIN rare USING (r, term) JOIN bw USING (term) GROUP BY ALL HAVING count(DISTINCT k) >= {VOTES}),
+body AS (SELECT a.r, a.label, a.found FROM aligned a JOIN bk ON bk.label = a.label JOIN whole x ON x.r = a.r AND x.phrase = bk.phrase AND x.start BETWEEN a.start - {SLACK} AND a.start + bk.len + {SLACK}
+      GROUP BY a.r, a.label, a.start, a.found HAVING count(DISTINCT bk.phrase) = max(bk.n)),
+m AS (SELECT r, label FROM b UNION SELECT r, label FROM whole JOIN (VALUES {single}) v(phrase, label) USING (phrase) UNION SELECT r, label FROM body
       UNION SELECT x.r, label FROM whole x JOIN (VALUES {double}) v(one, two, label) ON x.phrase = one JOIN whole y ON y.r = x.r AND y.phrase = two AND y.start > x.start AND y.start <= x.start + {REACH})
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM b GROUP BY r) USING (r)
 LEFT JOIN (SELECT r, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM m GROUP BY r) USING (r)
-LEFT JOIN (SELECT r, max(found / len) AS score FROM places GROUP BY r) USING (r)"""
+LEFT JOIN (SELECT r, max(s) AS score FROM (SELECT r, found / len AS s FROM places UNION ALL SELECT r, least(found / {FILE_WORDS}, 1) FROM body) GROUP BY r) USING (r)"""
 
 
 ORACLES: dict[str, str] = {
@@ -118,9 +126,18 @@ win AS (SELECT DISTINCT item_id, n, list_slice(w, o + 1, o + n) AS g FROM (SELEC
 g AS (SELECT r, n, o, list_slice(w, o + 1, o + n) AS g FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS o FROM d JOIN (SELECT DISTINCT n FROM win) ON len(w) >= n)),
 hit AS (SELECT r, o, n, item_id FROM g JOIN win USING (g, n)),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(o, o + n)) AS p FROM hit) GROUP BY r),
-ids AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN ids USING (r)""",
+ids AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY r),
+place AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w, unnest(range(len(w) - least(len(w), 10) + 1)) AS o FROM i WHERE len(w) > 1),
+each AS (SELECT item_id, o, k, w[o + k + 1] AS term FROM (SELECT *, unnest(range(n)) AS k FROM place)),
+t AS (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d),
+freq AS (SELECT term, count(*) AS freq FROM t WHERE term IN (SELECT term FROM each) GROUP BY term),
+two AS (SELECT item_id, o, term FROM each LEFT JOIN freq USING (term) QUALIFY row_number() OVER (PARTITION BY item_id, o ORDER BY coalesce(freq, 0), term, k) <= 2),
+pairs AS (SELECT DISTINCT item_id, one, two FROM (SELECT item_id, o, min(term) AS one, max(term) AS two FROM two GROUP BY item_id, o)),
+near AS (SELECT x.r, item_id, x.p AS p1, y.p AS p2 FROM pairs JOIN t x ON x.term = one JOIN t y ON y.r = x.r AND y.term = two AND y.p <> x.p AND abs(y.p - x.p) <= 10),
+around AS (SELECT r, count(DISTINCT p) AS n_near, count(DISTINCT item_id) AS n_near_items FROM (SELECT r, item_id, unnest([p1, p2]) AS p FROM near) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN words USING (r) LEFT JOIN ids USING (r) LEFT JOIN around USING (r)""",
     "op4_license_scan": _licence_sql(),
     "op8_url_filter": r"""
 WITH p AS (SELECT row_number() OVER () AS r, page_id, url, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),

@@ -53,14 +53,16 @@ def test_windows_by_brute_force(spark):
     assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(((i, *brute(t)) for i, t in rows), key=key)
 
 
-def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
+@pytest.mark.parametrize("few", [5, 1000])
+def test_blocks_of_windows_and_empty_tables(spark, monkeypatch, few):
     import lading.llm.decontaminate as module
 
     items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i}") for i in range(30)], "item_id long, text string")
     d = docs(spark, [(i, f"x alpha{i} beta{i} gamma{i} y") for i in range(30)])
-    monkeypatch.setattr(module, "BLOCK_WORDS", 20)
-    rows = decontaminate(d, items).collect()
-    assert len(rows) == 30 and all((r.n_words, r.n_hit, r.n_items) == (5, 3, 1) for r in rows)
+    monkeypatch.setattr(module, "BLOCK_WINDOWS", 7)
+    monkeypatch.setattr(module, "FEW_TERMS", few)
+    rows = decontaminate(d, items, proximity=True).collect()
+    assert len(rows) == 30 and all(r.n_near_items == 1 for r in rows) and all((r.n_words, r.n_hit, r.n_items) == (5, 3, 1) for r in rows)
     assert decontaminate(docs(spark, []), items).collect() == []
     assert not any(r.contaminated for r in decontaminate(d, items.limit(0)).collect())
 
@@ -98,3 +100,35 @@ def test_licences_by_brute_force(spark):
     assert labels[(4, 5)] == "cc-by,cc-by-nc" and labels[(5, 6)] == "gpl,gpl-3.0" and labels[(7, 5)] == "apache-2.0" and labels[(None, 2)] == "mit" and labels[(9, 7)] == "gpl"
     assert next(r for r in got if r.doc_id == 6).score == pytest.approx(0.0) or next(r for r in got if r.doc_id == 6).score > 0
     assert license_scan(docs(spark, [])).collect() == []
+
+
+def test_licence_bodies_without_their_names(spark):
+    """Whole bodies, one without its first half, one with a changed word, and text that only shares words with them."""
+    from lading.llm.license_scan import BODIES, body_words
+
+    rows, want = [], {}
+    for n, (label, (text, _)) in enumerate(BODIES.items()):
+        rows.append((n, "some code before it " * 3 + text + " and code after"))
+        want[n] = label
+    mit = body_words(BODIES["mit"][0])
+    rows += [(100, " ".join(mit[: len(mit) // 4])), (101, " ".join(["changed" if k == 40 else w for k, w in enumerate(mit)])), (102, " ".join(sorted(mit))), (103, "software permission distribute copies"), (None, " ".join(mit)), (104, " ".join(mit * 300))]
+    got = {r.doc_id: r for r in license_scan(docs(spark, rows)).collect()}
+    assert {n: label in got[n].labels.split(",") for n, label in want.items()} == dict.fromkeys(want, True)
+    assert "mit" in got[101].labels and "mit" in got[None].labels and got[104].labels == "mit" and got[101].score > 0
+    assert got[102].labels == "" and got[103].labels == "" and got[100].labels == ""
+
+
+def test_templates_of_many_places_and_steps(spark):
+    """Phrases that follow each other, far from and near to cell borders, against a naive search."""
+    templates = {"two": ("a b", "c"), "three": ("a b", "c", "d e")}
+    rng = __import__("random").Random(4)
+    rows = [(i, " ".join(rng.choice(["a", "b", "a b", "c", "d e", "x", "x x x"]) for _ in range(60 if i < 40 else 4000))) for i in range(42)]
+    got = {r.doc_id: r.labels for r in license_scan(docs(spark, rows), base={"zz": "zz"}, templates=templates, bodies={}, reach=5).collect()}
+
+    def follows(w, start, rest):
+        return not rest or any(w[k : k + len(rest[0].split())] == rest[0].split() and follows(w, k, rest[1:]) for k in range(start + 1, min(len(w), start + 6)))
+
+    for i, t in rows:
+        w = t.split()
+        want = [n for n, ps in templates.items() if any(w[k : k + 2] == ["a", "b"] and follows(w, k, ps[1:]) for k in range(len(w)))]
+        assert got[i] == ",".join(sorted(want)), i
