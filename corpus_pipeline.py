@@ -41,11 +41,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(COLUMNS)
 
 
+def _before(docs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents of ``docs`` whose text isn't the one in ``whole``:
+    their texts as ``whole`` has them. Only ids and hashes are compared."""
+    keyed = lambda df: df.select("doc_id", F.xxhash64("text").alias("th"))
+    now = materialise(keyed(docs).distinct(), "now")
+    changed = materialise(keyed(whole).join(now, ["doc_id", "th"], "left_anti").join(now.select("doc_id"), "doc_id", "left_semi").distinct(), "changed")
+    side = F.broadcast(changed) if changed.count() <= FEW_IDS else changed.hint("shuffle_hash")
+    return whole.select("doc_id", "text", F.xxhash64("text").alias("th")).join(side, ["doc_id", "th"], "left_semi").select("doc_id", "text")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links (five words, similarity 0.8) the one with the smallest id stays."""
-    found = materialise(ngram_join(docs, n=5, num=80, den=100), "near")
+    """Of documents joined by links (five words, similarity 0.8) the one with the smallest
+    id stays. Documents link by their texts as they are, or as they stood in ``documents``
+    before lines were taken out of them: what line dedup left of a near copy goes too."""
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = docs.select("doc_id", "text").unionByName(_before(docs, whole))
+    found = materialise(ngram_join(texts, n=5, num=80, den=100), "near")
     rest = _without(docs, found.filter("component_id <> doc_id").select("doc_id"), ["doc_id"])
-    twice = materialise(found.filter("component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    twice = materialise(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return rest.select(COLUMNS)
     single = _without(rest, twice, ["doc_id"])

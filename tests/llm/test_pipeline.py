@@ -40,3 +40,35 @@ def test_empty_table(spark, tmp_path):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, str(tmp_path)) if docs.columns[:1] == ["doc_id"] else docs
     assert docs.collect() == []
+
+
+def test_no_fragments_of_near_copies(spark, tmp_path):
+    """Near copies of many lines, of which line dedup leaves only the changed ones; repeated rows and a very long text."""
+    word = lambda k: f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}ing"
+    line = lambda k, n: " ".join(word(k * 977 + n * 131 + i * 17 * (k + 3)) for i in range(14))
+    body = lambda k: [line(k, n) for n in range(30)]
+    near = lambda k: [" ".join(word(5 + i * (k + 41)) for i in range(14)) if n == 11 else x for n, x in enumerate(body(k))]
+    rows = [(k, "\n".join(body(k))) for k in range(8)] + [(100 + k, "\n".join(near(k))) for k in range(8)] + [(300, "\n".join(line(50 + n % 97, n) for n in range(3000)))] * 2
+    rows.append((400, "\n".join(body(2)[:3] + [line(900 + n, n) for n in range(20)])))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = cp.materialise(cp.lines(spark, docs, str(tmp_path)), "test")
+    assert 100 in {r.doc_id for r in kept.collect()}  # fragments are there
+    left = cp.near_copies(spark, kept, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in left) == [*range(8), 300, 400]
+    shared = cp.near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in shared) == [*range(8), 300, 400]
+
+
+def test_extra_columns_and_nulls(spark, tmp_path):
+    """Other columns of documents are left out; null ids, texts and languages don't stop a stage."""
+    text = "the quick brown fox of the north jumps over all the lazy dogs in the yard of the old mill"
+    rows = [(1, text, "en", "s", 5, 1), (None, text, None, None, None, 2), (3, None, "en", "s", 0, 3), (4, "", "en", "s", 0, 4), (5, "der schnelle fuchs und die alten hunde sind in dem garten", "de", "s", 9, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, th int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing of it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = docs
+    for name, stage in cp.STAGES[:-1]:
+        kept = cp.materialise(stage(spark, kept, str(tmp_path)), "test")
+        assert kept.columns == cp.COLUMNS, name
+    assert {r.doc_id for r in kept.collect()} >= {1, 5}
