@@ -56,16 +56,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("hi"), F.col("m").alias("lo")).unionByName(joined.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one, which has none: stars."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (the smallest node that it reaches) for every node
     of a link that isn't its component's smallest. Self-links, repeated links and
     links with a null end are ignored; no links give no rows."""
     edges = links.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") != F.col("lo")))
     edges = materialise(edges.mapInArrow(_contract, "hi long, lo long"), "links")
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.countDistinct("hi").alias("k")).first()
-        if state["n"] == state["k"] and edges.join(edges.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty():
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    while not _settled(edges):
         step = materialise(_small_star(_large_star(edges)), "links")
         discard(edges)
         edges = step
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

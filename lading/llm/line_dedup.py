@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from lading.llm.common import LOWER, UPPER, char_shingles, free_name, hot_join, materialise, mix, others, parts, q, raw_texts, sorted_distinct
 from lading.llm.similarity import BLOBS, linked_components, packed
 
-#: key and line
-_LINE = np.dtype([("t", "<u8"), ("d", "<i8")])
+#: key, line, and the number of its distinct shingles, as far as it goes
+_LINE = np.dtype([("t", "<u8"), ("d", "<i8"), ("n", "<u2")])
 _FOLD = bytes.maketrans(UPPER.encode() + b"\t\r\v\f", LOWER.encode() + b"    ")
 #: Characters in a shingle of the registered queries.
 SHINGLE = 5
-#: Bands, and minima in each, of the registered queries.
-BANDS, ROWS = 30, 6
+#: Bands, and minima in each, of the registered queries. Half as many bands hold each minimum once; the others hold them again in another order.
+BANDS, ROWS = 36, 6
 #: Bytes of lines hashed at once.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 17
+#: Lines whose signatures are held at once.
+_LINES = 4096
 #: Rounds in which each shingle picks one bin, before bins that are still empty ask all shingles.
 _ROUNDS = 16
 #: Records that a bucket should hold.
@@ -103,7 +105,7 @@ def _scramble(h: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _chunk_shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (32 bits, repeats included) of the ``k``-character shingles and their lines."""
+    """Distinct hashes (32 bits) of the ``k``-character shingles of each line, and their lines in order."""
     padded = [x.decode("utf-8", "replace").ljust(k, "\0") for x in lines]
     lengths = np.array([len(x) for x in padded])
     c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -116,67 +118,92 @@ def _chunk_shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]
     whole = np.ones(len(h), bool)  # shingles that run over a line's end don't count
     over = (np.cumsum(lengths)[:, None] - np.arange(1, k)).ravel()
     whole[over[over < len(h)]] = False
-    return _scramble(h[whole], 0), owner[whole]
+    both = owner[whole].astype(np.uint64) << np.uint64(32) | _scramble(h[whole], 0)
+    both.sort()
+    both = both[np.append(True, both[1:] != both[:-1])]
+    return both.astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
 
 
-def signatures(lines: list[bytes], k: int, bins: int) -> np.ndarray:
+def signatures(lines: list[bytes], k: int, bins: int, sizes: np.ndarray | None = None) -> np.ndarray:
     """MinHash signatures (a row a line) of the ``k``-character shingles of ``lines``: two
     lines agree in each bin with the probability of their Jaccard similarity, however
     short they are. In each of some rounds every shingle throws a hash into a bin that
     the round picks for it; what an earlier round threw wins, then the smaller hash.
     Lines whose bins are all taken are done. Bins that stay empty take the smallest of
-    the hashes, a new one for each bin, of all shingles of their line."""
+    the hashes, a new one for each bin, of all shingles of their line. ``sizes`` takes
+    the numbers of distinct shingles."""
     out = np.empty((len(lines), bins), np.uint32)
+    order = sorted(range(len(lines)), key=lambda n: len(lines[n]))  # lines of like length take as many rounds
     i = 0
-    while i < len(lines):
+    while i < len(order):
         j, size = i, 0
-        while j < len(lines) and (j == i or size + len(lines[j]) <= _CHUNK):
-            size += max(len(lines[j]), k)
+        while j < len(order) and (j == i or size + len(lines[order[j]]) <= _CHUNK):
+            size += max(len(lines[order[j]]), k)
             j += 1
         slots = np.full((j - i) * bins, _NONE, np.uint32)
         here = slots.reshape(j - i, bins)
-        h, owner = _chunk_shingles(lines[i:j], k)
+        h, owner = _chunk_shingles([lines[n] for n in order[i:j]], k)
+        if sizes is not None:
+            sizes[order[i:j]] = np.bincount(owner, minlength=j - i)
+        base, wanting = owner * bins, np.arange(j - i)
         for n in range(_ROUNDS):
-            place = owner * bins + (_scramble(h, 2 * n + 1).astype(np.uint64) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-            np.minimum.at(slots, place, np.uint32(n << 27) | _scramble(h, 2 * n + 2) >> np.uint32(5))
-            wanting = (here == _NONE).any(1)
-            if not wanting.any():
+            x = _scramble(h, n + 1)
+            place = base + ((x >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16))
+            x *= np.uint32(0x2C1B3C6D)  # within a bin the first bits are alike
+            x ^= x >> np.uint32(12)
+            x *= np.uint32(0x297A2D39)
+            np.minimum.at(slots, place, np.uint32(n << 27) | x >> np.uint32(5))
+            wanting = wanting[here[wanting].max(1) == _NONE]
+            if not len(wanting):
                 break
-            more = wanting[owner]
-            h, owner = h[more], owner[more]
-        line, at = np.nonzero(here == _NONE)
+            left = np.zeros(j - i, bool)
+            left[wanting] = True
+            more = np.flatnonzero(left[owner])
+            if len(more) < len(h):
+                h, owner, base = h[more], owner[more], base[more]
+        some, at = np.nonzero(here[wanting] == _NONE)
+        line = wanting[some]
         first = np.searchsorted(owner, np.arange(j - i + 1))
         for s in range(0, len(line), 50_000):
             some, bin_ = line[s : s + 50_000], at[s : s + 50_000]
             count = np.diff(first)[some]
             begin = np.cumsum(count) - count
             each = np.repeat(first[some] - begin, count) + np.arange(count.sum())
-            value = _scramble(h[each] ^ np.repeat(bin_.astype(np.uint32), count) * np.uint32(0x9E3779B1), 2 * _ROUNDS + 1)
+            value = _scramble(h[each] ^ np.repeat(bin_.astype(np.uint32), count) * np.uint32(0x9E3779B1), _ROUNDS + 1)
             here[some, bin_] = np.uint32(_ROUNDS << 27) | np.minimum.reduceat(value, begin) >> np.uint32(5)
-        out[i:j] = here
+        out[order[i:j]] = here
         i = j
     return out
 
 
+def arranged(bands: int, rows: int) -> np.ndarray:
+    """Which minima each band (a column) is made of."""
+    bins = (bands + 1) // 2 * rows
+    twice = [np.arange(bins), np.random.default_rng(1).permutation(bins)]
+    return np.concatenate([x.reshape(-1, rows) for x in twice])[:bands].T
+
+
 def records(lines: list[bytes], digests: list[int], k: int, bands: int, rows: int) -> np.ndarray:
     """A record for each line and band."""
-    s = signatures(lines, k, bands * rows).astype(np.uint64)
+    sizes = np.zeros(len(lines), np.int64)
+    s = signatures(lines, k, (bands + 1) // 2 * rows, sizes).astype(np.uint64)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(lines), bands)).copy()
-    for n in range(rows):
-        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ s[:, n::rows]
+    for own in arranged(bands, rows):
+        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ s[:, own]
     r = np.empty(key.size, _LINE)
-    r["t"], r["d"] = mix(key).ravel(), np.repeat(digests, bands)
+    r["t"], r["d"], r["n"] = mix(key).ravel(), np.repeat(digests, bands), np.repeat(np.minimum(sizes, 65535), bands)
     return r
 
 
 def _bands(batches, k: int, bands: int, rows: int, buckets: int):
-    found = (records([x for _, x in out], [d for d, _ in out], k, bands, rows) for out in _distinct(batches) if out)
-    yield from packed(found, buckets)
+    some = (out[i : i + _LINES] for out in _distinct(batches) for i in range(0, len(out), _LINES))
+    yield from packed((records([x for _, x in few], [d for d, _ in few], k, bands, rows) for few in some), buckets)
 
 
-def _any(nx, px, sx, ny, py, sy):
-    """Records say nothing of a line but its key: every pair is admitted."""
-    return np.ones(np.broadcast_shapes(np.shape(nx), np.shape(ny)), bool)
+def _sized(nx, px, sx, ny, py, sy, num: int, den: int):
+    """False only where two lines can't be alike: their sets differ too much in size."""
+    nx, ny = np.asarray(nx).astype(np.int64), np.asarray(ny).astype(np.int64)
+    return den * np.minimum(nx, ny) >= num * np.maximum(nx, ny)
 
 
 def _alike(nx, ny, common, num: int, den: int):
@@ -195,8 +222,8 @@ def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands
     Lines end at ``\\n``; they are compared with A-Z folded and white space collapsed.
     Two lines are alike when ``den * intersection >= num * union`` of their sets of
     ``k``-character shingles (a shorter line is one shingle). Groups are the connected
-    components of the likeness that the MinHash bands find: a pair with Jaccard j shares
-    one of the ``bands`` with probability ``1 - (1 - j**rows)**bands``, 0.9998 at 0.8, short lines included. Every
+    components of the likeness that the MinHash bands find: a pair with Jaccard 0.8 shares
+    one of 36 bands of 6 minima with probability 0.9999, short lines included, and a likelier pair more surely. Every
     pair of a band is verified, or connected already.
     The line with the smallest (id, line number) stays. Blank lines are never compared
     or dropped. A null text stays null, with 0 lines; an empty text has one blank line.
@@ -220,7 +247,7 @@ def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands
         ids = np.sort(need.toArrow()["id"].to_numpy())  # at most FEW_IDS
         return only.mapInArrow(partial(_line_texts, wanted=spark.sparkContext.broadcast(ids)), "id long, text string")
 
-    like = linked_components(blobs, texts, partial(_features, k=k), partial(_alike, num=num, den=den), _any, record=_LINE, dense=True)
+    like = linked_components(blobs, texts, partial(_features, k=k), partial(_alike, num=num, den=den), partial(_sized, num=num, den=den), record=_LINE, dense=True)
     like = like.select(F.col("node").alias("d"), "component")
     like = like.unionByName(like.select(F.col("component").alias("d"), "component").distinct())
     # a class: a line with copies, or one that is like another

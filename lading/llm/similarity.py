@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import discard, materialise, parts
+from lading.llm.common import discard, materialise, mix, parts
 from lading.llm.components import components
 
 #: key, item, digest of the item's content, its size, the key's position in it, a summary of it
@@ -62,14 +62,14 @@ def packed(found: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         r = np.concatenate(held)
         at = (r["t"] % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((r["t"], at))
+        order = np.argsort(at.astype(np.uint64) << np.uint64(32) | r["t"] >> np.uint64(32))
         r, at = r[order], at[order]
         out = np.empty(len(r), wire(r.dtype))
         out["t"] = r["t"] >> np.uint64(32)
         for f in r.dtype.names[1:]:
             out[f] = r[f]
         keep, rows = np.ones(len(r), bool), []
-        starts = _groups(r["t"])
+        starts = np.flatnonzero(np.append(True, (out["t"][1:] != out["t"][:-1]) | (at[1:] != at[:-1]))) if len(r) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(r)))
         for s, n in zip(starts[sizes >= RUN].tolist(), sizes[sizes >= RUN].tolist()):
             run = out[s : s + n]
@@ -136,19 +136,39 @@ def crossing(t, d, n, p, s, c, admit: Admit) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def _star_step(admit: Admit, record: np.dtype):
+_STARS = pa.schema([("kind", pa.int32()), ("t", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("xs", pa.list_(pa.int64()))])
+STARS = "kind int, t long, x long, y long, p long, s long, xs array<long>"
+
+
+def _star_step(admit: Admit, record: np.dtype, dense: bool):
+    """Of a bucket: pairs (kind 0: x, y); and the rows of the larger groups (kind 1: key,
+    item, size, position, summary), or, if ``dense``, these groups (kind 1: key, digest of
+    its items, how many, items; kind 2 for a run of its own)."""
     packing = wire(record)
 
     def step(table: pa.Table) -> pa.Table:
         got = np.frombuffer(b"".join(table.column("blob").to_pylist()), packing)
+        got = _shared(got[np.argsort(got["t"])])
         r = np.zeros(len(got), RECORD)
         for f in packing.names:
             r[f] = got[f]
         r["t"] |= np.uint64(table.column("bucket")[0].as_py()) << np.uint64(32)
         pairs, rest = stars(r, admit)
-        zero = np.zeros(len(pairs), np.int64)
-        cols = [np.append(zero, rest["t"].astype(np.int64)), np.append(pairs[:, 0], rest["d"]), np.append(pairs[:, 1], rest["n"].astype(np.int64)), np.append(zero, rest["p"].astype(np.int64)), np.append(zero, rest["s"].view(np.int64) if len(rest) else zero[:0])]
-        return pa.table([pa.array(np.append(zero, np.ones(len(rest), np.int64)), pa.int64()), *(pa.array(x, pa.int64()) for x in cols)], names=["kind", "t", "x", "y", "p", "s"])
+        zero, kind = np.zeros(len(pairs), np.int64), 1
+        if dense:
+            kind = 2 if table.column("part")[0].as_py() else 1
+            rest = rest[np.lexsort((rest["d"], rest["t"]))]
+            starts = _groups(rest["t"])
+            sizes = np.diff(np.append(starts, len(rest)))
+            sig = mix(np.add.reduceat(mix(rest["d"].view(np.uint64)), starts)) if len(rest) else rest["t"]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rest)), pa.int32()), pa.array(rest["d"], pa.int64()))
+            cols = [rest["t"][starts].astype(np.int64), sig.view(np.int64), sizes.astype(np.int64), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)]
+        else:
+            lists = pa.nulls(len(rest), pa.list_(pa.int64()))
+            cols = [rest["t"].astype(np.int64), rest["d"], rest["n"].astype(np.int64), rest["p"].astype(np.int64), np.ascontiguousarray(rest["s"]).view(np.int64)]
+        one = [np.zeros(len(pairs), np.int32), zero, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), zero, zero]
+        both = [pa.concat_arrays([pa.array(u, f.type), pa.array(v, f.type)]) for u, v, f in zip(one, [np.full(len(cols[0]), kind, np.int32), *cols], _STARS)]
+        return pa.Table.from_arrays([*both, pa.concat_arrays([pa.nulls(len(pairs), pa.list_(pa.int64())), lists])], schema=_STARS)
 
     return step
 
@@ -171,6 +191,15 @@ def fetched(texts: DataFrame | Callable[[DataFrame], DataFrame], need: DataFrame
     return materialise(texts.join(F.broadcast(need) if few else need, "id", "left_semi").distinct(), "texts")
 
 
+def _holds(linked: Callable[[int, int, int], bool], u: np.ndarray, v: np.ndarray) -> bool:
+    """Of two sorted sets; those that can't link by their sizes aren't intersected."""
+    if not linked(len(u), len(v), min(len(u), len(v))):
+        return False
+    both = np.concatenate([u, v])
+    both.sort(kind="stable")  # two runs to merge
+    return bool(linked(len(u), len(v), int(np.count_nonzero(both[1:] == both[:-1]))))
+
+
 def verify(pairs: DataFrame, some: DataFrame, features: Callable[[str], np.ndarray], linked: Callable[[int, int, int], bool]) -> DataFrame:
     """The ``pairs`` (a, b) for which ``linked(size a, size b, common)`` holds, with
     sizes of the distinct ``features`` of the texts in ``some`` (id, text), each pair once."""
@@ -186,7 +215,7 @@ def verify(pairs: DataFrame, some: DataFrame, features: Callable[[str], np.ndarr
                         f = known[k] = features(k[1] or "")
                         held += len(f)
                     both.append(f)
-                keep.append(linked(len(both[0]), len(both[1]), len(np.intersect1d(*both, assume_unique=True))))
+                keep.append(_holds(linked, *both))
                 if held > KNOWN:
                     known, held = {}, 0
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -236,60 +265,122 @@ def group_links(features: list[np.ndarray], c: np.ndarray, holds: Callable) -> l
     return out
 
 
+#: Rows of a group up to which its pairs are compared one by one.
+SMALL = 24
+
+
 def _resolve_step(features, holds):
-    def step(table: pa.Table) -> pa.Table:
-        t, d, c = (table.column(k).to_numpy() for k in ("t", "x", "c"))
-        texts, known, a, b = table.column("text"), {}, [], []
-        order = np.argsort(t, kind="stable")
+    """Links between components, of the groups (t, x, c) of a bucket whose texts (id,
+    text) come along, each once. A pair that several groups hold is compared once, and
+    not at all once the bucket's links have joined its components."""
+
+    def step(groups: pa.Table, texts: pa.Table) -> pa.Table:
+        t, d, c = (groups.column(k).to_numpy() for k in ("t", "x", "c"))
+        place = {x: k for k, x in enumerate(texts.column("id").to_pylist())}
+        text = texts.column("text")
+        known: dict[int, np.ndarray] = {}
+        tried: set[tuple[int, int]] = set()
+        up: dict[int, int] = {}
+        held = 0
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        def feature(x: int) -> np.ndarray:
+            nonlocal held
+            if (f := known.get(x)) is None:
+                if held > KNOWN:
+                    known.clear()
+                    held = 0
+                f = known[x] = features((text[place[x]].as_py() if x in place else "") or "")
+                held += len(f)
+            return f
+
+        def join(x: int, y: int) -> None:
+            a.append(c[x]), b.append(c[y])
+            p, r = root(int(c[x])), root(int(c[y]))
+            up[max(p, r)] = min(p, r)
+
+        a, b = [], []
+        order = np.lexsort((d, t))
         for rows in np.split(order, _groups(t[order])[1:]) if len(t) else []:
-            if sum(map(len, known.values())) > KNOWN:
-                known = {}
-            for k in rows:
-                if d[k] not in known:
-                    known[d[k]] = features(texts[int(k)].as_py() or "")
-            for x, y in group_links([known[d[k]] for k in rows], c[rows], holds):
-                a.append(d[rows[x]]), b.append(d[rows[y]])
+            if len(rows) > SMALL:
+                tops = np.array([root(int(x)) for x in c[rows]])
+                if tops.min() != tops.max():
+                    for x, y in group_links([feature(int(x)) for x in d[rows]], tops, holds):
+                        join(rows[x], rows[y])
+                continue
+            for i, x in enumerate(rows):
+                for y in rows[i + 1 :]:
+                    pair = (int(d[x]), int(d[y]))
+                    if c[x] == c[y] or pair in tried or root(int(c[x])) == root(int(c[y])):
+                        continue
+                    tried.add(pair)
+                    u, v = feature(pair[0]), feature(pair[1])
+                    if _holds(holds, u, v):
+                        join(x, y)
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return step
 
 
+def _open_groups(first: DataFrame, labels: DataFrame, dense: bool) -> DataFrame:
+    """The rows (t, x, y, p, s, c, place) of the groups that hold several components; of
+    the groups with the same items, dense comparison takes one. Groups that hold the
+    same pairs share a ``place`` as far as they have the same first item."""
+    if dense:
+        hot = materialise(first.filter("kind = 2").select("t").distinct(), "hot")
+        few = F.broadcast(hot) if hot.count() <= FEW_IDS else hot
+        groups = first.filter("kind > 0").select("t", F.col("x").alias("sig"), F.col("y").alias("n"), "xs")
+        once = groups.join(few, "t", "left_anti").groupBy("sig", "n").agg(F.min_by("xs", "t").alias("xs"), F.min("t").alias("t"))
+        none = [F.lit(0).cast("long").alias(c) for c in "yps"]
+        rows = once.select("t", "xs").unionByName(groups.join(few, "t", "left_semi").select("t", "xs")).select("t", F.explode("xs").alias("x"), *none)
+    else:
+        rows = first.filter("kind = 1").select("t", "x", "y", "p", "s")
+    held = materialise(rows.join(labels.withColumnRenamed("node", "x"), "x", "left").select("t", "x", "y", "p", "s", F.coalesce("component", "x").alias("c")), "labelled")
+    mixed = held.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("x").alias("place")).filter("low <> high").select("t", "place" if dense else F.col("t").alias("place"))
+    out = materialise(held.join(mixed, "t"), "open")
+    discard(held)
+    return out
+
+
 def linked_components(blobs: DataFrame, texts, features, linked, admit: Admit, links: DataFrame | None = None, record: np.dtype = RECORD, dense: bool = False) -> DataFrame:
     """Components (``node``, ``component``) of the items in ``blobs`` under
     ``linked``; ``links`` (a, b) are known already, such as those of copies.
     ``record`` may lack all but key and item; what it lacks tells nothing. With
     ``dense``, for pair filters that can't tell near misses from links, the pairs left
-    over are compared group by group in blocks of matrix products."""
-    first = materialise(blobs.groupBy("bucket", "part").applyInArrow(_star_step(admit, record), "kind long, t long, x long, y long, p long, s long"), "stars")
+    over are compared group by group, those of large groups in blocks of matrix products."""
+    first = materialise(blobs.groupBy("bucket", "part").applyInArrow(_star_step(admit, record, dense), STARS), "stars")
     pairs = materialise(first.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    need = materialise((ids.unionByName(first.filter("kind = 1").select(F.col("x").alias("id"))) if dense else ids).distinct(), "ids")
+    need = materialise((ids.unionByName(first.filter("kind > 0").select(F.explode("xs").alias("id")).distinct()) if dense else ids).distinct(), "ids")
     some = fetched(texts, need)
     sure = verify(pairs, some, features, linked)
-    known = sure if links is None else sure.unionByName(links)
-    labels = components(known)
-    held = first.filter("kind = 1").join(labels.withColumnRenamed("node", "x"), "x", "left").select("t", "x", "y", "p", "s", F.coalesce("component", "x").alias("c"))
-    held = materialise(held.distinct(), "labelled")
-    # groups that hold several components; of those with the same rows, dense comparison takes one
-    mixed = held.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("sig")).filter("low <> high")
+    labels = components(sure if links is None else sure.unionByName(links))
+    rest = _open_groups(first, labels, dense)
+    buckets = max(parts(blobs.sparkSession), rest.count() // REST)
+    dealt = rest.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
+    gone = [first, pairs, need, sure]
     if dense:
-        mixed = mixed.groupBy("n", "sig").agg(F.min("t").alias("t"), F.first("low").alias("low"))
-    open_rows = materialise(held.join(mixed.select("t"), "t", "left_semi"), "open")
-    buckets = max(parts(blobs.sparkSession), open_rows.count() // REST)
-    rest = open_rows.withColumn("bucket", F.pmod(F.xxhash64("t"), F.lit(buckets)))
-    gone = [first, pairs, need, some, sure, held, open_rows]
-    if dense:
-        full = rest.join(some.withColumnRenamed("id", "x"), "x").select("bucket", "t", "x", "c", "text")
-        more = materialise(full.groupBy("bucket").applyInArrow(_resolve_step(features, linked), "a long, b long"), "crossing")
-        out = components(known.unionByName(more))
-        gone += [more]
+        own = dealt.select("bucket", F.col("x").alias("id")).distinct().join(some, "id").select(F.col("bucket").alias("own"), "id", "text")
+        more = materialise(dealt.select("bucket", "t", "x", "c").groupBy("bucket").cogroup(own.groupBy("own")).applyInArrow(_resolve_step(features, linked), "a long, b long"), "crossing")
     else:
-        more = materialise(rest.groupBy("bucket").applyInArrow(_cross_step(admit), "a long, b long").distinct(), "crossing")
-        need = materialise(more.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        crossing_pairs = materialise(dealt.groupBy("bucket").applyInArrow(_cross_step(admit), "a long, b long").distinct(), "crossing")
+        need = materialise(crossing_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         again = fetched(texts, need)
-        found = verify(more, again, features, linked)
-        out = components(known.unionByName(found))
-        gone += [more, need, again, found]
-    for x in gone:
+        found = verify(crossing_pairs, again, features, linked)
+        gone += [crossing_pairs, need, again]
+        for end in "ab":  # from items to their components
+            found = found.join(labels.select(F.col("node").alias(end), F.col("component").alias("c")), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        more = materialise(found.select("a", "b"), "joined")
+    over = components(more)
+    size = over.count()
+    if size:
+        side = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        moved = labels.join(F.broadcast(side) if size <= FEW_IDS else side, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        labels = moved.unionByName(over)
+    for x in [*gone, some, rest, more]:
         discard(x)
-    return out
+    return labels

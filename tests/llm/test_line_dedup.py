@@ -132,7 +132,9 @@ def test_bands_find_planted_pairs_of_any_length(length):
 
 def test_a_run_of_one_key_is_a_group_of_its_own():
     """What a task deals out of a hot key: its run apart, two of it to the key's group."""
-    from lading.llm.line_dedup import _LINE, _any
+    from functools import partial
+
+    from lading.llm.line_dedup import _LINE, _sized
     from lading.llm.similarity import RUN, packed, _star_step
     import pyarrow as pa
 
@@ -148,10 +150,11 @@ def test_a_run_of_one_key_is_a_group_of_its_own():
     groups = {}
     for x in rows:
         groups.setdefault((x["bucket"], x["part"]), []).append(x)
-    out = pa.concat_tables([_star_step(_any, _LINE)(pa.Table.from_pylist(g, schema=one.schema)) for g in groups.values()]).to_pylist()
+    out = pa.concat_tables([_star_step(partial(_sized, num=80, den=100), _LINE, True)(pa.Table.from_pylist(g, schema=one.schema)) for g in groups.values()]).to_pylist()
     up = dict(forest([(x["x"], x["y"]) for x in out if x["kind"] == 0]))
     assert len({up.get(k, k) for k in [*range(RUN), *(10**6 + np.arange(3)).tolist()]}) == 1
-    assert {x["x"] for x in out if x["kind"] == 1} == {*range(RUN), *(10**6 + np.arange(3)).tolist()}
+    assert {d for x in out if x["kind"] for d in x["xs"]} == {*range(RUN), *(10**6 + np.arange(3)).tolist()}
+    assert sorted(x["kind"] for x in out if x["kind"]) == [1, 2] and len({x["t"] for x in out if x["kind"]}) == 1
 
 
 def test_columns_named_like_the_operators_own(spark):
