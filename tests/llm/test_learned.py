@@ -186,6 +186,69 @@ def test_planted_secrets_that_no_base_pattern_matches(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     net = secrets.train(df)
     got = {r.doc_id: [(f.kind, f.p) for f in r.found] for r in secrets.findings(df, net).collect()}
-    assert sum(any(k == "net" for k, _ in got[1000 + i]) for i in range(100)) >= 80
+    caught = sum(any(k == "net" for k, _ in got[1000 + i]) for i in range(100))
+    wrong = sum(k == "net" for i in range(400) for k, _ in got[i])
+    print(f"recall {caught / 100}, precision {caught / (caught + wrong)}")
+    assert caught >= 90 and wrong <= 10
     assert all(p is not None for i in range(400) for k, p in got[i] if k == "assign")
-    assert sum(k == "net" for i in range(400) for k, _ in got[i]) <= 40
+
+
+def test_kernel_ridge_against_a_plain_one():
+    """With all training rows as landmarks, the classifier is kernel ridge on the presence
+    kernel, one against the rest: a plain solver over sets of bins gives its winners."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list(a), 60)) for a in ("abcde ", "defgh ", "ghijk ") for _ in range(12)]
+    labels = ["x"] * 12 + ["y"] * 12 + ["z"] * 12
+    rows = np.stack([lang.presence(t, 3) for t in texts])
+    kernel = lang.fit(labels, rows, 3, landmarks=12)
+    sets = [set(np.flatnonzero(r).tolist()) for r in rows]
+    like = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    gram = np.array([[like(a, b) for b in sets] for a in sets])
+    target = np.array([[1.0 if y == k else -1.0 for k in "xyz"] for y in labels])
+    alpha = np.linalg.solve(gram + lang.RIDGE * len(labels) * np.eye(len(labels)), target)
+    fresh = ["".join(rng.choice(list(a), 40)) for a in ("abcde ", "defgh ", "ghijk ") for _ in range(20)]
+    new = np.stack([lang.presence(t, 3) for t in fresh])
+    own = kernel.scores(new).argmax(1)
+    plain = np.array([[like(set(np.flatnonzero(r).tolist()), b) for b in sets] for r in new]) @ alpha
+    assert (own == plain.argmax(1)).all() and abs(kernel.scores(new) - plain).max() < 0.05
+
+
+def test_cumulative_link_against_a_plain_optimiser():
+    """The same likelihood climbed by plain full gradients of numeric differences ends in the same cuts and weights."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (400, 3)).astype(np.float32)
+    grade = np.digitize(x @ np.array([2.0, 1.0, -1.0]) + rng.logistic(size=400), [0.5, 2.5])
+    w, cuts = tox.fit(x, grade, 3, ridge=1e-3)
+
+    def loss(v):
+        c = np.array([v[3], v[3] + np.exp(v[4])])
+        full = np.concatenate([np.zeros((400, 1)), 1 / (1 + np.exp(-(c[None] - (x @ v[:3])[:, None]))), np.ones((400, 1))], 1)
+        return -np.log(np.maximum(full[np.arange(400), grade + 1] - full[np.arange(400), grade], 1e-12)).mean() + 5e-4 * (v[:3] ** 2).sum()
+
+    v = np.zeros(5)
+    for _ in range(1500):
+        g = np.array([(loss(v + 1e-4 * e) - loss(v - 1e-4 * e)) / 2e-4 for e in np.eye(5)])
+        v -= 0.5 * g
+    assert abs(w - v[:3]).max() < 0.1 and abs(cuts - [v[3], v[3] + np.exp(v[4])]).max() < 0.1
+
+
+def test_samples_stay_bounded_where_rows_repeat(spark):
+    """5000 rows of one id are one row of the sample; a hot group's last window reads no more than its salts let through."""
+    rows = [(1, "awful rotten", "en", 1)] * 3000 + [(i, "nice words", "en", 0) for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    seen = []
+    original = tox.train
+    try:
+        tox.train = lambda r, *a: seen.append(len(r)) or original(r, *a)
+        tox.train_on_labels(df, df.select("doc_id", "toxic"), sample=20)
+    finally:
+        tox.train = original
+    assert seen == [21]
+    kernel = lang.train(df, sample=20)
+    assert kernel.landmarks.shape[0] <= 24
+    from lading.llm.common import smallest_hashes
+
+    few = smallest_hashes(df.select("doc_id", "lang").distinct(), "doc_id", "lang", 7)
+    got = sorted(r.doc_id for r in few.collect())
+    order = df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(7).collect()
+    assert got == sorted(r.doc_id for r in order)

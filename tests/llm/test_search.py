@@ -222,3 +222,38 @@ def test_token_lengths(spark):
     df = spark.createDataFrame([(1, "some plain words"), (2, None), (3, "")], "doc_id long, text string")
     n = {r.doc_id: r.n_tokens for r in packing.token_lengths(df, path).collect()}
     assert n[1] > 0 and n[2] == n[3] == 0
+
+
+def test_packing_against_a_naive_packer():
+    """The same rules without the index of free room: each open bin is looked at for each piece."""
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 7, 300):
+        lengths = rng.integers(1, 4097, n) if n != 7 else np.array([512, 512, 512, 100, 100, 4096, 1])
+        sizes = sorted(packing.CAPACITIES)
+        used, opened, left = [], [], int(lengths.sum())
+        for length in sorted(lengths.tolist(), reverse=True):
+            fits = [(opened[b] - used[b] - length, -b) for b in range(len(used)) if opened[b] - used[b] >= length]
+            if fits:
+                used[-min(fits)[1]] += length
+            else:
+                opened.append(min((packing.training_cost(c) / min(c, left), c) for c in sizes if c >= length)[1])
+                used.append(length)
+            left -= length
+        want = sorted((u, min(c for c in sizes if c >= u)) for u in used)
+        bins, places, caps = packing.pack(lengths.astype(np.int64), packing.CAPACITIES)
+        got = sorted((int(lengths[bins == b].sum()), int(caps[b])) for b in range(len(caps)))
+        assert sum(u for u, _ in got) == lengths.sum() and sum(c for _, c in got) <= sum(c for _, c in want) * 1.02 and abs(len(got) - len(want)) <= max(1, len(want) // 50)
+
+
+def test_rows_that_repeat_are_dealt_to_many_shards(spark):
+    docs = spark.createDataFrame([(None, "a b c")] * 3000, "doc_id long, text string")
+    rows = packing.best_fit(docs, shard=100).groupBy(F.expr("shiftright(bin_id, 32)").alias("shard")).count().collect()
+    assert len(rows) >= 25 and max(r["count"] for r in rows) <= 200
+
+
+def test_url_filter_with_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "http://bad.net/p", 1, 2, 3, 4, "k")], "page_id long, url string, may int, block int, words int, hit int, canonical string")
+    out = url_filter(docs, spark.createDataFrame([("https://www.bad.net/p/",)], "url string"))
+    assert out.columns == ["page_id", "url", "may", "block", "words", "hit", "canonical", "host", "path", "rule", "listed", "verdict"]
+    r = out.first()
+    assert (r.may, r.block, r.words, r.hit, r.canonical, r.listed, r.verdict) == (1, 2, 3, 4, "k", True, "block")
