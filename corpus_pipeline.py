@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lading.llm import decontaminate as bench
-from lading.llm.common import materialise
+from lading.llm.common import Scratch, discard, materialise
 from lading.llm.language_id import UNKNOWN, classify, held_out, train
 from lading.llm.line_dedup import SHINGLE, line_dedup
 from lading.llm.ngram_join import ngram_join
@@ -51,12 +51,20 @@ def _before(docs: DataFrame, whole: DataFrame) -> DataFrame:
     return whole.select("doc_id", "text", F.xxhash64("text").alias("th")).join(side, ["doc_id", "th"], "left_semi").select("doc_id", "text")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links (five words, similarity 0.8) the one with the smallest
     id stays. Documents link by their texts as they are, or as they stood in ``documents``
-    before lines were taken out of them: what line dedup left of a near copy goes too."""
-    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    texts = docs.select("doc_id", "text").unionByName(_before(docs, whole))
+    before lines were taken out of them, if ``sf_dir`` has that table: what line dedup left
+    of a near copy goes too."""
+    texts = docs.select("doc_id", "text")
+    if _there(spark, path := f"{sf_dir}/documents.parquet"):
+        texts = texts.unionByName(_before(docs, spark.read.parquet(path).select("doc_id", "text")))
     found = materialise(ngram_join(texts, n=5, num=80, den=100), "near")
     rest = _without(docs, found.filter("component_id <> doc_id").select("doc_id"), ["doc_id"])
     twice = materialise(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
@@ -87,7 +95,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with Scratch(spark) as scratch:
+            docs = scratch.keep(materialise(stage(spark, before, sf_dir), "stage-" + name.replace(" ", "-")))
+        discard(before)  # written by this loop, and read for the last time
+        before = docs
     return docs

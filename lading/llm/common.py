@@ -4,7 +4,9 @@ cut lineage, bounded samples, and vectorised hashing of Arrow text columns."""
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +36,61 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder.setdefault("path", "file://" + tempfile.mkdtemp(prefix="lading-"))
 
 
+_made = threading.local()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends
-    there, and a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/lading/{name}-{uuid.uuid4().hex}"
+    there, and a lost executor costs no recomputation. Tables lie in a folder of the
+    application's own; :func:`discard`, :class:`Scratch` and :func:`sweep` delete them."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lading/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._lading_path = path
+    for kept in getattr(_made, "lists", []):
+        kept.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that nothing reads any more."""
     path = getattr(df, "_lading_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application has made: for its end, once its results are written elsewhere."""
+    _delete(spark, f"{shared_folder(spark)}/lading/{spark.sparkContext.applicationId}")
+
+
+class Scratch:
+    """``with Scratch(spark) as scratch:`` the tables that this thread makes inside are
+    deleted at the end, apart from those that were kept by ``scratch.keep(table)``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.add(table._lading_path)
+        return table
+
+    def __enter__(self) -> Scratch:
+        _made.lists = [*getattr(_made, "lists", []), self.paths]
+        return self
+
+    def __exit__(self, *fault) -> None:
+        _made.lists = [x for x in _made.lists if x is not self.paths]
+        for path in self.paths:
+            if path not in self.kept:
+                _delete(self.spark, path)
 
 
 def q(name: str):
@@ -141,12 +180,24 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data, offsets
 
 
-def raw_texts(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of each row, without the way over strings; null rows are empty."""
+def raw_texts(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each row, without the way over strings, one at a time; null rows are empty."""
     data, offsets = text_buffers(column)
     whole = memoryview(data)
-    ends = offsets.tolist()
-    return [whole[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+    a = int(offsets[0])
+    for b in offsets[1:].tolist():
+        yield whole[a:b].tobytes()
+        a = b
+
+
+#: Rows of a batch that are Python objects at once.
+FEW_ROWS = 256
+
+
+def slices(batch: pa.RecordBatch, rows: int = FEW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in small parts, so that no more of it than one part is held twice."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
 
 
 def spans(offsets: np.ndarray, most: int = 1 << 20):

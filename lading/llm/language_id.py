@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import discard, materialise, others, q, smallest_hashes
+from lading.llm.common import discard, materialise, others, q, slices, smallest_hashes
 
 #: Hashed n-gram bins.
 BINS = 1 << 14
@@ -95,7 +95,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             fresh = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]  # no more than were chosen
             some = batch.take(pa.array(fresh, pa.int64()))
-            packed = [np.packbits(presence(t or "", longest)).tobytes() for t in some.column(2).to_pylist()]
+            packed = [np.packbits(presence(t or "", longest)).tobytes() for few in slices(some) for t in few.column(2).to_pylist()]
             yield pa.record_batch([some.column(0), some.column(1), pa.array(packed, pa.binary())], names=["id", "lang", "bins"])
 
     kind = dict(rows.dtypes)["id"]

@@ -23,14 +23,14 @@ SHINGLE = 5
 BANDS, ROWS = 36, 6
 #: Bytes of lines hashed at once.
 _CHUNK = 1 << 17
-#: Lines whose signatures are held at once.
+#: Lines that are held at once.
 _LINES = 4096
 #: Rounds in which each shingle picks one bin, before bins that are still empty ask all shingles.
 _ROUNDS = 16
 #: Records that a bucket should hold.
 _BUCKET = 500_000
 #: Lines remembered as seen in a task.
-_SEEN = 500_000
+_SEEN = 250_000
 _NONE = np.uint32(2**32 - 1)
 #: Ids up to this many go to the tasks that fetch lines (8 bytes each); more are joined.
 FEW_IDS = 1_000_000
@@ -69,18 +69,21 @@ def _places(batches):
 
 
 def _distinct(batches):
-    """(digest, normal line) for the lines of a partition, most repeats left out."""
+    """(digest, normal line) for the lines of a partition, most repeats left out, some at a time."""
     seen: set[int] = set()
+    out = []
     for batch in batches:
-        out = []
         for text in raw_texts(batch.column(batch.num_columns - 1)):
             for line in normals(text):
                 if line and (d := _digests(line)[0]) not in seen:
                     seen.add(d)
                     out.append((d, line))
+            if len(out) >= _LINES:
+                yield out
+                out = []
         if len(seen) > _SEEN:
             seen = set()
-        yield out
+    yield out
 
 
 def _line_texts(batches, wanted=None):

@@ -3,6 +3,7 @@ n-word shingles, reported as connected components."""
 
 from __future__ import annotations
 
+import struct
 import zlib
 from functools import partial
 
@@ -22,7 +23,7 @@ _SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47))
 #: Prefix records that a bucket should hold.
 BUCKET_RECORDS = 250_000
 #: Sets remembered as seen in a task.
-_SEEN = 300_000
+_SEEN = 200_000
 
 
 def _cells(h: np.ndarray) -> list[np.ndarray]:
@@ -129,13 +130,13 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
 
     def prefixes(batches):
         def found():
-            seen: set[tuple[int, int, int]] = set()
+            seen: set[bytes] = set()
             for batch in batches:
                 if len(seen) > _SEEN:
                     seen = set()
                 for d, h in zip(batch.column(0).to_pylist(), row_shingles(batch.column(1), n)):
                     size = len(h)
-                    if not size or d is None or (key := (*_digest(h), size)) in seen:
+                    if not size or d is None or (key := struct.pack("<QQI", *_digest(h), size & 0xFFFFFFFF)) in seen:
                         continue  # a copy, linked by its digest, stands for this row
                     seen.add(key)
                     freq = np.minimum(*(row[at] for row, at in zip(shared.value, _cells(h))))

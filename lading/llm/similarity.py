@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import discard, materialise, mix, parts
+from lading.llm.common import discard, materialise, mix, parts, slices
 from lading.llm.components import components
 
 #: key, item, digest of the item's content, its size, the key's position in it, a summary of it
@@ -37,7 +37,7 @@ FEW_IDS = 1_000_000
 #: Rows of the groups left over that a bucket should hold.
 REST = 100_000
 #: Features that a task remembers while it verifies pairs.
-KNOWN = 4_000_000
+KNOWN = 2_000_000
 
 #: Takes size, position and summary of one side and of the other, and says which pairs may link.
 Admit = Callable[..., np.ndarray]
@@ -208,7 +208,7 @@ def verify(pairs: DataFrame, some: DataFrame, features: Callable[[str], np.ndarr
         for batch in batches:
             known: dict[tuple[int, str], np.ndarray] = {}
             held, keep = 0, []
-            for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for x, y, s, t in (r for few in slices(batch) for r in zip(*(c.to_pylist() for c in few.columns))):
                 both = []
                 for k in ((x, s), (y, t)):
                     if (f := known.get(k)) is None:

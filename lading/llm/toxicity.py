@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lading.llm.common import discard, materialise, others, q, smallest_hashes
+from lading.llm.common import discard, materialise, others, q, slices, smallest_hashes
 
 #: Labelled documents of each label at most.
 SAMPLE = 2000
@@ -22,7 +22,7 @@ FEATURES = 2048
 #: A document is flagged from this probability of any severity on.
 FLAG = 0.5
 #: Words whose features a task remembers.
-_KNOWN = 1_000_000
+_KNOWN = 300_000
 _WORD = re.compile(r"\w+")
 
 
@@ -122,7 +122,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id
             ids = batch.column(0).to_pylist()
             fresh = [k for k, i in enumerate(ids) if not (i in seen or seen.add(i))]  # no more than were chosen
             some = batch.take(pa.array(fresh, pa.int64()))
-            yield pa.record_batch([some.column(0), some.column(2), pa.array([features(t or "").tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["id", "y", "f"])
+            yield pa.record_batch([some.column(0), some.column(2), pa.array([features(t or "").tobytes() for few in slices(some) for t in few.column(1).to_pylist()], pa.binary())], names=["id", "y", "f"])
 
     kind = dict(rows.dtypes)["id"]
     found = rows.select("id", "text", "y").mapInArrow(hashed, f"id {kind}, y int, f binary")
@@ -150,7 +150,7 @@ def score_toxicity(docs: DataFrame, model: Ordinal, flag: float = FLAG, text_col
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             total = np.zeros(batch.num_rows)
-            for k, text in enumerate(batch.column(at).to_pylist()):
+            for k, text in enumerate(t for few in slices(batch) for t in few.column(at).to_pylist()):
                 found: set[int] = set()
                 for w in set(_WORD.findall((text or "").lower())):
                     if (f := known.get(w)) is None:

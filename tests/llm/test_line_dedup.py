@@ -55,7 +55,14 @@ def test_against_brute_force_on_documents(spark):
     assert len(got) == len(want) and same >= 0.99 * len(want), (same, len(want))
 
 
-def test_edge_cases(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_edge_cases(spark, monkeypatch, few):
+    """``few`` 0: all that is broadcast while it is small is joined by hash."""
+    import lading.llm.line_dedup as module
+    import lading.llm.similarity as shared
+
+    monkeypatch.setattr(module, "FEW_IDS", few)
+    monkeypatch.setattr(shared, "FEW_IDS", few)
     line = "the quick brown fox jumps over the lazy dog and runs away from all the hounds of the county"
     near = line.replace("lazy", "lazi")
     rows = [(5, None), (6, ""), (7, "\n\n"), (1, f"A\n{line}\n\nB"), (2, f"{near}\nb\n"), (3, line.upper() + "\r"), (None, line), (8, " \t\n" + line + "\n" + line)]

@@ -42,8 +42,12 @@ def test_against_brute_force_on_documents(spark):
     assert run(spark, rows, n=4, num=85, den=100) == brute(rows, 4, 85, 100)
 
 
-def test_a_group_whose_leader_links_with_few(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_a_group_whose_leader_links_with_few(spark, monkeypatch, few):
     """Chains: neighbours link, distant members don't, so no star holds the group."""
+    import lading.llm.similarity as shared
+
+    monkeypatch.setattr(shared, "FEW_IDS", few)
     base = [f"w{i}" for i in range(120)]
     rows = []
     for k in range(40):
@@ -99,3 +103,12 @@ def test_filters_never_lose_a_pair():
         lost += links and not ok
         pruned += not links and not ok
     assert lost == 0 and pruned > 500
+
+
+def test_copies_in_many_tasks(spark):
+    """Copies and near copies spread over tasks: the same components as brute force."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(30)] + [(100 + i, " ".join([*base[:59], f"z{i}"])) for i in range(40)] + [(200 + i, " ".join([*base[: 40], *(f"y{i}_{k}" for k in range(20))])) for i in range(10)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(df, n=4, num=85, den=100).collect()}
+    assert got == brute(rows, 4, 85, 100)

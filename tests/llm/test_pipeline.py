@@ -1,6 +1,11 @@
 """The pipeline's stages on planted cases."""
 
+import time
+from pathlib import Path
+
 import corpus_pipeline as cp
+import pytest
+from lading.llm.common import shared_folder
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -18,7 +23,10 @@ def test_stage_order_and_columns(spark):
     assert {r.doc_id for r in rows} == {r.doc_id for r in kept.select("doc_id").collect()}
 
 
-def test_planted_documents(spark, tmp_path):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_planted_documents(spark, tmp_path, monkeypatch, few):
+    """``few`` 0: all that is broadcast while it is small is joined by hash."""
+    monkeypatch.setattr(cp, "FEW_IDS", few)
     words = [f"{a}{b}" for a in ("the", "of", "in", "on", "er", "st", "an") for b in ("ing", "ed", "ly", "er", "est", "ion", "al", "ic")]
     own = lambda k, n=60: " ".join(f"{words[(k * 31 + i * i + i * k) % len(words)]}{chr(97 + (k + i) % 26)}" for i in range(n))
     passage = " ".join(f"bench{i}" for i in range(12))
@@ -28,10 +36,13 @@ def test_planted_documents(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
     spark.createDataFrame([(1, passage), (2, "another item that nothing holds at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
     got = cp.run(spark, str(tmp_path))
     ids = {r.doc_id for r in got.collect()}
     assert ids == {1, 2, 3, 9, 10}
     assert {r.doc_id: r.length for r in got.collect()}[9] == 60
+    left = [p for p in (Path(shared_folder(spark).removeprefix("file://")) / "lading" / spark.sparkContext.applicationId).iterdir() if p.name.startswith(("stage-", "near", "gone", "now"))]
+    assert [p.name.startswith("stage-best-fit") for p in left if p.stat().st_mtime >= began] == [True]
 
 
 def test_empty_table(spark, tmp_path):
