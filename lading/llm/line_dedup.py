@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import LOWER, UPPER, char_shingles, free_name, hot_join, materialise, mix, others, parts, q, raw_texts, sorted_distinct
+from lading.llm.common import LOWER, UPPER, char_shingles, free_name, hot_join, lean, materialise, mix, others, parts, q, raw_texts, slices, sorted_distinct
 from lading.llm.similarity import BLOBS, linked_components, packed
 
 #: key, line, and the number of its distinct shingles, as far as it goes
@@ -86,16 +86,40 @@ def _distinct(batches):
     yield out
 
 
-def _line_texts(batches, wanted=None):
-    known = None if wanted is None else wanted.value
+def _line_texts(batches):
     for out in _distinct(batches):
-        if known is not None:
-            d = np.array([d for d, _ in out], np.int64)
-            at = np.searchsorted(known, d)
-            out = [out[k] for k in np.flatnonzero(known[np.minimum(at, len(known) - 1)] == d)] if len(known) and len(d) else []
         yield pa.record_batch([pa.array([d for d, _ in out], pa.int64()), pa.array([x.decode("utf-8", "replace") for _, x in out], pa.string())], names=["id", "text"])
 
 
+_BOTH = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("d", pa.int64()), ("e", pa.int64()), ("text", pa.string())])
+
+
+def _places_and_texts(batches, wanted):
+    """Rows as of :func:`_places`; the first one in a task of a line that ``wanted`` (sorted) names has its normal form too."""
+    known, seen = wanted.value, set()
+    for batch in (few for whole in batches for few in slices(whole, 1024)):
+        counts, numbers, lines, plain = [], [], [], []
+        for text in raw_texts(batch.column(2)):
+            before = len(lines)
+            for k, line in enumerate(normals(text)):
+                if line:
+                    numbers.append(k)
+                    lines.append(_digests(line))
+                    plain.append(line)
+            counts.append(len(lines) - before)
+        at = pa.array(np.repeat(np.arange(len(counts)), counts))
+        both = np.array(lines, np.int64).reshape(-1, 2)
+        texts: list[str | None] = [None] * len(lines)
+        if len(known) and len(lines):
+            d = both[:, 0]
+            for k in np.flatnonzero(known[np.minimum(np.searchsorted(known, d), len(known) - 1)] == d).tolist():
+                if lines[k][0] not in seen:
+                    seen.add(lines[k][0])
+                    texts[k] = plain[k].decode("utf-8", "replace")
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], schema=_BOTH)
+
+
 def _scramble(h: np.ndarray, seed: int) -> np.ndarray:
     """A hash of 32-bit hashes, another one for each ``seed``."""
     x = (h ^ np.uint32(seed * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
@@ -239,18 +263,25 @@ def line_dedup(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100, bands
     place. Copies of a line are told by 128 bits, lines in bands by 64 of them."""
     spark = docs.sparkSession
     rows_in = docs.select(q(id_col).cast("long").alias("id"), F.xxhash64(q(text_col)).alias("th"), q(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    places = materialise(rows_in.mapInArrow(_places, "id long, th long, line int, d long, e long"), "lines")
-    buckets = max(parts(spark), int(places.count() * bands // _BUCKET))
+    newlines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    lines = rows_in.agg(F.sum(newlines.cast("long"))).first()[0] or 0
+    buckets = max(parts(spark), lines * bands // _BUCKET)
     only = rows_in.select("text")
-    blobs = only.mapInArrow(partial(_bands, k=k, bands=bands, rows=rows, buckets=buckets), BLOBS)
+    blobs = only.mapInArrow(lean(partial(_bands, k=k, bands=bands, rows=rows, buckets=buckets)), BLOBS)
+    held: list[DataFrame] = []
 
     def texts(need: DataFrame) -> DataFrame:
+        """The texts of the needed lines; places come from the same pass, if the needed ids are few."""
         if need.count() > FEW_IDS:
-            return only.mapInArrow(_line_texts, "id long, text string").join(need, "id", "left_semi")
+            held.append(materialise(rows_in.mapInArrow(lean(_places), "id long, th long, line int, d long, e long"), "lines"))
+            return only.mapInArrow(lean(_line_texts), "id long, text string").join(need, "id", "left_semi")
         ids = np.sort(need.toArrow()["id"].to_numpy())  # at most FEW_IDS
-        return only.mapInArrow(partial(_line_texts, wanted=spark.sparkContext.broadcast(ids)), "id long, text string")
+        whole = rows_in.mapInArrow(lean(partial(_places_and_texts, wanted=spark.sparkContext.broadcast(ids))), "id long, th long, line int, d long, e long, text string")
+        held.append(materialise(whole, "lines"))
+        return held[0].filter("text is not null").select(F.col("d").alias("id"), "text")
 
     like = linked_components(blobs, texts, partial(_features, k=k), partial(_alike, num=num, den=den), partial(_sized, num=num, den=den), record=_LINE, dense=True)
+    places = held[0].select("id", "th", "line", "d", "e")
     like = like.select(F.col("node").alias("d"), "component")
     like = like.unionByName(like.select(F.col("component").alias("d"), "component").distinct())
     # a class: a line with copies, or one that is like another

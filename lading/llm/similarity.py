@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import discard, materialise, mix, parts, slices
+from lading.llm.common import discard, lean, lean_group, lean_pair, materialise, mix, parts, slices
 from lading.llm.components import components
 
 #: key, item, digest of the item's content, its size, the key's position in it, a summary of it
@@ -186,7 +186,7 @@ def fetched(texts: DataFrame | Callable[[DataFrame], DataFrame], need: DataFrame
     """The rows of ``texts`` (id, text), each once, whose id ``need`` has; a function
     finds them itself."""
     if callable(texts):
-        return materialise(texts(need).distinct(), "texts")
+        return materialise(texts(need).dropDuplicates(["id"]), "texts")
     few = need.count() <= FEW_IDS
     return materialise(texts.join(F.broadcast(need) if few else need, "id", "left_semi").distinct(), "texts")
 
@@ -221,7 +221,7 @@ def verify(pairs: DataFrame, some: DataFrame, features: Callable[[str], np.ndarr
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
-    return materialise(joined.select("a", "b", "s", "t").mapInArrow(step, "a long, b long"), "verified")
+    return materialise(joined.select("a", "b", "s", "t").mapInArrow(lean(step), "a long, b long"), "verified")
 
 
 #: Rows of a group that are compared with as many others in one matrix product.
@@ -352,7 +352,7 @@ def linked_components(blobs: DataFrame, texts, features, linked, admit: Admit, l
     ``record`` may lack all but key and item; what it lacks tells nothing. With
     ``dense``, for pair filters that can't tell near misses from links, the pairs left
     over are compared group by group, those of large groups in blocks of matrix products."""
-    first = materialise(blobs.groupBy("bucket", "part").applyInArrow(_star_step(admit, record, dense), STARS), "stars")
+    first = materialise(blobs.groupBy("bucket", "part").applyInArrow(lean_group(_star_step(admit, record, dense)), STARS), "stars")
     pairs = materialise(first.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     need = materialise((ids.unionByName(first.filter("kind > 0").select(F.explode("xs").alias("id")).distinct()) if dense else ids).distinct(), "ids")
@@ -365,9 +365,9 @@ def linked_components(blobs: DataFrame, texts, features, linked, admit: Admit, l
     gone = [first, pairs, need, sure]
     if dense:
         own = dealt.select("bucket", F.col("x").alias("id")).distinct().join(some, "id").select(F.col("bucket").alias("own"), "id", "text")
-        more = materialise(dealt.select("bucket", "t", "x", "c").groupBy("bucket").cogroup(own.groupBy("own")).applyInArrow(_resolve_step(features, linked), "a long, b long"), "crossing")
+        more = materialise(dealt.select("bucket", "t", "x", "c").groupBy("bucket").cogroup(own.groupBy("own")).applyInArrow(lean_pair(_resolve_step(features, linked)), "a long, b long"), "crossing")
     else:
-        crossing_pairs = materialise(dealt.groupBy("bucket").applyInArrow(_cross_step(admit), "a long, b long").distinct(), "crossing")
+        crossing_pairs = materialise(dealt.groupBy("bucket").applyInArrow(lean_group(_cross_step(admit)), "a long, b long").distinct(), "crossing")
         need = materialise(crossing_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         again = fetched(texts, need)
         found = verify(crossing_pairs, again, features, linked)
