@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import discard, materialise
+from lading.llm.common import discard, lean, materialise
 
 
 def forest(pairs) -> list[tuple[int, int]]:
@@ -67,7 +67,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     of a link that isn't its component's smallest. Self-links, repeated links and
     links with a null end are ignored; no links give no rows."""
     edges = links.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") != F.col("lo")))
-    edges = materialise(edges.mapInArrow(_contract, "hi long, lo long"), "links")
+    edges = materialise(edges.mapInArrow(lean(_contract), "hi long, lo long"), "links")
     while not _settled(edges):
         step = materialise(_small_star(_large_star(edges)), "links")
         discard(edges)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import discard, materialise, others, q, slices, smallest_hashes
+from lading.llm.common import discard, lean, materialise, others, q, slices, smallest_hashes
 
 #: Hashed n-gram bins.
 BINS = 1 << 14
@@ -99,7 +99,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
             yield pa.record_batch([some.column(0), some.column(1), pa.array(packed, pa.binary())], names=["id", "lang", "bins"])
 
     kind = dict(rows.dtypes)["id"]
-    found = rows.mapInArrow(bins, f"id {kind}, lang string, bins binary").groupBy("id", "lang").agg(F.min("bins").alias("bins")).collect()  # a row for each that was chosen
+    found = rows.mapInArrow(lean(bins), f"id {kind}, lang string, bins binary").groupBy("id", "lang").agg(F.min("bins").alias("bins")).collect()  # a row for each that was chosen
     discard(chosen)
     if not found:
         return Kernel([], np.zeros((0, BINS), np.float32), np.zeros((0, 0), np.float32), longest)
@@ -140,7 +140,7 @@ def classify(docs: DataFrame, kernel: Kernel, text_col: str = "text") -> DataFra
     from pyspark.sql import types as T
 
     schema = T.StructType([*whole.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return whole.mapInArrow(label, schema)
+    return whole.mapInArrow(lean(label), schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import hot_join, materialise, mix, parts, q, row_shingles
+from lading.llm.common import hot_join, lean, materialise, mix, parts, q, row_shingles
 from lading.llm.similarity import BLOBS, RECORD, linked_components, packed
 
 #: Cells of each of the two rows of the frequency sketch (4 bytes each).
@@ -119,7 +119,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     a set in a task one emits its prefix; copies are linked by their 128-bit digest."""
     spark = docs.sparkSession
     rows = docs.select(q(id_col).cast("long").alias("id"), q(text_col).cast("string").alias("text"))
-    profile = materialise(rows.mapInArrow(partial(_profile, n=n), "id long, n long, d1 long, d2 long, slot int, blob binary"), "profile")
+    profile = materialise(rows.mapInArrow(lean(partial(_profile, n=n)), "id long, n long, d1 long, d2 long, slot int, blob binary"), "profile")
     sketch = np.zeros(len(_SEEDS) * CELLS, np.uint32)
     for x in profile.filter("slot is not null").select("slot", "blob").groupBy("slot").applyInArrow(_summed, "slot int, blob binary").collect():  # fixed size
         sketch[x["slot"] * SLICE : (x["slot"] + 1) * SLICE] = np.frombuffer(bytes(x["blob"]), np.uint32)
@@ -152,7 +152,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     # copies: same set, so linked whatever the threshold
     same = known.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1")
     copies = hot_join(known, materialise(same, "same"), ["d1", "d2", "n"], "k").filter("id <> a").select("a", F.col("id").alias("b"))
-    blobs = rows.mapInArrow(prefixes, BLOBS)
+    blobs = rows.mapInArrow(lean(prefixes), BLOBS)
     found = linked_components(blobs, rows, partial(_features, n=n), partial(_linked, num=num, den=den), partial(_admit, num=num, den=den), copies)
     out = known.join(found.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lading.llm.common import materialise, q
+from lading.llm.common import lean_group, materialise, q
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Pieces that are packed together.
@@ -112,7 +112,7 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, length: Co
         return pa.table([table.column("id"), table.column("piece"), table.column("start"), table.column("length"), pa.array(ids), pa.array(places), pa.array(caps[bins])], names=["id", "piece", "start", "length", "bin_id", "place", "capacity"])
 
     kind = dict(pieces.dtypes)["id"]
-    done = full.groupBy("shard").applyInArrow(packed, f"id {kind}, piece int, start long, length long, bin_id long, place long, capacity long")
+    done = full.groupBy("shard").applyInArrow(lean_group(packed), f"id {kind}, piece int, start long, length long, bin_id long, place long, capacity long")
     none = [F.lit(None).cast("long").alias(c) for c in ("bin_id", "place", "capacity")]
     out = done.unionByName(pieces.filter("length <= 0").select("id", "piece", "start", "length", *none))
     return out.withColumnRenamed("id", id_col)

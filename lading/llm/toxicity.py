@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lading.llm.common import discard, materialise, others, q, slices, smallest_hashes
+from lading.llm.common import discard, lean, materialise, others, q, slices, smallest_hashes
 
 #: Labelled documents of each label at most.
 SAMPLE = 2000
@@ -165,4 +165,4 @@ def score_toxicity(docs: DataFrame, model: Ordinal, flag: float = FLAG, text_col
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "severity", "p_toxic", "grade", "toxic"])
 
     more = [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
-    return whole.mapInArrow(scored, T.StructType([*whole.schema.fields, *more]))
+    return whole.mapInArrow(lean(scored), T.StructType([*whole.schema.fields, *more]))
