@@ -99,7 +99,7 @@ def key_of(name: str, policy: str) -> str:
     return plain if policy == "trusted" else unicodedata.normalize("NFC", plain).casefold()
 
 
-def extract(files: DataFrame, members: DataFrame, dest: str, policy: str = "strict", overwrite: str = "error", on_error: str = "continue", wanted: DataFrame | None = None, where=None, rename=None, **options) -> DataFrame:
+def extract(files: DataFrame, members: DataFrame, dest: str, policy: str = "strict", overwrite: str = "error", on_error: str = "continue", wanted: DataFrame | None = None, where=None, rename=None, progress=None, **options) -> DataFrame:
     """Extracts the archives of ``files`` (path, content) below ``dest``/archive name, a
     folder that all executors share, and returns a row for each member: status extracted,
     not_overwritten, superseded, blocked or failed, with path and fault.
@@ -107,7 +107,8 @@ def extract(files: DataFrame, members: DataFrame, dest: str, policy: str = "stri
     ``members`` is their listing. ``wanted`` (archive_id, member_id) and ``where`` select
     members; a hard link that is wanted brings its target's content along. ``rename``, a
     column, changes final names after the policy and is checked again; null skips a member.
-    An archive is one task; files are written beside their place and then moved, so that
+    ``progress``, an accumulator of a number, is added the bytes written so far while
+    tasks run. An archive is one task; files are written beside their place and then moved, so that
     a retried task ends in the same state. ``on_error='stop'`` ends an archive at its
     first failure."""
     rows = with_link_targets(planned(members, policy, overwrite, options.get("limits")))
@@ -128,7 +129,7 @@ def extract(files: DataFrame, members: DataFrame, dest: str, policy: str = "stri
         def rows():
             for batch in batches:
                 for path, data, todo in zip(*(c.to_pylist() for c in batch.columns)):
-                    yield from _write(path, data, todo, dest, overwrite, on_error, options)
+                    yield from _write(path, data, todo, dest, overwrite, on_error, options, progress)
 
         yield from _batched(rows(), schema)
 
@@ -161,7 +162,7 @@ def _free(path: str) -> str:
     return path
 
 
-def _write(archive: str, data: bytes, todo: list[dict], dest: str, overwrite: str, on_error: str, options: dict) -> Iterator[dict]:
+def _write(archive: str, data: bytes, todo: list[dict], dest: str, overwrite: str, on_error: str, options: dict, progress=None) -> Iterator[dict]:
     root = os.path.join(os.path.realpath(dest), os.path.basename(archive.rstrip("/")))
     os.makedirs(root, exist_ok=True)
     places: dict[int, str] = {}
@@ -192,6 +193,8 @@ def _write(archive: str, data: bytes, todo: list[dict], dest: str, overwrite: st
                 if row["chunk_index"] == 0:
                     handle = open(os.path.join(stage, str(k)), "wb")  # noqa: SIM115
                 handle.write(row["data"] or b"")
+                if progress is not None:
+                    progress.add(len(row["data"] or b""))
                 if row["last"]:
                     handle.close()
                     staged[k] = ArchiveError(row["error"]["message"], row["name"]) if row["error"] else os.path.join(stage, str(k))

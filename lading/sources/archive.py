@@ -43,7 +43,8 @@ def opened(path: str, src, options: dict) -> tuple[Archive, object]:
     if unknown := set(options) - _OPTIONS:
         raise UsageError(f"unknown options: {sorted(unknown)}")
     limits = options.get("limits") or Limits()
-    more = {"passwords": tuple(p.encode() if isinstance(p, str) else p for p in options.get("passwords", ())), "fallback_encoding": options.get("fallback_encoding", "cp437"), "strict_end": options.get("strict_end", False), "limits": limits}
+    given = options.get("passwords", ())  # a list, or a function of the path that gives one
+    more = {"passwords": tuple(p.encode() if isinstance(p, str) else p for p in (given(path) if callable(given) else given)), "fallback_encoding": options.get("fallback_encoding", "cp437"), "strict_end": options.get("strict_end", False), "limits": limits}
     if src is None:
         return Archive(path, "directory", **more), path
     if start := options.get("byte_offset", 0):

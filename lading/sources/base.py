@@ -47,6 +47,11 @@ class Archive:
     extra: dict[str, str] = field(default_factory=dict)
     diagnostics: list[dict] = field(default_factory=list)
 
+    def fits(self, password: bytes) -> bytes:
+        """``password``, which from now on is tried first."""
+        self.passwords = (password, *(p for p in self.passwords if p != password))
+        return password
+
     def note(self, code: str, message: str, member_id: int | None = None, severity: str = "warning", context: str | None = None) -> None:
         self.diagnostics.append({"archive_id": self.archive_id, "seq": len(self.diagnostics), "code": code, "severity": severity, "member_id": member_id, "message": message, "context": context})
 

@@ -1,18 +1,18 @@
 """One module for each container. A format lists members as rows and reads their content;
-``FORMATS`` maps a container's name to it."""
+``MODULES`` maps a container's name to it."""
 
 from __future__ import annotations
 
 import importlib
 from types import ModuleType
 
-MODULES = {"zip": "zip", "tar": "tar", "7z": "sevenzip", "rar": "rar", "iso": "iso", "raw_stream": "single", "directory": "directory"}
+_OWN = {"zip": "zip", "tar": "tar", "7z": "sevenzip", "rar": "rar", "iso": "iso", "raw_stream": "single", "directory": "directory"}
+MODULES = {container: f"{__name__}.{module}" for container, module in _OWN.items()}
 
 
 def handler(container: str) -> ModuleType:
     """The module of a container: ``listing(src, archive)`` yields member rows, ``content(src, archive, wanted)`` yields (member row, chunks)."""
-    name = MODULES[container]
-    return importlib.import_module(name if "." in name else f"lading.sources.formats.{name}")
+    return importlib.import_module(MODULES[container])
 
 
 def register_format(container: str, module: str) -> None:

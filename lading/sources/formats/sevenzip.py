@@ -372,7 +372,9 @@ def content(src, archive: Archive, wanted: Iterable[dict]) -> Iterator[tuple[dic
         for row in sorted(rows, key=lambda r: r["block_position"]):
             def chunks(row=row):
                 nonlocal file, at
-                file = file or codecs.DecodedFile(unpacked(src, folders[block], _tried(src, folders[block], archive.passwords)))
+                if file is None:
+                    password = _tried(src, folders[block], archive.passwords)
+                    file = codecs.DecodedFile(unpacked(src, folders[block], password and archive.fits(password)))
                 while at < row["block_position"]:
                     skip = sizes[base + at]
                     while skip:

@@ -187,9 +187,11 @@ def _plain(src, start: int, size: int, row: dict, archive: Archive) -> Iterator[
             raise Corrupt("WinZip AES strength", row["name"])
         for password in archive.passwords:
             try:
-                return aes.winzip(window(src, start, size), size, strength, password)
+                data = aes.winzip(window(src, start, size), size, strength, password)
             except Encrypted:
                 continue
+            archive.fits(password)
+            return data
         raise Encrypted("no password fits", row["name"])
     flags, dos, crc = (int(row["extra"][k]) for k in ("zip.flags", "zip.dos", "zip.crc"))
     want = (dos >> 8 if flags & 8 else crc >> 24) & 255
@@ -205,7 +207,7 @@ def _plain(src, start: int, size: int, row: dict, archive: Archive) -> Iterator[
         except (Corrupt, Truncated):
             continue
         if total == crc:
-            machine = ZipCrypto(password)
+            machine = ZipCrypto(archive.fits(password))
             src.seek(start)
             machine.decrypt(src.read(12))
             return (machine.decrypt(x) for x in window(src, start + 12, size - 12))
