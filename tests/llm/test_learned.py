@@ -246,9 +246,12 @@ def test_samples_stay_bounded_where_rows_repeat(spark):
     assert seen == [21]
     kernel = lang.train(df, sample=20)
     assert kernel.landmarks.shape[0] <= 24
-    from lading.llm.common import smallest_hashes
+    from lading.llm.common import place_of, smallest_hashes
 
     few = smallest_hashes(df.select("doc_id", "lang").distinct(), "doc_id", "lang", 7)
     got = sorted(r.doc_id for r in few.collect())
-    order = df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(7).collect()
+    order = df.select("doc_id").distinct().orderBy(place_of(F.col("doc_id"))).limit(7).collect()
     assert got == sorted(r.doc_id for r in order)
+    large = spark.range(20000).select("id", (F.col("id") % 2 * 0).alias("g"))
+    assert smallest_hashes(large, "id", "g", 50).count() == 50
+    assert large.filter(place_of(F.col("id")) * 20000 <= 400).count() < 600  # what the window reads
