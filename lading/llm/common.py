@@ -127,7 +127,7 @@ def word_array(col):
 
 
 #: Of a group's rows so many times as many as are wanted go to its window.
-SPARE = 8
+SPARE = 4
 
 
 def place_of(key):
