@@ -167,6 +167,14 @@ def test_a_secret_at_the_end_of_a_long_token_is_seen(monkeypatch, spark):
     assert [(f.kind, f.start, f.end) for f in got[0].found] == [("net", 0, len(text))]
 
 
+def test_windows_of_a_text_are_encoded_alike():
+    text = "ä key = " + "Ab1" * 60 + " end 😀x"
+    spans = [(0, 1), (2, 5), (8, 188), (188, 192), (193, 195), (0, len(text))]
+    windows = [w for s, e in spans for w in secrets.windows_of(s, e)]
+    assert (secrets.encode_all(text, windows) == np.stack([w for s, e in spans for w in secrets.encodings(text, s, e)])).all()
+    assert secrets.encode_all(text, []).shape == (0, secrets.WIDTH)
+
+
 def test_threshold_keeps_recall_below_a_half():
     rng = np.random.default_rng(1)
     x = np.stack([secrets.encode("".join(rng.choice(list("ab1"), 20)), 0, 20) for _ in range(1000)])
