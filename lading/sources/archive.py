@@ -357,14 +357,6 @@ class _Reader(DataSourceReader):
             with fs.open_input_file(where) as f:
                 self.options["passwords"] = f.read().decode("utf-8").splitlines()
 
-    def pushFilters(self, filters):
-        """Names that a content or member scan is restricted to are known before anything is decoded."""
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("name",):
-                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.names = own if self.names is None else self.names & own
-            yield f
-
     def partitions(self):
         found = [p for pattern in self.path.split(",") for p in _found(pattern, self.view == "tree")]
         if not self.volumes:
@@ -402,6 +394,16 @@ class _Reader(DataSourceReader):
                 f.close()
 
 
+class _NamedReader(_Reader):
+    def pushFilters(self, filters):
+        """Names that a content or member scan is restricted to are known before anything is decoded."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("name",):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.names = own if self.names is None else self.names & own
+            yield f
+
+
 class ArchiveSource(DataSource):
     """``spark.read.format('archive').option('view', ...).load(path)``, views archives,
     members (default), content, diagnostics, formats (by the files' heads alone) and tree
@@ -411,6 +413,8 @@ class ArchiveSource(DataSource):
     where it is by the executor, so its size isn't bounded by
     memory. ``options`` is JSON of the functions' options; passwords come from ``passwordFile``."""
 
+    takes = _NamedReader
+
     @classmethod
     def name(cls) -> str:
         return "archive"
@@ -423,12 +427,14 @@ class ArchiveSource(DataSource):
         return known[view]
 
     def reader(self, schema):
-        return _Reader(dict(self.options))
+        return self.takes(dict(self.options))
 
 
 class StreamSource(DataSource):
     """``format('archive_stream')``: decoded chunks of bare compressed files."""
 
+    takes = _NamedReader
+
     @classmethod
     def name(cls) -> str:
         return "archive_stream"
@@ -437,11 +443,28 @@ class StreamSource(DataSource):
         return S.CONTENT
 
     def reader(self, schema):
-        return _Reader(dict(self.options) | {"view": "content"})
+        return self.takes(dict(self.options) | {"view": "content"})
+
+
+class _WholeArchiveSource(ArchiveSource):
+    takes = _Reader
+
+
+class _WholeStreamSource(StreamSource):
+    takes = _Reader
+
+
+_PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ArchiveSource)
-    spark.dataSource.register(StreamSource)
+    """Both data sources, for ``spark``. Spark refuses readers that take filters unless
+    ``spark.sql.python.filterPushdown.enabled`` is set: it is set where the session doesn't
+    say; where it was turned off, the sources read all names and Spark filters them."""
+    if spark.conf.get(_PUSHDOWN, None) is None:
+        spark.conf.set(_PUSHDOWN, "true")
+    pushed = spark.conf.get(_PUSHDOWN) == "true"
+    spark.dataSource.register(ArchiveSource if pushed else _WholeArchiveSource)
+    spark.dataSource.register(StreamSource if pushed else _WholeStreamSource)
 
 

@@ -106,6 +106,28 @@ def test_data_source_paths_views_and_volumes(spark, tmp_path):
     assert source(f"{tmp_path}/none*").collect() == []
 
 
+@pytest.mark.parametrize("setting", [None, "false", "true"])
+def test_data_sources_with_and_without_pushed_filters(spark, tmp_path, setting):
+    key = "spark.sql.python.filterPushdown.enabled"
+    (tmp_path / "w.7z").write_bytes(BUILD["7z-lzma2"]([("n/a", b"x" * 500), ("n/b", b"y" * 300)]))
+    (tmp_path / "one.gz").write_bytes(COMPRESS["gz"](b"z" * 700))
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key) if setting is None else spark.conf.set(key, setting)
+        register(spark)
+        assert spark.conf.get(key) == (setting or "true")
+        m = spark.read.format("archive").load(f"{tmp_path}/w.7z")
+        assert sorted(r.name for r in m.collect()) == ["n/a", "n/b"]
+        assert [(r.name, r.size) for r in m.filter("name in ('n/b', 'n/c')").collect()] == [("n/b", 300)]
+        c = spark.read.format("archive").option("view", "content").load(f"{tmp_path}/w.7z").filter("name = 'n/a'")
+        assert [bytes(r.data) for r in c.collect()] == [b"x" * 500]
+        z = spark.read.format("archive_stream").load(f"{tmp_path}/one.gz")
+        assert b"".join(bytes(r.data) for r in z.collect()) == b"z" * 700
+    finally:
+        spark.conf.set(key, before)
+        register(spark)
+
+
 def test_checksums_combine_over_any_lengths():
     import zlib
 
