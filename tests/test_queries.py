@@ -26,3 +26,12 @@ def test_whole_texts_without_prefixes(spark):
     assert QUERIES["e27_escaped_names"](spark, FOLDER).filter("length(shown) > 400").count() > 0
     probed = sum(r["count"] for r in QUERIES["d03_content_probes"](spark, FOLDER).collect())
     assert probed == 2 * docs.filter("text is not null").count()
+
+
+def test_archives_cut_at_a_members_end_and_in_its_padding(spark, tmp_path):
+    """A tar's halves: of archive 0 whole blocks of two members, of 1 all data but not all
+    of the last block of its second member, of 2 part of a member's data."""
+    sizes = {0: 100, 1: 100, 200: 100, 201: 100, 202: 600, 400: 100, 401: 3000, 402: 700}
+    docs = spark.createDataFrame([(k, "x" * n, "en", "s", n) for k, n in sizes.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert same(QUERIES["a06_members_report"](spark, str(tmp_path)), ORACLES["a06_members_report"], str(tmp_path)) == 3
