@@ -88,6 +88,24 @@ def test_a_pipe_can_be_looked_into():
         small.seek(0)
 
 
+def test_a_wrong_password_that_passes_the_check_bytes_of_winzip_aes():
+    """The salt of packed members is a hash of their name: the check bytes of the second one let ``first`` pass."""
+    rows = [("p/000000001", b"one" * 50), ("p/000011090", b"two" * 50)]
+    data = BUILD["zip-aes"](rows)
+    read = lambda data, **o: [(r["name"], r["data"], r["error"] and r["error"]["code"]) for r in read_content("x.zip", io.BytesIO(data), o)]
+    assert read(data, passwords=["first", "second"]) == [(n, b"", "encryption") for n, _ in rows]
+    assert read(data, passwords=["first"]) == [(n, b"", "encryption") for n, _ in rows]
+    assert read(data, passwords=["first", PASSWORD]) == [(n, d, None) for n, d in rows]
+    # a damaged member under the right password is damaged, alone or with others
+    at = data.index(b"PK\3\4", 4)
+    hurt = data[: at - 1] + bytes([data[at - 1] ^ 1]) + data[at:]
+    assert [e for _, _, e in read(hurt, passwords=["first", PASSWORD])] == ["corruption", None]
+    alone = BUILD["zip-aes"](rows[:1])
+    at = alone.index(b"PK\1\2")
+    hurt = alone[: at - 1] + bytes([alone[at - 1] ^ 1]) + alone[at:]
+    assert [e for _, _, e in read(hurt, passwords=["no", PASSWORD])] == ["corruption"]
+
+
 def test_wrong_passwords_of_solid_7z_folders_without_a_checksum():
     """Under one in some hundred wrong passwords, such as w72, the LZMA2 data ends at once without a fault."""
     rows = [("a", b"one" * 50), ("b", b"two" * 50)]
