@@ -201,6 +201,40 @@ def test_planted_secrets_that_no_base_pattern_matches(spark):
     assert all(p is not None for i in range(400) for k, p in got[i] if k == "assign")
 
 
+def test_all_windows_train_the_network(spark, monkeypatch):
+    seen = []
+    fit = secrets.fit
+    monkeypatch.setattr(secrets, "fit", lambda x, y, **more: seen.append((x, y)) or fit(x, y, **more | {"rounds": 1}))
+    df = spark.range(2500).selectExpr("id AS doc_id", "concat('the key AKIA', upper(substr(sha2(string(id), 256), 1, 20)), ' is used by ', substr(md5(string(id)), 1, 6), '@example.org') AS text")
+    secrets.train(df)
+    x, y = seen[0]
+    assert 2500 <= (y == 1).sum() == len(np.unique(x[y == 1], axis=0))
+
+
+def test_shards_of_windows_train_one_network(spark, monkeypatch):
+    """More windows than the driver fits: every shard's weights go into the network, and the threshold holds over all."""
+    monkeypatch.setattr(secrets, "SHARD", 1000)
+    rng = np.random.default_rng(4)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    prose = lambda: " ".join(pick("etaoinshrdlu", int(rng.integers(3, 12))) for _ in range(12))
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [(i, f"{prose()} password = {pick(mixed, 24)} {prose()} see http://example.org/{pick('abcde', 8)} on 2024-01-{i % 28 + 1:02d} id a{i}") for i in range(1500)]
+    rows += [(5000 + i, f"{prose()} ghp_{pick(mixed, 36)} {prose()}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    fit_all = secrets.fit_all
+    monkeypatch.setattr(secrets, "fit_all", lambda *a: seen.append([(r.y, bytes(r.x), r.fold) for r in a[0].collect()]) or fit_all(*a))
+    net = secrets.train(df)
+    assert len(seen) == 1 and len(seen[0]) > 3000
+    x = np.stack([np.frombuffer(w, np.uint8) for y, w, fold in seen[0] if y < 0 and fold in (2, 3)])
+    p = np.sort(net.probability(x))[::-1]
+    assert abs(net.threshold - p[int(np.ceil(secrets.RECALL * len(p))) - 1]) < 1e-5
+    got = {r.doc_id: [f for f in r.found if f.kind == "net"] for r in secrets.findings(df, net).collect()}
+    caught, wrong = sum(bool(got[5000 + i]) for i in range(50)), sum(bool(got[i]) for i in range(1500))
+    assert caught >= 38 and wrong <= 30, (caught, wrong)
+
+
+
 def test_kernel_ridge_against_a_plain_one():
     """With all training rows as landmarks, the classifier is kernel ridge on the presence
     kernel, one against the rest: a plain solver over sets of bins gives its winners."""
