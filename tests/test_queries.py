@@ -35,3 +35,16 @@ def test_archives_cut_at_a_members_end_and_in_its_padding(spark, tmp_path):
     docs = spark.createDataFrame([(k, "x" * n, "en", "s", n) for k, n in sizes.items()], "doc_id long, text string, lang string, source string, n_chars long")
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert same(QUERIES["a06_members_report"](spark, str(tmp_path)), ORACLES["a06_members_report"], str(tmp_path)) == 3
+
+
+@pytest.mark.parametrize("setting", [None, "false"])
+@pytest.mark.parametrize("name", ["a01_open_archive", "a16_closed_archives", "b03_volumes_in_place", "b15_directory_members", "g06_symlink_writes", "g11_metadata_applied", "j12_pushed_names"])
+def test_against_sql_in_sessions_that_keep_filters_from_python_sources(spark, name, setting):
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key) if setting is None else spark.conf.set(key, setting)
+        same(QUERIES[name](spark, FOLDER), ORACLES[name], FOLDER)
+        assert spark.conf.get(key) == (setting or "true")
+    finally:
+        spark.conf.set(key, before)
