@@ -131,8 +131,17 @@ def _scramble(h: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def _chunk_shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes (32 bits) of the ``k``-character shingles of each line, and their lines in order."""
+def _rehash(h: np.ndarray, seed: int) -> np.ndarray:
+    """The same, in fewer steps, of hashes that are scrambled already."""
+    x = h ^ np.uint32((seed + 1) * 0x9E3779B1 & 0xFFFFFFFF)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0xC2B2AE35)
+    return x
+
+
+def _chunk_shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (32 bits) of the ``k``-character shingles of each line, sorted by line, their lines, and how many are distinct in each."""
     padded = [x.decode("utf-8", "replace").ljust(k, "\0") for x in lines]
     lengths = np.array([len(x) for x in padded])
     c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -141,14 +150,20 @@ def _chunk_shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]
         step = min(width, k - width)
         h = h[:-step] * np.uint32(r) + h[step:]
         width, r = width + step, r * r % 2**32
-    owner = np.repeat(np.arange(len(lines)), lengths)[: len(h)]
-    whole = np.ones(len(h), bool)  # shingles that run over a line's end don't count
-    over = (np.cumsum(lengths)[:, None] - np.arange(1, k)).ravel()
-    whole[over[over < len(h)]] = False
-    both = owner[whole].astype(np.uint64) << np.uint64(32) | _scramble(h[whole], 0)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    for over in range(1, k):  # instead of the shingles that run over a line's end its last one stands again
+        h[ends[:-1] - over] = h[ends[:-1] - k]
+    lengths[-1] -= k - 1
+    both = np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(32), lengths)
+    both |= _scramble(h, 0)
     both.sort()
-    both = both[np.append(True, both[1:] != both[:-1])]
-    return both.astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
+    new = np.ones(len(both), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    distinct = np.add.reduceat(new, starts, dtype=np.int64)
+    h = both.astype(np.uint32)
+    both >>= np.uint64(32)
+    return h, both.view(np.int64), distinct
 
 
 def signatures(lines: list[bytes], k: int, bins: int, sizes: np.ndarray | None = None) -> np.ndarray:
@@ -169,35 +184,35 @@ def signatures(lines: list[bytes], k: int, bins: int, sizes: np.ndarray | None =
             j += 1
         slots = np.full((j - i) * bins, _NONE, np.uint32)
         here = slots.reshape(j - i, bins)
-        h, owner = _chunk_shingles([lines[n] for n in order[i:j]], k)
+        h, owner, distinct = _chunk_shingles([lines[n] for n in order[i:j]], k)
         if sizes is not None:
-            sizes[order[i:j]] = np.bincount(owner, minlength=j - i)
+            sizes[order[i:j]] = distinct
         base, wanting = owner * bins, np.arange(j - i)
+        count = np.bincount(owner, minlength=j - i)  # of the lines in ``wanting``
         for n in range(_ROUNDS):
-            x = _scramble(h, n + 1)
-            place = base + ((x >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16))
-            x *= np.uint32(0x2C1B3C6D)  # within a bin the first bits are alike
-            x ^= x >> np.uint32(12)
-            x *= np.uint32(0x297A2D39)
-            np.minimum.at(slots, place, np.uint32(n << 27) | x >> np.uint32(5))
-            wanting = wanting[here[wanting].max(1) == _NONE]
-            if not len(wanting):
-                break
-            left = np.zeros(j - i, bool)
-            left[wanting] = True
-            more = np.flatnonzero(left[owner])
-            if len(more) < len(h):
-                h, owner, base = h[more], owner[more], base[more]
+            x = _rehash(h, n) * np.uint64(bins)  # the bin, and the place in it as a fraction
+            value = x.astype(np.uint32)
+            value >>= np.uint32(5)
+            value |= np.uint32(n << 27)
+            x >>= np.uint64(32)
+            place = x.view(np.int64)
+            place += base
+            np.minimum.at(slots, place, value)
+            left = here[wanting].max(1) == _NONE
+            if not left.all():
+                more = np.repeat(left, count)
+                h, base, count, wanting = h[more], base[more], count[left], wanting[left]
+                if not len(wanting):
+                    break
         some, at = np.nonzero(here[wanting] == _NONE)
-        line = wanting[some]
-        first = np.searchsorted(owner, np.arange(j - i + 1))
+        line, begins = wanting[some], np.cumsum(count) - count
         for s in range(0, len(line), 50_000):
-            some, bin_ = line[s : s + 50_000], at[s : s + 50_000]
-            count = np.diff(first)[some]
-            begin = np.cumsum(count) - count
-            each = np.repeat(first[some] - begin, count) + np.arange(count.sum())
-            value = _scramble(h[each] ^ np.repeat(bin_.astype(np.uint32), count) * np.uint32(0x9E3779B1), _ROUNDS + 1)
-            here[some, bin_] = np.uint32(_ROUNDS << 27) | np.minimum.reduceat(value, begin) >> np.uint32(5)
+            bin_ = at[s : s + 50_000]
+            each_count = count[some[s : s + 50_000]]
+            begin = np.cumsum(each_count) - each_count
+            each = np.repeat(begins[some[s : s + 50_000]] - begin, each_count) + np.arange(each_count.sum())
+            value = _scramble(h[each] ^ np.repeat(bin_.astype(np.uint32), each_count) * np.uint32(0x9E3779B1), _ROUNDS + 1)
+            here[line[s : s + 50_000], bin_] = np.uint32(_ROUNDS << 27) | np.minimum.reduceat(value, begin) >> np.uint32(5)
         out[order[i:j]] = here
         i = j
     return out
@@ -213,10 +228,14 @@ def arranged(bands: int, rows: int) -> np.ndarray:
 def records(lines: list[bytes], digests: list[int], k: int, bands: int, rows: int) -> np.ndarray:
     """A record for each line and band."""
     sizes = np.zeros(len(lines), np.int64)
-    s = signatures(lines, k, (bands + 1) // 2 * rows, sizes).astype(np.uint64)
+    s = signatures(lines, k, (bands + 1) // 2 * rows, sizes)
+    own = arranged(bands, rows)
+    own = np.concatenate([own, own[: rows % 2]]) if rows % 2 else own
+    two = s.take(own.T.ravel(), axis=1).view(np.uint64).reshape(len(lines), bands, len(own) // 2)  # two minima at once
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(lines), bands)).copy()
-    for own in arranged(bands, rows):
-        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ s[:, own]
+    for n in range(two.shape[2]):
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key ^= two[:, :, n]
     r = np.empty(key.size, _LINE)
     r["t"], r["d"], r["n"] = mix(key).ravel(), np.repeat(digests, bands), np.repeat(np.minimum(sizes, 65535), bands)
     return r

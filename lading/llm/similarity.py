@@ -61,24 +61,25 @@ def packed(found: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         r = np.concatenate(held)
-        at = (r["t"] % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(at.astype(np.uint64) << np.uint64(32) | r["t"] >> np.uint64(32))
-        r, at = r[order], at[order]
+        t = np.ascontiguousarray(r["t"])
+        at = (t % np.uint64(buckets)).astype(np.int32)
         out = np.empty(len(r), wire(r.dtype))
-        out["t"] = r["t"] >> np.uint64(32)
+        out["t"] = t >> np.uint64(32)
         for f in r.dtype.names[1:]:
             out[f] = r[f]
         keep, rows = np.ones(len(r), bool), []
-        starts = np.flatnonzero(np.append(True, (out["t"][1:] != out["t"][:-1]) | (at[1:] != at[:-1]))) if len(r) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(r)))
-        for s, n in zip(starts[sizes >= RUN].tolist(), sizes[sizes >= RUN].tolist()):
-            run = out[s : s + n]
-            keep[s : s + n] = False
-            keep[s + _leading(run)] = True
-            rows.append((int(at[s]), 1 + (int(run["d"].sum(dtype=np.int64)) & (2**62 - 1)), run.tobytes()))
-        out, at = out[keep], at[keep]
+        for places in _runs(t, out["t"], at):
+            run = out[places]
+            keep[places] = False
+            keep[places[_leading(run)]] = True
+            rows.append((int(at[places[0]]), 1 + (int(run["d"].sum(dtype=np.int64)) & (2**62 - 1)), run.tobytes()))
+        if not keep.all():
+            out, at = out[keep], at[keep]
+        order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")  # short numbers are sorted by digits
+        at = at[order]
+        whole = out.view(f"V{out.itemsize}").take(order).tobytes()
         first = _groups(at)
-        rows += [(int(at[i]), 0, x.tobytes()) for i, x in zip(first, np.split(out, first[1:]))] if len(out) else []
+        rows += [(int(at[i]), 0, whole[i * out.itemsize : j * out.itemsize]) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(at)])]
         bucket, part, blob = zip(*rows) if rows else ((), (), ())
         return pa.record_batch([pa.array(bucket, pa.int32()), pa.array(part, pa.int64()), pa.array(blob, pa.binary())], names=["bucket", "part", "blob"])
 
@@ -94,6 +95,20 @@ def packed(found: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch
         yield flush(held)
 
 
+def _runs(t: np.ndarray, own: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the records of each key (bucket ``at``, rest ``own``) that has ``RUN`` or more; only keys whose first 16 bits as many records share are sorted."""
+    top = (t >> np.uint64(48)).astype(np.int64)
+    full = np.bincount(top, minlength=1 << 16) >= RUN
+    some = np.flatnonzero(full[top]) if full.any() else np.zeros(0, np.int64)
+    key = at[some].astype(np.uint64) << np.uint64(32) | own[some]
+    order = np.argsort(key, kind="stable")
+    some, key = some[order], key[order]
+    starts = _groups(key)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+        if e - s >= RUN:
+            yield some[s:e]
+
+
 def _groups(t: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values."""
     return np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)

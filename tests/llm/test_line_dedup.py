@@ -169,3 +169,39 @@ def test_columns_named_like_the_operators_own(spark):
     out = line_dedup(docs)
     assert out.columns == ["doc_id", "text", "__gone", "own", "split", "n_lines", "n_dropped"]
     assert sorted(map(tuple, out.collect())) == [(1, "a line of words\nx", "p", 5, 6, 2, 0), (2, "", "q", 7, 8, 1, 1)]
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 8])
+def test_sizes_count_each_lines_own_distinct_shingles(k):
+    lines = ["abababab", "a", "", "the end of one line", "line and the beginning of another", "é𝄞" * 9, "xxxxxxxxxxxx", "b"]
+    sizes = np.zeros(len(lines), np.int64)
+    signatures([x.encode() for x in lines], k, 12, sizes)
+    padded = [x.ljust(k, "\0") for x in lines]
+    assert sizes.tolist() == [len({x[i : i + k] for i in range(len(x) - k + 1)}) for x in padded]
+    assert records([], [], k, BANDS, ROWS).shape == (0,)
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 70_000])
+def test_packs_hold_every_record_and_only_long_runs_stand_apart(buckets):
+    from lading.llm.line_dedup import _LINE
+    from lading.llm.similarity import RUN, _runs, packed, wire
+
+    rng = np.random.default_rng(0)
+    r = np.empty(40_000, _LINE)
+    r["t"], r["d"], r["n"] = rng.integers(0, 2**63, len(r), dtype=np.uint64), np.arange(len(r)), 5
+    hot, like = 3 << 48, (3 << 48) + (1 << 33)  # two keys that begin alike, one with a long run
+    r["t"][: RUN + 9], r["t"][RUN + 9 : 2 * RUN] = hot, like
+    r = r[rng.permutation(len(r))]
+    at = (r["t"] % np.uint64(buckets)).astype(np.int32)
+    runs = list(_runs(r["t"].copy(), r["t"] >> np.uint64(32), at))
+    assert [sorted(r["d"][x].tolist()) for x in runs] == [list(range(RUN + 9))]
+    rows = [x for b in packed(iter([r]), buckets) for x in b.to_pylist()]
+    apart = [np.frombuffer(x["blob"], wire(_LINE)) for x in rows if x["part"]]
+    assert len(apart) == 1 and sorted(apart[0]["d"].tolist()) == list(range(RUN + 9))
+    rest = {}
+    for x in rows:
+        if not x["part"]:
+            rest |= {d: (x["bucket"], t) for t, d in zip(*(np.frombuffer(x["blob"], wire(_LINE))[f].tolist() for f in "td"))}
+    want = {d: (t % buckets, t >> 32) for t, d in zip(r["t"].tolist(), r["d"].tolist())}
+    assert all(want[d] == v for d, v in rest.items()) and 0 in rest
+    assert len(want) - len(rest) == RUN + 9 - 2
