@@ -42,7 +42,7 @@ def opened(path: str, src, options: dict) -> tuple[Archive, object]:
     """The archive at ``path`` and the file to read it from."""
     if unknown := set(options) - _OPTIONS:
         raise UsageError(f"unknown options: {sorted(unknown)}")
-    limits = options.get("limits") or Limits()
+    limits = options.get("limits") or (Limits(members=None, metadata=None) if src is None else Limits())  # a directory's listing holds no members
     given = options.get("passwords", ())  # a list, or a function of the path that gives one
     more = {"passwords": tuple(p.encode() if isinstance(p, str) else p for p in (given(path) if callable(given) else given)), "fallback_encoding": options.get("fallback_encoding", "cp437"), "strict_end": options.get("strict_end", False), "limits": limits}
     if src is None:

@@ -43,8 +43,8 @@ def listing(root: str, archive: Archive) -> Iterator[dict]:
         elif kind == "symlink":
             target = text_of(os.fsencode(os.readlink(os.path.join(root, path))))[0]
         name, lossy = text_of(raw)
-        if kind == "file":
-            seen.setdefault(same, name)
+        if kind == "file" and status.st_nlink > 1:
+            seen[same] = name
         yield member(
             archive, number, type=kind, name=tidy(name, kind), name_lossy=lossy, raw_name=raw, size=status.st_size if kind == "file" else None, compressed_size=status.st_size if kind == "file" else None,
             modified=utc(status.st_mtime_ns / 1e9), accessed=utc(status.st_atime_ns / 1e9), mode=stat.S_IMODE(mode), uid=status.st_uid, gid=status.st_gid, link_target=target, create_system="unix",

@@ -1,15 +1,17 @@
 """Sources: files joined, streams that can't seek, paths of any file system, packed fixtures of every kind."""
 
 import io
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lading.errors import UsageError
 from lading.functions.digests import crc32_combine
 from lading.plans.pack import _7z, BUILD, COMPRESS, PASSWORD
 from lading.sources.archive import list_members, read_content, register
-from lading.sources.base import Joined, Peekable
+from lading.sources.base import Joined, Limits, Peekable
 from lading.sources.codecs import STREAMS
 from lading.sources.volumes import volume_place
 
@@ -165,3 +167,25 @@ def test_checksums_combine_over_any_lengths():
     for n in (0, 1, 7, 8 << 20):
         a, b = bytes(rng.randrange(256) for _ in range(50)), bytes(min(n, 100000))
         assert crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def _deep(root, names, make):
+    """Below ``root`` a folder whose path alone is so long that some thousand names in it cross the metadata limit of archives."""
+    folder = os.path.join(root, *["é" * 120] * 14)
+    os.makedirs(folder)
+    for name in names:
+        make(os.path.join(folder, name))
+    return "é" * 120 + ("/" + "é" * 120) * 13 + "/"
+
+
+def test_a_directory_is_listed_whole_beyond_the_limits_of_archives(spark, tmp_path):
+    register(spark)
+    names = [f"{k:05d}" for k in range(7500)]
+    folder = _deep(tmp_path, names, lambda p: open(p, "wb").close())
+    tree = spark.read.format("archive").option("view", "tree").load(str(tmp_path))
+    rows = tree.select("type", F.element_at(F.split("name", "/"), -1).alias("end"), "size", F.length("name").alias("n")).collect()
+    assert sorted(r.end for r in rows if r.type == "file") == names and {(r.size, r.n) for r in rows if r.type == "file"} == {(0, len(folder) + 5)}
+    assert sum(r.type == "directory" for r in rows) == 14
+    # limits that are given hold
+    state: dict = {}
+    assert len(list(list_members(str(tmp_path), None, {"limits": Limits(members=9)}, state))) == 9 and state["error"].code == "resource_limit"
