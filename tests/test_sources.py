@@ -189,3 +189,18 @@ def test_a_directory_is_listed_whole_beyond_the_limits_of_archives(spark, tmp_pa
     # limits that are given hold
     state: dict = {}
     assert len(list(list_members(str(tmp_path), None, {"limits": Limits(members=9)}, state))) == 9 and state["error"].code == "resource_limit"
+
+
+def test_links_of_a_directory_beyond_the_limits_of_archives(spark, tmp_path):
+    """Files, then a hard and a symbolic link to each, in one folder."""
+    register(spark)
+
+    def make(path):
+        open(path, "wb").close() if path.endswith("f") else os.link(path[:-1] + "f", path) if path.endswith("h") else os.symlink("../" + path[-5:-1] + "f", path)
+
+    folder = _deep(tmp_path, [f"{k:04d}{end}" for k in range(2500) for end in "fhs"], make)
+    tree = spark.read.format("archive").option("view", "tree").load(str(tmp_path)).filter("type <> 'directory'")
+    rows = {r.name.removeprefix(folder): (r.type, r.link_target) for r in tree.select("name", "type", "link_target").collect()}
+    assert len(rows) == 7500
+    for k in range(2500):
+        assert rows[f"{k:04d}f"] == ("file", None) and rows[f"{k:04d}h"] == ("hardlink", f"{folder}{k:04d}f") and rows[f"{k:04d}s"] == ("symlink", f"../{k:04d}f")
