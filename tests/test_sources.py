@@ -204,3 +204,17 @@ def test_links_of_a_directory_beyond_the_limits_of_archives(spark, tmp_path):
     assert len(rows) == 7500
     for k in range(2500):
         assert rows[f"{k:04d}f"] == ("file", None) and rows[f"{k:04d}h"] == ("hardlink", f"{folder}{k:04d}f") and rows[f"{k:04d}s"] == ("symlink", f"../{k:04d}f")
+
+
+def test_modes_and_times_of_a_directory_beyond_the_limits_of_archives(spark, tmp_path):
+    register(spark)
+
+    def make(path):
+        open(path, "wb").close()
+        os.chmod(path, 0o600 + int(path[-1]))
+        os.utime(path, (0, 1_577_836_800 + int(path[-5:])))
+
+    _deep(tmp_path, [f"{k:05d}" for k in range(7500)], make)
+    tree = spark.read.format("archive").option("view", "tree").load(str(tmp_path)).filter("type = 'file'")
+    rows = tree.select(F.substring("name", -5, 5).cast("int").alias("k"), "mode", F.col("modified.utc").cast("long").alias("at")).collect()
+    assert sorted((r.k, r.mode, r.at) for r in rows) == [(k, 0o600 + k % 10, 1_577_836_800 + k) for k in range(7500)]
