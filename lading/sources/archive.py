@@ -7,7 +7,7 @@ import fnmatch
 import io
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -46,6 +46,8 @@ def opened(path: str, src, options: dict) -> tuple[Archive, object]:
     given = options.get("passwords", ())  # a list, or a function of the path that gives one
     more = {"passwords": tuple(p.encode() if isinstance(p, str) else p for p in (given(path) if callable(given) else given)), "fallback_encoding": options.get("fallback_encoding", "cp437"), "strict_end": options.get("strict_end", False), "limits": limits}
     if src is None:
+        if not os.path.isdir(path):
+            raise DetectionError("not a directory")
         return Archive(path, "directory", **more), path
     if start := options.get("byte_offset", 0):
         src = _Part(src, start)
@@ -82,11 +84,12 @@ class _Part(io.RawIOBase):
 
 
 def list_members(path: str, src, options: dict, state: dict | None = None) -> Iterator[dict]:
-    """Member rows up to a fault, which goes to ``state['error']``; the archive to ``state['archive']``."""
-    state = {} if state is None else state
+    """Member rows up to a fault, which goes to ``state['error']``, the archive to
+    ``state['archive']``; without a ``state`` that takes the fault, it is raised after them."""
     try:
         archive, src = opened(path, src, options)
-        state["archive"] = archive
+        if state is not None:
+            state["archive"] = archive
         module = handler(archive.container)
         for row in limited(guarded(module.listing(src, archive)), archive.limits):
             if row["type"] == "symlink" and row.get("link_target") is None and hasattr(module, "link_target"):
@@ -98,6 +101,8 @@ def list_members(path: str, src, options: dict, state: dict | None = None) -> It
                 src.seek(where)
             yield row
     except ArchiveError as e:
+        if state is None:
+            raise type(e)(f"incomplete listing: {path}: {e}", e.member_name) from e
         state["error"] = e
 
 
@@ -221,9 +226,18 @@ def archives(table: DataFrame, **options) -> DataFrame:
     return _mapped(table.select("path", "content"), lambda p, c: [archive_row(p, io.BytesIO(c or b""), options)], S.ARCHIVES, _ARCHIVES)
 
 
-def members(table: DataFrame, **options) -> DataFrame:
-    """A row for each member, in archive order by ``member_id``; of a damaged archive, those before the fault."""
-    return _mapped(table.select("path", "content"), lambda p, c: list_members(p, io.BytesIO(c or b""), options), S.MEMBERS, _MEMBERS)
+def _taking(faults: str) -> Callable[[], dict | None]:
+    """What makes the state of a listing that keeps the members before a fault, or raises it."""
+    if faults not in ("keep", "raise"):
+        raise UsageError(f"unknown choice of faults {faults}")
+    return dict if faults == "keep" else lambda: None
+
+
+def members(table: DataFrame, faults: str = "keep", **options) -> DataFrame:
+    """A row for each member, in archive order by ``member_id``; of a damaged archive, those before
+    the fault, which stands in ``archives``. With ``faults='raise'`` an action on them fails at a fault."""
+    state = _taking(faults)
+    return _mapped(table.select("path", "content"), lambda p, c: list_members(p, io.BytesIO(c or b""), options, state()), S.MEMBERS, _MEMBERS)
 
 
 def content(table: DataFrame, wanted: DataFrame | None = None, names: Iterable[str] | None = None, **options) -> DataFrame:
@@ -351,7 +365,10 @@ class _Reader(DataSourceReader):
         self.view, self.names = options.get("view", "members"), None
         self.path = options.get("path", "")
         self.volumes = options.get("volumes", "false").lower() == "true"
+        self.state = _taking(options.get("faults", "raise"))
         self.options = json.loads(options.get("options", "{}"))
+        if "limits" in self.options:
+            self.options["limits"] = Limits(**self.options["limits"])
         if secret := options.get("passwordfile"):
             fs, where = _system(secret)
             with fs.open_input_file(where) as f:
@@ -382,7 +399,7 @@ class _Reader(DataSourceReader):
             if self.view == "archives":
                 yield from _batched([archive_row(path, src, self.options)], _ARCHIVES)
             elif self.view in ("members", "tree"):
-                yield from _batched((r for r in list_members(path, src, self.options) if self.names is None or r["name"] in self.names), _MEMBERS)
+                yield from _batched((r for r in list_members(path, src, self.options, self.state()) if self.names is None or r["name"] in self.names), _MEMBERS)
             elif self.view == "diagnostics":
                 yield from _batched(_notes(path, src, self.options), _DIAGNOSTICS)
             elif self.view == "formats":
@@ -411,7 +428,8 @@ class ArchiveSource(DataSource):
     file system that pyarrow opens (local, ``s3://``, ``gs://``, ``hdfs://``). A
     partition is a file, or with the option ``volumes`` a set of volumes, read by ranges
     where it is by the executor, so its size isn't bounded by
-    memory. ``options`` is JSON of the functions' options; passwords come from ``passwordFile``."""
+    memory. A fault that ends a listing fails the views of members and tree; with the option ``faults``
+    at ``keep`` they end before it. ``options`` is JSON of the functions' options; passwords come from ``passwordFile``."""
 
     takes = _NamedReader
 

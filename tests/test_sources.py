@@ -7,10 +7,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lading.errors import UsageError
+from lading.errors import ArchiveError, UsageError
 from lading.functions.digests import crc32_combine
-from lading.plans.pack import _7z, BUILD, COMPRESS, PASSWORD
-from lading.sources.archive import list_members, read_content, register
+from lading.operators import extraction
+from lading.plans.formats import _carried_out
+from lading.plans.pack import _7z, _tar, BUILD, COMPRESS, PASSWORD
+from lading.sources.archive import list_members, members, read_content, register
 from lading.sources.base import Joined, Limits, Peekable
 from lading.sources.codecs import STREAMS
 from lading.sources.volumes import volume_place
@@ -218,3 +220,42 @@ def test_modes_and_times_of_a_directory_beyond_the_limits_of_archives(spark, tmp
     tree = spark.read.format("archive").option("view", "tree").load(str(tmp_path)).filter("type = 'file'")
     rows = tree.select(F.substring("name", -5, 5).cast("int").alias("k"), "mode", F.col("modified.utc").cast("long").alias("at")).collect()
     assert sorted((r.k, r.mode, r.at) for r in rows) == [(k, 0o600 + k % 10, 1_577_836_800 + k) for k in range(7500)]
+
+
+def test_a_listing_that_a_fault_ends_does_not_look_whole(spark, tmp_path):
+    cut = _tar([(f"n/{k}", b"x" * 600) for k in range(3)])[: 2 * 1536 + 100]  # inside the third header
+    got, state = [], {}
+    with pytest.raises(ArchiveError, match="incomplete listing: x.tar: "):
+        got.extend(r["name"] for r in list_members("x.tar", io.BytesIO(cut), {}))
+    assert [r["name"] for r in list_members("x.tar", io.BytesIO(cut), {}, state)] == ["n/0", "n/1"] and state["error"].code == "truncated"
+    with pytest.raises(ArchiveError, match="not a directory"):
+        list(list_members(str(tmp_path / "none"), None, {}))
+    register(spark)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "cut.tar").write_bytes(cut)
+    source = lambda path="in", **o: spark.read.format("archive").options(**o).load(str(tmp_path / path))
+    with pytest.raises(Exception, match="incomplete listing"):
+        source().collect()
+    assert [r.name for r in source(faults="keep").collect()] == ["n/0", "n/1"]
+    assert source(view="archives").first().listing_error.code == "truncated"
+    few = {"view": "tree", "options": '{"limits": {"members": 1}}'}
+    (tmp_path / "in" / "other").write_bytes(b"")
+    with pytest.raises(Exception, match="more than 1 members"):
+        source(**few).collect()
+    assert source(**few, faults="keep").count() == 1 and source(view="tree").count() == 2
+    with pytest.raises(Exception, match="unknown choice of faults"):
+        source(faults="none").collect()
+    files = spark.createDataFrame([("x.tar", cut)], "path string, content binary")
+    assert members(files).count() == 2
+    with pytest.raises(Exception, match="incomplete listing"):
+        members(files, faults="raise").collect()
+
+
+def test_an_extraction_that_failed_does_not_look_whole(spark, tmp_path):
+    files = spark.createDataFrame([("x.tar", _tar([("a/b", b"x"), ("c", b"y")]))], "path string, content binary")
+    rows = lambda dest: extraction.extract(files, members(files), str(tmp_path / dest))
+    _carried_out(rows("one"))
+    (tmp_path / "two" / "x.tar").mkdir(parents=True)
+    (tmp_path / "two" / "x.tar" / "a").write_bytes(b"a file where a folder should go")
+    with pytest.raises(RuntimeError, match="1 members were not extracted, such as .*x.tar/a/b"):
+        _carried_out(rows("two"))
